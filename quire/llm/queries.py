@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import audio, bpe, packing, pii, tokenstore
+from quire.llm import audio, bpe, langid, neardup, packing, pii, tokenstore, topk, warc
 from quire.llm.common import fresh_dir, table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.filter("vec_id % 100 = 0"), k=10, id_col="vec_id", vector_col="embedding", scale=1024)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "token-store")
     tokenstore.write(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", end_id=0)
     return tokenstore.read_digests(spark, path)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder, least=1000)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.detect(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
@@ -33,11 +53,50 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_token_store": op2_token_store,
+    "op4_warc": op4_warc,
+    "op5_langid": op5_langid,
+    "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_media": op8_media,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN top > page_id THEN top END AS refers_to FROM r""",
+    "op6_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        g AS (
+            SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END) AS g
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (
+            SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+            WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.c = u.a)
+        SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
+        FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+}

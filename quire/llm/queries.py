@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import audio, bpe, langid, neardup, packing, pii, tokenstore, topk, warc
+from quire.llm import audio, bpe, langid, neardup, packing, pii, tokenstore, topk, toxicity, warc
 from quire.llm.common import fresh_dir, table
 
 
@@ -21,6 +21,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_digests(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model).select("doc_id", "held_out", "score", "predicted", "distance")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder, least=1000)
@@ -55,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_token_store": op2_token_store,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_langid": op5_langid,
     "op6_minhash": op6_minhash,

@@ -1,7 +1,6 @@
 """Near-duplicate detection with b-bit MinHash, confirmed on full shingle sets.
 
-1. Every document's set of word shingles gives MINIMA minima.  Bands of ROWS minima
-   are hashed to keys; of the minima only the low BITS bits are kept, packed into
+1. Every document's set of word shingles gives MINIMA minima.  Bands of minima are hashed to keys; of the minima only the low BITS bits are kept, packed into
    longs.  Documents with equal sets form a class, which goes on as one.
 2. Classes that share a band key are candidates.  The similarity of a candidate pair
    is estimated from the number of equal BITS-bit fields, corrected for fields that
@@ -15,8 +14,8 @@
 
 No task holds more than two blocks, and none emits more links than rows it holds; what
 grows with a family's square is the comparisons inside tasks.  Shingles are 64-bit
-hashes.  With 32 bands of 6 rows a pair at the threshold of 0.85 misses all bands
-with probability 3e-7.
+hashes.  Bands have as many rows as leave a pair at the threshold without a shared
+band with a probability of MISS at most: 6 at 0.85, 5 at 0.8.
 
 Defined cases: documents without words (null and empty texts too) have the empty set
 and are linked with nothing; with fewer words than a shingle has, the whole sequence is
@@ -39,8 +38,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialize
 from quire.llm.words import Generations
 
-BANDS, ROWS, BITS, MARGIN = 32, 6, 4, 0.14
-MINIMA = BANDS * ROWS
+MINIMA, BITS, MARGIN = 192, 4, 0.14
+#: The chance that a pair at the threshold shares no band.
+MISS = 5e-7
 _LONGS = MINIMA * BITS // 64
 #: Buckets up to this size emit their pairs; larger ones, and families, go in blocks of BLOCK.
 SMALL, BLOCK = 16, 384
@@ -78,7 +78,12 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rows_for(percent: int) -> int:
+    """Minima of a band: as many as MISS allows."""
+    return max([1, *(r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (MINIMA // r) <= MISS)])
+
+
+def signature(found: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The packed low bits of the minima, and the keys of the bands."""
     low, best = found.astype(np.uint32), None
     for at in range(0, len(low), 4096):
@@ -86,11 +91,12 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best = part if best is None else np.minimum(best, part)
     fields = (best & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(_LONGS, -1)
     packed = (fields << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
-    keys = _mix((_mix(best.astype(np.uint64) * _KEY)).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    bands = MINIMA // rows
+    keys = _mix(_mix(best.astype(np.uint64) * _KEY)[: bands * rows].reshape(bands, rows).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
     return packed.view(np.int64), keys.view(np.int64)
 
 
-def _sign(size: int):
+def _sign(size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
@@ -100,7 +106,7 @@ def _sign(size: int):
                     found = shingles(text, size)
                     counts.append(len(found))
                     if len(found):
-                        packed, bands = signature(found)
+                        packed, bands = signature(found, rows)
                         classes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                         bits.append(packed)
                         keys.append(bands)
@@ -277,7 +283,7 @@ def detect(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     least that many hundredths of their union.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(size), "doc_id long, n long, class binary, bits array<long>, bands array<long>"), "signed")
+    signed = materialize(rows.mapInArrow(_sign(size, rows_for(percent)), "doc_id long, n long, class binary, bits array<long>, bands array<long>"), "signed")
     classes = signed.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     families = _families(classes, percent / 100 - MARGIN)

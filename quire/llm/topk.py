@@ -14,7 +14,7 @@ the data allow.
 Defined cases: vectors that are null, or hold a null or non-finite component, take no
 part; only vectors of one length are compared; rows with the query's own id are no
 candidates; equal scores go to the smaller id; repeated rows count as often as they
-occur as candidates and once as queries; scores beyond a long are clamped to it.
+occur as candidates and once as queries; scores beyond a long are clamped to it, before they are compared.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ class Tree:
                 scores = points[begin:end] @ q
                 at = np.arange(end - begin) if worst is None else np.flatnonzero(scores >= worst[0])
                 for score, i in zip(scores[at].tolist(), self.ids[begin:end][at].tolist(), strict=True):
-                    found = (int(score), -i)
+                    found = (max(-_LONG - 1, min(_LONG, int(score))), -i)
                     if i == me or worst is not None and found <= worst and (len(best) == k or beat and found < (beat[0], -beat[1])):
                         continue
                     if len(best) < k:
@@ -143,7 +143,7 @@ def _search(k: int):
                     for score, i in found:
                         out[0].append(query)
                         out[1].append(i)
-                        out[2].append(max(-_LONG - 1, min(_LONG, score)))
+                        out[2].append(score)
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "id", "score"), out, strict=True)})
 
     return run

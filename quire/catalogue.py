@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from quire import adapters as ad
 from quire.functions import normalise as fn
-from quire.operators import graph, relational as rel, resolve, store
+from quire.functions import render
+from quire.operators import checks, contributors, graph, resolve, store
+from quire.operators import relational as rel
 from quire.plans import rules
+from quire.sources import bib
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -518,15 +521,113 @@ def dsl3_select(spark, sf):
 @query(ad.with_sql("e", """SELECT t.entry_key, '@' || t.value || '{' || t.entry_key || ',' || chr(10) || string_agg('  ' || x.field || ' = {' || x.value || '}', ',' || chr(10) ORDER BY '  ' || x.field || ' = {' || x.value || '}') || chr(10) || '}' || chr(10) AS bibtex
     FROM e t JOIN e x ON t.entry_key = x.entry_key AND t.field = 'entrytype' AND x.field <> 'entrytype' GROUP BY t.entry_key, t.value"""))
 def src33_bibtex(spark, sf):
-    from quire.sources import bib
-
     return bib.rendered(ad.entries(spark, sf))
 
 
 @query(ad.with_sql("e", "SELECT entry_key, field, value FROM e SEMI JOIN (SELECT entry_key FROM e WHERE field = 'entrytype') t USING (entry_key)"))
 def src1_bibtex_round_trip(spark, sf):
     """Live entries, rendered as BibTeX and scanned again."""
-    from quire.sources import bib
-
     texts = bib.rendered(ad.entries(spark, sf)).select(F.col("entry_key").alias("path"), F.col("bibtex").alias("text"))
     return bib.parse(texts).select("entry_key", "field", "value")
+
+
+# --- checks, contributors, rendering
+
+
+def _records(spark, sf):
+    """Records from part: some with damaged fields."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return ad.table(spark, sf, "part").select(
+        k.cast("string").alias("entry_key"), F.when(k % 5 == 0, "proceedings").when(k % 7 == 0, "").otherwise("inproceedings").alias("entrytype"), F.when(k % 11 == 0, "").otherwise(F.col("p_name")).alias("title"),
+        F.when(k % 3 == 0, (size + 1980).cast("string")).when(k % 3 == 1, F.concat(F.lit("'"), size.cast("string"))).otherwise("").alias("year"), F.when(k % 5 == 0, "").otherwise((F.floor(k / 5) * 5).cast("string")).alias("crossref"),
+        F.when(k % 2 == 0, F.col("p_brand")).otherwise("").alias("series"),
+    )
+
+
+_REC = """rec AS (SELECT CAST(p_partkey AS VARCHAR) AS entry_key, CASE WHEN p_partkey % 5 = 0 THEN 'proceedings' WHEN p_partkey % 7 = 0 THEN '' ELSE 'inproceedings' END AS entrytype,
+    CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS title, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size + 1980 AS VARCHAR) WHEN p_partkey % 3 = 1 THEN '''' || CAST(p_size AS VARCHAR) ELSE '' END AS year,
+    CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CAST(p_partkey // 5 * 5 AS VARCHAR) END AS crossref, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS series FROM part)"""
+
+
+@query(f"""WITH {_REC} SELECT entry_key, 'no-type' AS "check" FROM rec WHERE entrytype = '' UNION ALL SELECT entry_key, 'no-title' FROM rec WHERE title = ''
+    UNION ALL SELECT entry_key, 'no-year' FROM rec WHERE year = '' AND crossref = '' UNION ALL SELECT entry_key, 'year' FROM rec WHERE year <> '' AND NOT regexp_full_match(year, '[0-9]{{4}}')""")
+def chk2_warnings(spark, sf):
+    return checks.warnings(_records(spark, sf)).select("entry_key", "check")
+
+
+@query(f"""WITH {_REC} SELECT c.entry_key, c.crossref AS parent, CASE WHEN p.entry_key IS NULL THEN 'the parent doesn''t exist' WHEN c.entrytype = '' THEN 'this type has no parent' ELSE 'the parent isn''t a proceedings' END AS message
+    FROM rec c LEFT JOIN rec p ON c.crossref = p.entry_key WHERE c.crossref <> '' AND (p.entry_key IS NULL OR c.entrytype = '' OR p.entrytype <> 'proceedings')""")
+def chk8_crossref_types(spark, sf):
+    rows = _records(spark, sf)
+    return checks.crossref_types(rows, rows)
+
+
+@query(f"""WITH {_REC}, up AS (SELECT crossref, CASE WHEN min(series) = max(series) THEN min(series) END AS s FROM rec WHERE crossref <> '' AND series <> '' GROUP BY crossref),
+    p AS (SELECT r.entry_key, CASE WHEN r.series <> '' THEN r.series ELSE coalesce(s, '') END AS series FROM rec r LEFT JOIN up ON up.crossref = r.entry_key WHERE r.crossref = '')
+    SELECT * FROM p UNION ALL SELECT c.entry_key, CASE WHEN c.series = coalesce(p.series, '') THEN '' ELSE c.series END FROM rec c LEFT JOIN p ON c.crossref = p.entry_key WHERE c.crossref <> ''""")
+def chk8_inheritance(spark, sf):
+    rows = _records(spark, sf)
+    below, above = checks.push_up(rows.filter("crossref <> ''"), rows.filter("crossref = ''"), ["series"])
+    return below.select("entry_key", "series").unionByName(above.select("entry_key", "series"))
+
+
+@query("""WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0)
+    SELECT 'orders' AS "table", CAST(l_orderkey AS VARCHAR) AS key, count(*) AS rows FROM lineitem WHERE l_orderkey NOT IN (FROM o) GROUP BY l_orderkey
+    UNION ALL SELECT 'parts', CAST(l_partkey AS VARCHAR), count(*) FROM lineitem WHERE l_partkey NOT IN (FROM o) GROUP BY l_partkey""")
+def chk21_dangling(spark, sf):
+    lines, anchor = ad.table(spark, sf, "lineitem"), ad.table(spark, sf, "orders").filter("o_orderkey % 4 <> 0").select("o_orderkey")
+    return checks.dangling({"orders": (lines, "l_orderkey"), "parts": (lines, "l_partkey")}, anchor, "o_orderkey")
+
+
+@query("""SELECT page_id, CASE WHEN strlen(coalesce(html, '')) < 300 THEN 'too-small' WHEN regexp_matches(lower(html), 'domain is for sale|buy this domain|page not found|404 not found|parked free') THEN 'parked' ELSE 'ok' END AS status FROM pages""")
+def chk19_page_health(spark, sf):
+    return checks.page_health(ad.table(spark, sf, "pages"), "page_id", "html")
+
+
+_PEOPLE = "WITH p AS (SELECT s_suppkey AS id, CAST(s_nationkey AS VARCHAR) AS orcid FROM supplier)"
+
+
+def _people(spark, sf):
+    return ad.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("orcid"))
+
+
+@query(_PEOPLE + " SELECT orcid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM p GROUP BY orcid HAVING count(*) > 1")
+def agg15_by_orcid(spark, sf):
+    return contributors.by_orcid(_people(spark, sf)).select("orcid", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(_PEOPLE + " SELECT p.id AS old, m.new FROM p JOIN (SELECT orcid, min(id) AS new FROM p GROUP BY orcid) m USING (orcid) WHERE p.id <> m.new")
+def res10_orcid_merges(spark, sf):
+    return contributors.merge_by_orcid(_people(spark, sf))
+
+
+@query(ad.with_sql("r", "SELECT DISTINCT r.entry_key, r.role, r.position, m.new AS contributor_id FROM r JOIN (SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS new FROM supplier) m ON r.contributor_id = m.id"))
+def dml8_apply_merges(spark, sf):
+    return contributors.apply_merges(ad.roles(spark, sf), contributors.merge_by_orcid(_people(spark, sf)), "contributor_id")
+
+
+@query(ad.with_sql("r", "SELECT entry_key, role, string_agg(CAST(contributor_id AS VARCHAR), ',' ORDER BY position, contributor_id) AS ids FROM r GROUP BY entry_key, role"))
+def res4_id_sequences(spark, sf):
+    return contributors.id_sequences(ad.roles(spark, sf)).select("entry_key", "role", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(ad.with_sql("r", """SELECT DISTINCT r.contributor_id, r.entry_key FROM r WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = r.entry_key AND l.l_suppkey % 10 = r.contributor_id % 10 AND l.l_returnflag = 'R')"""))
+def join13_misattributed(spark, sf):
+    roles = ad.roles(spark, sf)
+    persons = ad.contributors(spark, sf).select("id", (F.col("id") % 10).alias("person"))
+    theirs = ad.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_suppkey") % 10).alias("person"), F.col("l_orderkey").alias("entry_key")).distinct()
+    return contributors.misattributed(roles, theirs, persons)
+
+
+@query("""SELECT p_partkey AS entry_key, '“' || p_name || '”. ' || CAST(p_size + 1980 AS VARCHAR) || '.' || CASE WHEN p_partkey % 2 = 0 THEN ' <a href="https://doi.org/10.1/' || CAST(p_partkey AS VARCHAR) || '">10.1/' || CAST(p_partkey AS VARCHAR) || '</a>' ELSE '' END AS citation FROM part""")
+def rnd2_citation(spark, sf):
+    k = F.col("p_partkey")
+    rows = ad.table(spark, sf, "part").select(k.alias("entry_key"), F.lit("misc").alias("entrytype"), F.col("p_name").alias("title"), (F.col("p_size") + 1980).cast("string").alias("year"), F.when(k % 2 == 0, F.concat(F.lit("10.1/"), k.cast("string"))).alias("doi"))
+    return render.citation(rows)
+
+
+@query(f"""WITH {_REC} SELECT g.c_mktsegment AS group_name, r.year, r.entry_key, CASE WHEN r.series <> '' THEN r.series ELSE coalesce(p.series, '') END AS dblp
+    FROM (SELECT DISTINCT c_mktsegment, CAST(c_custkey AS VARCHAR) AS entry_key FROM customer) g JOIN rec r USING (entry_key) LEFT JOIN rec p ON r.crossref = p.entry_key""")
+def rnd3_group(spark, sf):
+    groups = ad.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("group_name"), F.col("c_custkey").cast("string").alias("entry_key")).distinct()
+    return render.group_rows(groups, _records(spark, sf).withColumnRenamed("series", "dblp"))

@@ -25,7 +25,7 @@ def citation(records: DataFrame, style: str = "html", key: str = "entry_key") ->
     html = style == "html"
     get = (lambda f: to_html(raw(f))) if html else (lambda f: F.regexp_replace(raw(f), r"[{}]", ""))
     emph = (lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("<em>"), x, F.lit("</em>")))) if html else (lambda x: x)
-    quoted = lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("“"), x, F.lit("”")))
+    quoted = lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("“"), F.regexp_replace(x, r"\.\z", ""), F.lit("”")))
     led = lambda label, x: F.when(x == "", "").otherwise(F.concat(F.lit(label), x))
     commas = lambda *xs: F.array_join(F.filter(F.array(*xs), lambda x: x != ""), ", ")
     authors, editors = _people(get("author")), _people(get("editor"), True)

@@ -4,9 +4,10 @@ Two zstandard dictionaries are trained: one on ordinary text, and one on toxic t
 that holds, after the ordinary one's content, the stretches that set toxic text
 apart (where the ordinary one has zero bytes, so that all else is equal).  A text is cut into overlapping windows; a window's distance is how many bytes
 shorter it gets with the toxic dictionary than with the ordinary one.  As both have
-the same content at the same offsets, ordinary windows have distances near zero.  A document's largest
-and summed distances are compared with thresholds calibrated on labelled texts that
-the dictionaries of a cross-fit haven't seen.
+the same content at the same offsets, ordinary windows have distances near zero.
+Distances below a threshold don't count; a document's score comes from the largest and
+the sum of the others.  The threshold and the score are calibrated on labelled texts
+that the dictionaries of a cross-fit haven't seen.
 
 Stretches that set toxic text apart are runs of GRAM-byte strings that occur in a
 share of the toxic training texts many times their share of ordinary ones.
@@ -33,10 +34,13 @@ WINDOW, STRIDE = 62, 46
 PER_CLASS, TRAINING_BYTES, ORDINARY_BYTES, TOXIC_BYTES = 1600, 6000, 8192, 8192
 GRAM, TIMES, LEAST_SHARE, LEAST_TEXTS = 6, 40.0, 0.025, 3
 PREDICT = 0.3
+#: Distances above this one count as it; thresholds that calibration tries.
+MOST, THRESHOLDS = 31, range(1, 7)
 
 
 def _bytes(text: str | None) -> bytes:
-    return text.lower().encode() if text else b""
+    """Lower case, with single spaces between words and around them, so that a word looks the same wherever it stands."""
+    return b" " + b" ".join(text.lower().encode().split()) + b" " if text else b""
 
 
 def windows(raw: bytes) -> list[bytes]:
@@ -60,29 +64,36 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, float, float]
+    threshold: int = 2
     _made: tuple | None = None
 
     def __getstate__(self):
         return {**self.__dict__, "_made": None}
 
-    def distances(self, text: str | None) -> tuple[int, int]:
-        """The largest distance of a text's windows, and the sum of those above zero."""
+    def spectrum(self, text: str | None) -> np.ndarray:
+        """How many windows have each distance, from 0 (and below) to MOST (and above)."""
         if self._made is None:
             self._made = _compressor(self.ordinary), _compressor(self.toxic)
         plain, toxic = self._made[0].compress, self._made[1].compress
-        most = total = 0
+        counts = np.zeros(MOST + 1, np.int64)
         for w in windows(_bytes(text)):
-            d = len(plain(w)) - len(toxic(w))
-            if d > 0:
-                total += d
-                most = max(most, d)
-        return most, total
+            counts[max(0, min(MOST, len(plain(w)) - len(toxic(w))))] += 1
+        return counts
+
+    def distances(self, text: str | None) -> tuple[int, int]:
+        """The largest distance of a text's windows and their sum, of those that reach the threshold."""
+        return _above(self.spectrum(text), self.threshold)
 
     def score(self, text: str | None) -> float:
         """0 to 1: the calibrated chance that the text is toxic."""
         return float(_chance(np.array([_features(*self.distances(text))]), np.array(self.weights))[0])
 
 
+def _above(counts: np.ndarray, threshold: int) -> tuple[int, int]:
+    high = np.flatnonzero(counts[threshold:]) + threshold
+    return (int(high[-1]), int((counts[high] * high).sum())) if len(high) else (0, 0)
+
+
 def _features(most: int, total: int) -> tuple[float, float, float]:
     return 1.0, float(min(most, 12)), float(np.log1p(total))
 
@@ -168,14 +179,21 @@ def fit(samples: list[tuple[str, int]]) -> Model:
     by = {y: _distinct([t for t, z in samples if z == y]) for y in (0, 1)}
     model = _dictionaries(by)
     if all(len(x) >= 2 for x in by.values()):
-        x, y = [], []
+        spectra, y = [], []
         for half in (0, 1):
             other = _dictionaries({k: v[1 - half :: 2] for k, v in by.items()})
             for k, v in by.items():
                 for raw in v[half::2]:
-                    x.append(_features(*other.distances(raw.decode("utf-8", "ignore"))))
+                    spectra.append(other.spectrum(raw[1:].decode("utf-8", "ignore")))
                     y.append(float(k))
-        model.weights = tuple(map(float, _calibrate(np.array(x), np.array(y))))
+        truth, best = np.array(y), -np.inf
+        for threshold in THRESHOLDS:
+            x = np.array([_features(*_above(c, threshold)) for c in spectra])
+            w = _calibrate(x, truth)
+            p = np.clip(_chance(x, w), 1e-6, 1 - 1e-6)
+            likely = float((truth * np.log(p) + (1 - truth) * np.log(1 - p)).sum())
+            if likely > best:
+                best, model.threshold, model.weights = likely, threshold, tuple(map(float, w))
     return model
 
 

@@ -112,7 +112,7 @@ def pack(docs: DataFrame, vocab: str, budget: int = 2048, end_id: int = 0, with_
     keys = [F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("row")]
     ordered = pieces.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "ordered")
-    # at most budget x partitions rows
+    # the order is by length, so there are at most budget + partitions rows
     table = ordered.groupBy("length", "part").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = counts.pop(budget, 0)

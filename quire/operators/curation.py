@@ -123,7 +123,7 @@ def group_blocks(comments: DataFrame) -> DataFrame:
     text = lambda d, k: F.regexp_extract(d, rf"(?s)<key>{k}</key>\s*<string>(.*?)</string>", 1)
     one = listed.select(F.explode(dicts).alias("d")).select(text(F.col("d"), "group name").alias("group_name"), text(F.col("d"), "keys").alias("keys"))
     lines = comments.filter(~F.col("value").contains("<plist")).select(F.explode(F.split("value", r"\n")).alias("line"))
-    pattern = r"\A\s*[0-9]+ (?:ExplicitGroup|StaticGroup):(.+?)\;[0-9]*\;(.*?)(?:\;)?;\s*\z"
+    pattern = r"\A\s*[0-9]+ (?:ExplicitGroup|StaticGroup):(.+?)\\;[0-9]*\\;(.*?)(?:\\;)?;\s*\z"
     two = lines.filter(F.col("line").rlike(pattern)).select(F.regexp_extract("line", pattern, 1).alias("group_name"), F.replace(F.regexp_extract("line", pattern, 2), F.lit("\\;"), F.lit(",")).alias("keys"))
     rows = one.unionByName(two).select("group_name", F.explode(F.split("keys", ",")).alias("k"))
     return rows.select("group_name", F.trim("k").alias("entry_key")).filter("group_name <> '' AND entry_key <> ''").distinct()

@@ -47,7 +47,7 @@ def test_policies(spark):
 
 def test_group_blocks(spark):
     plist = "BibDesk Static Groups{<plist><array><dict><key>group name</key>\n<string>g1</string><key>keys</key><string>a,b</string></dict></array></plist>}"
-    lines = "jabref-meta: grouping:\n0 AllEntriesGroup:;\n1 StaticGroup:g2\;0\;c\;d\;;"
+    lines = "jabref-meta: grouping:\n0 AllEntriesGroup:;\n1 StaticGroup:g2\\;0\\;c\\;d\\;;"
     assert pairs(cu.group_blocks(table(spark, "value string", (plist,), (lines,))), "group_name", "entry_key") == [("g1", "a"), ("g1", "b"), ("g2", "c"), ("g2", "d")]
 
 

@@ -30,20 +30,20 @@ PATTERN = {
     # eleven more digits at least: shorter runs fail the validator anyway
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?!\w)",
+    "ssn": r"(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w)",
 }
 #: What a text must contain for the pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 NEAR = {
-    "email": r"(?i)\b(?:e-?mail|mail|contact|write)",
-    "ip": r"(?i)\b(?:ip|address|host|server|client)\b",
-    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment)",
-    "phone": r"(?i)\b(?:phone|tel|call|fax|mobile|cell)",
-    "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)",
-    "ssn": r"(?i)\b(?:ssn|social security)",
+    "email": r"(?i)(?<!\w)(?:e-?mail|mail|contact|write)",
+    "ip": r"(?i)(?<!\w)(?:ip|address|host|server|client)(?!\w)",
+    "card": r"(?i)(?<!\w)(?:card|visa|mastercard|amex|credit|debit|payment)",
+    "phone": r"(?i)(?<!\w)(?:phone|tel|call|fax|mobile|cell)",
+    "iban": r"(?i)(?<!\w)(?:iban|account|bank|konto|compte|cuenta)",
+    "ssn": r"(?i)(?<!\w)(?:ssn|social security)",
 }
-AGAINST = r"(?i)\b(?:example|sample|version|isbn|order no|invoice no|dummy)"
+AGAINST = r"(?i)(?<!\w)(?:example|sample|version|isbn|order no|invoice no|dummy)"
 #: Score of a proposed span, what a checksum adds, what a word for it adds and one against it takes.
 PROPOSED, CONFIRMED, WORD_FOR, WORD_AGAINST, REACH, LEAST = 0.4, 0.3, 0.3, -0.2, 40, 0.6
 _MARK = "\x01"
@@ -143,3 +143,42 @@ def redact(docs: DataFrame, least: float = LEAST, text_col: str = "text", length
         kind = dict(docs.dtypes)[length_col]
         changed = changed.withColumn(length_col, F.when(F.size("spans") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
     return changed.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _sql_kind(order: int, kind: str, pattern: str, valid: str, near: str, least: float) -> str:
+    """Spans of one kind; a text is split at marks around each match, and the lengths before it give its place."""
+    return f"""
+        SELECT doc_id, {order} AS o, '{kind}' AS kind, s, s + length(v) AS e FROM (
+            SELECT doc_id, parts[2 * i] AS v, list_sum(list_transform(parts[1:2 * i - 1], lambda x: length(x))) AS s,
+                right(parts[2 * i - 1], {REACH}) || ' | ' || left(parts[2 * i + 1], {REACH}) AS around
+            FROM (SELECT doc_id, parts, unnest(range(1, len(parts) // 2 + 1)) AS i
+                FROM (SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d)))
+        WHERE {valid} AND ({least} = 0 OR round({PROPOSED} + {0.0 if kind == 'ssn' else CONFIRMED} + CASE WHEN regexp_matches(around, '{near}') THEN {WORD_FOR} ELSE 0 END
+            + CASE WHEN regexp_matches(around, '{AGAINST.replace("(?<!" + chr(92) + "w)", chr(92) + "b")}') THEN {WORD_AGAINST} ELSE 0 END, 2) >= {least})"""
+
+
+def sql() -> str:
+    """The same result in DuckDB's SQL, with the kinds' plain patterns."""
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    at = f"CAST({digits}[-i] AS INT)"
+    luhn_sql = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {at} ELSE {at} * 2 - CASE WHEN {at} > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    moved = "(replace(v, ' ', '')[5:] || replace(v, ' ', '')[1:4])"
+    step = "lambda r, c: CASE WHEN c < 65 THEN r * 10 + c - 48 ELSE r * 100 + c - 55 END % 97"
+    mod_sql = f"list_reduce(list_prepend(0, list_transform(range(1, length({moved}) + 1), lambda i: ascii({moved}[i]))), {step}) = 1"
+    plain = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn_sql}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", mod_sql),
+        "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "true"),
+    }
+    word = lambda x: x.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b")
+    every = " UNION ALL ".join(_sql_kind(i, k, *plain[k], word(NEAR[k]), 0 if k in BASE else LEAST) for i, k in enumerate(KINDS))
+    listed = "string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY s, o)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+        f AS ({every})
+        SELECT doc_id, {counts}, sha256(coalesce({listed} FILTER (o < {len(BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans
+        FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id"""

@@ -142,6 +142,9 @@ def write(pages: DataFrame, folder: str, least: int = 1000, roll_bytes: int = 64
     )
     ordered = both.repartitionByRange(F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "kind", "digest", "url")
     ordered.mapInArrow(_write(folder, roll_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
+    for left in store.get_file_info(fs.FileSelector(root)):  # by attempts that were lost
+        if left.base_name.startswith("_temporary-"):
+            store.delete_file(left.path)
 
 
 def members(stream) -> Iterator[bytes]:

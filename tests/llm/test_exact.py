@@ -339,3 +339,18 @@ def test_blocks_compare_every_pair(spark):
         assert len(r) < 3 * neardup.BLOCK
         together.update((a, b) for k, a in enumerate(r) for b in r[k + 1 :])
     assert len(together) == 1000 * 999 // 2
+
+
+def test_pii_sql_agrees(spark):
+    """The SQL with the plain patterns, on texts made of pieces of personal data."""
+    import duckdb
+    import pyarrow as pa
+
+    pieces = ["4111 1111 1111 1111", "a@b.co", "+1 212-555-0147", "10.0.0.1", "00255.1.2.3.4", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", " iban ", "123-45-6789", "ssn ", "bank", "example", "_", "é", ".", " ", "-", "12", "A", "card", "\x01"]
+    texts = [*ODD[:8], *fuzz(10, 1200, pieces)]
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())}))
+    want = c.sql(pii.sql())
+    columns = want.columns
+    got = pii.summarise(pii.find(documents(spark, texts))).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and sum("iban" in r["spans"] for r in got) > 5 and sum("ssn" in r["spans"] for r in got) > 5

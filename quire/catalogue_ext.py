@@ -68,9 +68,9 @@ def join1_two_fields(spark, sf):
     return found.filter("entrytype <> '' AND dblp <> ''").select("entry_key", F.col("entrytype").alias("type"), "dblp")
 
 
-@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 100 = 0)")
 def join6_orphan_contributors(spark, sf):
-    used = ad.table(spark, sf, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("id"))
+    used = ad.table(spark, sf, "lineitem").filter("l_orderkey % 100 = 0").select(F.col("l_suppkey").alias("id"))
     return rel.orphans(used, ad.contributors(spark, sf), "id")
 
 
@@ -258,10 +258,10 @@ def syn3_fields_to_clear(spark, sf):
     return curation.fields_to_clear(rows, rows.filter("field = 'year' AND CAST(entry_key AS INT) % 2 = 0"), ["entrytype"])
 
 
-@query("SELECT user_id FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 MONTH < TIMESTAMP '2024-02-10'")
+@query("SELECT user_id FROM events GROUP BY user_id HAVING CAST(max(ts) AS DATE) + INTERVAL 1 MONTH < DATE '2024-02-29'")
 def inc5_stale(spark, sf):
     last = ad.table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("at"))
-    return tables.stale(last, "at", F.lit("2024-02-10").cast("date")).select("user_id")
+    return tables.stale(last, "at", F.lit("2024-02-29").cast("date")).select("user_id")
 
 
 @query("SELECT CAST(alias AS VARCHAR) AS local, CAST(canonical AS VARCHAR) AS canonical FROM (SELECT p_partkey AS alias, CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 2 ELSE p_partkey END AS canonical FROM part)")

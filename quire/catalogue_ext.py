@@ -68,9 +68,9 @@ def join1_two_fields(spark, sf):
     return found.filter("entrytype <> '' AND dblp <> ''").select("entry_key", F.col("entrytype").alias("type"), "dblp")
 
 
-@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 100 = 0)")
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 1000 = 0)")
 def join6_orphan_contributors(spark, sf):
-    used = ad.table(spark, sf, "lineitem").filter("l_orderkey % 100 = 0").select(F.col("l_suppkey").alias("id"))
+    used = ad.table(spark, sf, "lineitem").filter("l_orderkey % 1000 = 0").select(F.col("l_suppkey").alias("id"))
     return rel.orphans(used, ad.contributors(spark, sf), "id")
 
 

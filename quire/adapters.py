@@ -1,11 +1,12 @@
 """The engine's relations, derived from the driver's tables.
 
-Every adapter is one scan with a projection, so filters and column pruning reach the
-Parquet reader.  SQL holds the same relations for DuckDB, as common table expressions.
+Adapters are projections of scans, so filters and column pruning reach the Parquet reader.  SQL holds the same relations for DuckDB, as common table expressions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entry_key, field, value: publications, from part.  Entries without a type aren't live."""
+    """entry_key, field, value: publications, from part.  Entries without a type aren't live.
+
+    A union of one projection for each field: a filter on the field removes the other
+    branches when the plan is made, and a scan reads the columns of those that stay.
+    """
     part = table(spark, sf_dir, "part")
-    row = lambda field, value, when=None: F.struct(F.lit(field).alias("field"), (value if when is None else F.when(when, value)).alias("value"))
-    fields = F.array(
-        row("title", F.col("p_name")),
-        row("dblp", F.col("p_brand"), F.col("p_partkey") % 3 != 0),
-        row("entrytype", F.lower("p_type"), F.col("p_partkey") % 7 != 0),
-        row("year", (F.col("p_size") + 1980).cast("string")),
-    )
-    rows = part.select(F.col("p_partkey").cast("string").alias("entry_key"), F.explode(fields).alias("x"))
-    return rows.select("entry_key", "x.field", "x.value").filter("value IS NOT NULL")
+    key = F.col("p_partkey")
+    one = lambda rows, field, value: rows.select(key.cast("string").alias("entry_key"), F.lit(field).alias("field"), value.alias("value"))
+    parts = [
+        one(part, "title", F.col("p_name")),
+        one(part.filter(key % 3 != 0), "dblp", F.col("p_brand")),
+        one(part.filter(key % 7 != 0), "entrytype", F.lower("p_type")),
+        one(part, "year", (F.col("p_size") + 1980).cast("string")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:

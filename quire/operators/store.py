@@ -64,7 +64,7 @@ def propagate(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def latest(events: DataFrame, key: str, version: list[str]) -> DataFrame:
-    """The last row of each key by version: a hash aggregate, not a sorted window."""
+    """The last row of each key by version, with one row for each key from every task: a window would bring a key's rows together."""
     rest = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("x")).select(key, "x.*").select(*events.columns)
 

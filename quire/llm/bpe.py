@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import hold
 from quire.llm.words import byte_alphabet, vocabulary
 
 #: How byte-level vocabularies split a text; fixed by their format.
@@ -184,6 +185,7 @@ _MADE: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
+    hold("bpe", _MADE.clear)
     if path not in _MADE:
         _MADE[path] = Codec(path)
     return _MADE[path]

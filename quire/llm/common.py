@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """Registers a cache of this Python worker, and drops those of other operators.
+
+    Workers outlive stages; without this, every stage's cache would stay in memory
+    while the next ones fill theirs.
+    """
+    if owner not in _held:
+        for other in _held.values():
+            other()
+        _held.clear()
+        _held[owner] = drop

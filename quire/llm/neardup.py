@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import hold, materialize
 from quire.llm.words import Generations
 
 MINIMA, BITS, MARGIN = 192, 4, 0.14
@@ -59,7 +59,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_words = Generations(xxhash.xxh64_intdigest, 400_000)
+_words = Generations(xxhash.xxh64_intdigest, 120_000)
+
+
+def _forget() -> None:
+    _words.clear()
+    _words.old = {}
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -98,6 +103,7 @@ def signature(found: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup", _forget)
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
@@ -268,6 +274,7 @@ def marked(docs: DataFrame, marks: DataFrame, id_col: str, how: str = "left_semi
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup", _forget)
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)

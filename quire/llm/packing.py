@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialize
 from quire.llm.words import encoder, vocabulary
 
+#: Pieces of texts that a generation of the encoder's cache holds.
+CACHED = 200_000
 PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 def _pieces(vocab: str, budget: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, end = encoder(vocab), np.array([end_id], "<u4").tobytes()
+        made, end = encoder(vocab, CACHED), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part, out = batch.slice(low, 2000), [[] for _ in range(7)]

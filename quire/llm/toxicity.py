@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out
+from quire.llm.common import held_out, hold
 
 #: Literals of so short a block are stored as they are, so what a match saves isn't lost in their entropy coding.
 WINDOW, STRIDE = 62, 46
@@ -233,6 +233,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a few kilobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", lambda: None)
         model = shared.value
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
@@ -252,6 +253,7 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = PREDICT, tex
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", lambda: None)
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)

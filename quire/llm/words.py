@@ -17,6 +17,8 @@ import struct
 
 from tokenizers import Tokenizer
 
+from quire.llm.common import hold
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters on which ``re`` and the library are known to agree.
 _UNSAFE = re.compile(rf"[^!-~{_LETTERS}]|<\|")
@@ -132,10 +134,11 @@ class WordEncoder:
 _MADE: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = 400_000) -> WordEncoder:
     """The encoder of this Python worker, whose caches outlive tasks."""
+    hold("words", _MADE.clear)
     if path not in _MADE:
-        _MADE[path] = WordEncoder(path)
+        _MADE[path] = WordEncoder(path, most)
     return _MADE[path]
 
 

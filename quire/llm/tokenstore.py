@@ -149,7 +149,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 0, wide: bool =
     staged = fresh_dir(spark, "encoded")
     rows.withColumn("kind", F.when(F.col("ids").isNull(), "document").otherwise("chunk")).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
     every = spark.read.schema("doc_id long, n long, digests array<binary>, lengths array<int>, digest binary, ids binary, kind string").parquet(staged)
-    # only digests meet; the bytes of a chunk stay where they are unless several tasks hold it
+    # chunks are shuffled once, by digest, after each task has dropped its own repeats
     chunk = every.filter("kind = 'chunk'").select("digest", "n", "ids")
     chunk.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipe = every.filter("kind = 'document'").select("doc_id", F.col("n").alias("n_tokens"), "digests", "lengths", F.col("digest").alias("root"))

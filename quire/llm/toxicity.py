@@ -1,20 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text
-that holds, after the ordinary one's content, the stretches that set toxic text
-apart (where the ordinary one has zero bytes, so that all else is equal).  A text is cut into overlapping windows; a window's distance is how many bytes
-shorter it gets with the toxic dictionary than with the ordinary one.  As both have
-the same content at the same offsets, ordinary windows have distances near zero.
-Distances below a threshold don't count; a document's score comes from the largest and
+Two zstandard dictionaries are made.  The ordinary one is trained by zstandard on
+ordinary text.  The toxic one isn't: it holds, after the ordinary one's content, the
+stretches that set toxic text apart (where the ordinary one has zero bytes, so that
+all else is equal).  A text is cut into overlapping windows; a window's distance is
+how many bytes shorter it gets with the toxic dictionary than with the ordinary one.
+A window without a GRAM-byte string of the stretches can't match in them, so its
+distance is zero.  Distances below a threshold don't count; a document's score comes from the largest and
 the sum of the others.  The threshold and the score are calibrated on labelled texts
 that the dictionaries of a cross-fit haven't seen.
 
 Stretches that set toxic text apart are runs of GRAM-byte strings that occur in a
-share of the toxic training texts many times their share of ordinary ones.
+share of the toxic training texts many times their share of ordinary ones, and more
+often than chance allows: a one-sided binomial test of each string, with the share
+of false ones among those taken held down as by Benjamini and Hochberg.  There's no
+least share of the toxic texts, so the wording of a small group counts.  Ordinary
+texts beyond those of the dictionary serve the test alone: the more there are, the
+fewer toxic texts it takes.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,8 +38,10 @@ from quire.llm.common import held_out, hold
 #: Literals of so short a block are stored as they are, so what a match saves isn't lost in their entropy coding.
 WINDOW, STRIDE = 62, 46
 #: Bounds of training: texts of each class, bytes of each, bytes of the two trained parts.
-PER_CLASS, TRAINING_BYTES, ORDINARY_BYTES, TOXIC_BYTES = 1600, 6000, 8192, 8192
-GRAM, TIMES, LEAST_SHARE, LEAST_TEXTS = 6, 40.0, 0.025, 3
+PER_CLASS, TRAINING_BYTES, ORDINARY_BYTES, TOXIC_BYTES = 1600, 6000, 8192, 16384
+#: Ordinary texts of the test for each one of the dictionary; the share of false strings among those it takes.
+TESTED, FALSE_SHARE = 4, 0.01
+GRAM, TIMES, LEAST_TEXTS = 6, 40.0, 3
 PREDICT = 0.3
 #: Distances above this one count as it; thresholds that calibration tries.
 MOST, THRESHOLDS = 31, range(1, 7)
@@ -49,7 +58,7 @@ def windows(raw: bytes) -> list[bytes]:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=14, chain_log=15, search_log=6, min_match=6, target_length=24,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=16, chain_log=16, search_log=9, min_match=GRAM, target_length=24,
         strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -73,11 +82,16 @@ class Model:
     def spectrum(self, text: str | None) -> np.ndarray:
         """How many windows have each distance, from 0 (and below) to MOST (and above)."""
         if self._made is None:
-            self._made = _compressor(self.ordinary), _compressor(self.toxic)
-        plain, toxic = self._made[0].compress, self._made[1].compress
-        counts = np.zeros(MOST + 1, np.int64)
-        for w in windows(_bytes(text)):
+            self._made = _compressor(self.ordinary), _compressor(self.toxic), np.unique(_grams(self.toxic[len(self.ordinary.rstrip(b"\0")) :]))
+        plain, toxic, apart = self._made[0].compress, self._made[1].compress, self._made[2]
+        counts, raw = np.zeros(MOST + 1, np.int64), _bytes(text)
+        cut = windows(raw)
+        at = np.flatnonzero(_among(_grams(raw), apart)) // STRIDE
+        # other windows have nothing in common with the stretches: they differ by the order of matches alone
+        some = [cut[k] for k in np.unique(np.concatenate((at, at - 1))).tolist() if 0 <= k < len(cut)]
+        for w in some:
             counts[max(0, min(MOST, len(plain(w)) - len(toxic(w))))] += 1
+        counts[0] += len(cut) - len(some)
         return counts
 
     def distances(self, text: str | None) -> tuple[int, int]:
@@ -114,9 +128,36 @@ def _grams(raw: bytes, size: int = GRAM) -> np.ndarray:
     return out
 
 
+def _among(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which grams are among the known ones, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams if len(known) else np.zeros(len(grams), bool)
+
+
+def _contexts(raw: bytes) -> np.ndarray:
+    """For every GRAM-byte string a hash of the 16 bytes around it."""
+    n, eight = max(0, len(raw) - GRAM + 1), _grams(bytes(5) + raw + bytes(16), 8)
+    return eight[:n] * 0x5851F42D4C957F2D + (eight[8 : 8 + n] ^ eight[8 : 8 + n] >> 29) * 0x14057B7EF767814F
+
+
 def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sets = [np.unique(_grams(x)) for x in texts]
-    return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Strings and how many texts have each.  What a text has in a context of an earlier one is taken for a copied passage and doesn't count again."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    contexts, sets, at = np.concatenate([_contexts(x) for x in texts]), [], 0
+    first = np.zeros(len(contexts), bool)
+    first[np.unique(contexts, return_index=True)[1]] = True
+    for x in texts:
+        grams = _grams(x)
+        sets.append(np.unique(grams[first[at : at + len(grams)]]))
+        at += len(grams)
+    return np.unique(np.concatenate(sets), return_counts=True)
+
+
+def _by_chance(there: int, elsewhere: int, p: float) -> float:
+    """The probability that so many or more of a string's texts are toxic, where each is with probability p."""
+    n = there + elsewhere
+    log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + (n - j) * math.log(p) + j * math.log1p(-p)
+    return min(1.0, sum(math.exp(log(j)) for j in range(elsewhere + 1)))
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -127,17 +168,29 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _apart(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """The strings that set toxic texts apart."""
+    grams, there = _document_counts(toxic)
+    elsewhere = np.zeros(len(grams), np.int64)
+    for raw in ordinary if len(grams) else []:
+        mine = np.unique(_grams(raw))
+        at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
+        elsewhere[at[grams[at] == mine]] += 1
+    tested = there + elsewhere >= LEAST_TEXTS
+    often = np.flatnonzero((there >= LEAST_TEXTS) & (there / max(1, len(toxic)) >= TIMES * elsewhere / max(1, len(ordinary))))
+    p, counts = len(toxic) / max(1, len(toxic) + max(1, len(ordinary))), list(zip(there[often].tolist(), elsewhere[often].tolist(), strict=True))
+    known = {x: _by_chance(*x, p) for x in set(counts)}
+    chance = np.array([known[x] for x in counts])
+    enough = np.flatnonzero(np.sort(chance) <= FALSE_SHARE * (np.arange(len(chance)) + 1) / max(1, tested.sum()))
+    return grams[often[chance <= np.sort(chance)[enough[-1]]]] if len(enough) else grams[:0]
+
+
 def stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """What sets toxic texts apart, the most frequent last."""
-    grams, there = _document_counts(toxic)
-    others, counts = _document_counts(ordinary)
-    at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
-    elsewhere = np.where(others[at] == grams, counts[at], 0) if len(others) else np.zeros(len(grams), np.int64)
-    share = there / max(1, len(toxic))
-    apart = grams[(there >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic))) & (share >= TIMES * (elsewhere + 0.5) / max(1, len(ordinary)))]
+    apart = _apart(toxic, ordinary)
     found: Counter[bytes] = Counter()
     for raw in toxic:
-        mine = np.isin(_grams(raw), apart)
+        mine = _among(_grams(raw), apart)
         edges = np.flatnonzero(np.diff(np.concatenate(([0], mine.astype(np.int8), [0]))))
         found.update({raw[a : b + GRAM - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)})
     return [x for x, _ in sorted(found.items(), key=lambda p: (p[1], p[0]))]
@@ -156,10 +209,11 @@ def _distinct(texts: list[bytes], least: int = 4) -> list[bytes]:
     return out
 
 
-def _dictionaries(by: dict[int, list[bytes]]) -> Model:
+def _dictionaries(by: dict[int, list[bytes]], more: list[bytes]) -> Model:
+    """more: ordinary texts for the test alone."""
     ordinary = _trained([w for t in by[0] for w in windows(t)][:20_000], ORDINARY_BYTES)
     apart, covered, room = [], set(), TOXIC_BYTES
-    for x in reversed(stretches(by[1], by[0])):  # the most frequent first; those that add nothing are left out
+    for x in reversed(stretches(by[1], by[0] + more)):  # the most frequent first; those that add nothing are left out
         mine = set(_grams(x).tolist())
         if not mine <= covered and len(x) < room:
             covered |= mine
@@ -177,11 +231,12 @@ def fit(samples: list[tuple[str, int]]) -> Model:
     """
     samples = sorted({(_bytes(t)[:TRAINING_BYTES], int(y)) for t, y in samples if t}, key=lambda x: (zlib.crc32(x[0]), x))
     by = {y: _distinct([t for t, z in samples if z == y]) for y in (0, 1)}
-    model = _dictionaries(by)
+    by[0], more = by[0][:PER_CLASS], by[0][PER_CLASS:]
+    model = _dictionaries(by, more)
     if all(len(x) >= 2 for x in by.values()):
         spectra, y = [], []
         for half in (0, 1):
-            other = _dictionaries({k: v[1 - half :: 2] for k, v in by.items()})
+            other = _dictionaries({k: v[1 - half :: 2] for k, v in by.items()}, more)
             for k, v in by.items():
                 for raw in v[half::2]:
                     spectra.append(other.spectrum(raw[1:].decode("utf-8", "ignore")))
@@ -210,14 +265,14 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 6
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from at most per_class labelled texts of each class that may be learnt from, drawn by a hash of the id.
+    """Learns from labelled texts that may be learnt from, drawn by a hash of the id: per_class toxic ones and TESTED times as many ordinary ones at most.
 
     Only the ids that were drawn are broadcast, so no text is shuffled.
     """
     may = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
     drawn = None
     for y in (0, 1):
-        one = may.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        one = may.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class if y else TESTED * per_class)
         drawn = one if drawn is None else drawn.unionByName(one)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(text_col, 1, TRAINING_BYTES).alias("text"))
     rows = text.join(F.broadcast(drawn), "id").limit(8 * per_class).collect()

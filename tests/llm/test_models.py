@@ -94,6 +94,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.classify(odd, none).filter("predicted = 0").count() == 4
 
 
+def test_toxicity_of_a_small_group():
+    """Wording of 2 % of the toxic texts, which the others don't have."""
+    rows = [(t, y) for _, t, y in planted(4000, 3)]
+    rnd, clean = random.Random(4), [t for t, y in rows if not y]
+    rare = lambda t: " ".join([*(w := t.split())[: (k := rnd.randrange(len(w)))], rnd.choice(["grubnax", "fizzwort"]), *w[k:]])
+    model = toxicity.fit([(t, y) for t, y in rows[:3600]] + [(rare(t), 1) for t in clean[:18]])
+    tested = [t for t, y in rows[3600:] if not y]
+    assert np.mean([model.score(rare(t)) >= toxicity.PREDICT for t in tested]) > 0.9
+    assert np.mean([model.score(t) >= toxicity.PREDICT for t in tested]) < 0.03
+
+
 def test_pipeline_is_its_stages(spark, tmp_path):
     """run() against the stages' decisions, each recomputed plainly on what its predecessor kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -97,6 +97,16 @@ def join17_title_hash(spark, sf):
     return left.join(right.select("item_id", F.md5(fn.title_index(F.col("text"))).alias("h")), "h").select("doc_id", "item_id").distinct()
 
 
+@query(f"""WITH t AS (SELECT 'document' AS kind, doc_id AS id, md5({_INDEX.format('text')}) AS h FROM documents UNION ALL SELECT 'benchmark', item_id, md5({_INDEX.format('text')}) FROM benchmark),
+    m AS (SELECT h, min(id) AS first FROM t WHERE kind = 'document' GROUP BY h) SELECT kind, id, first FROM t LEFT JOIN m ON t.h = m.h""")
+def join17_title_classes(spark, sf):
+    """Every document and benchmark item with the smallest document of its title index: two have a link when these are the same."""
+    one = lambda name, key: ad.table(spark, sf, name).select(F.lit(name if key == "item_id" else "document").alias("kind"), F.col(key).alias("id"), F.md5(fn.title_index(F.col("text"))).alias("h"))
+    docs = one("documents", "doc_id")
+    first = docs.groupBy("h").agg(F.min("id").alias("first"))
+    return docs.unionByName(one("benchmark", "item_id")).join(first, "h", "left").select("kind", "id", "first")
+
+
 @query("SELECT c_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
 def join21_children(spark, sf):
     parents = ad.table(spark, sf, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"))

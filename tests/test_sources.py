@@ -136,3 +136,14 @@ def test_oracles_agree(spark):
         assert sorted(want.columns) == columns, name
         rows = [tuple(r[want.columns.index(x)] for x in columns) for r in want.fetchall()]
         assert sorted(map(repr, rows)) == sorted(repr(tuple(r[x] for x in columns)) for r in df.collect()), name
+
+
+def test_title_classes_are_whole(spark):
+    """No group of equal texts is without its links, whatever its ids."""
+    sf = "/root/testdata/sf0.001"
+    classes = {r["id"]: r["first"] for r in catalogue.QUERIES["join17_title_classes"](spark, sf).filter("kind = 'document'").collect()}
+    least = {}
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert len(classes) == len(rows)
+    assert all(classes[i] == classes[least.setdefault(text, i)] <= least[text] for i, text in rows)
+    assert any(i % 10 and least[text] % 10 and i != least[text] for i, text in rows)

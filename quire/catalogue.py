@@ -496,6 +496,22 @@ def res7_harvest(spark, sf):
     return resolve.harvest(part.select(*row(4)), part.filter("p_partkey % 10 = 0").select(*row(2)))
 
 
+@query(f"""WITH l AS (SELECT p_partkey AS k, p_brand AS dblp, {_INDEX.format('p_name')} AS i FROM part),
+    o AS (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey),
+    s AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN coalesce(p_brand, '') ELSE '' END AS dblp, {_INDEX.format("CASE WHEN o_orderstatus = 'P' THEN p_type ELSE p_name END")} AS i
+        FROM orders LEFT JOIN o ON o_orderkey = l_orderkey LEFT JOIN part ON p = p_partkey)
+    SELECT s.k AS source_key, CASE WHEN a.k IS NOT NULL THEN 'key' WHEN d.k IS NOT NULL THEN 'dblp' WHEN t.k IS NOT NULL THEN 'title' ELSE 'new' END AS rule,
+    coalesce(CAST(coalesce(a.k, d.k, t.k) AS VARCHAR), '') AS entry_key FROM s LEFT JOIN l a ON s.k = a.k
+    LEFT JOIN (SELECT dblp, min(k) AS k FROM l WHERE dblp <> '' GROUP BY dblp) d ON s.dblp = d.dblp LEFT JOIN (SELECT i, min(k) AS k FROM l WHERE i <> '' GROUP BY i) t ON s.i = t.i""")
+def res7_harvest_orders(spark, sf):
+    """Orders as sources, each with the first of its parts, against all parts as the library."""
+    part, status = ad.table(spark, sf, "part"), F.col("o_orderstatus")
+    first = ad.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("p_partkey"))
+    rows = ad.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").join(first, "o_orderkey", "left").join(part, "p_partkey", "left")
+    sources = rows.select(F.col("o_orderkey").alias("key"), F.when(status == "F", F.coalesce("p_brand", F.lit(""))).otherwise("").alias("dblp"), F.when(status == "P", F.col("p_type")).otherwise(F.col("p_name")).alias("title"))
+    return resolve.harvest(sources, part.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("dblp"), F.col("p_name").alias("title")))
+
+
 SCRIPT = """
 define early 1981 1982 1983
 if field year in early and not type = "x" then add group "early" else add group "late"

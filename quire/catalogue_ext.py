@@ -74,6 +74,12 @@ def join6_orphan_contributors(spark, sf):
     return rel.orphans(used, ad.contributors(spark, sf), "id")
 
 
+@query("SELECT o_orderkey AS id, o_orderstatus AS name FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def join6_orphan_orders(spark, sf):
+    used = ad.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return rel.orphans(used, ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name")), "id")
+
+
 @query(ad.with_sql("r c", "SELECT entry_key, position, upper(name) AS name_used, name FROM r JOIN c ON contributor_id = id WHERE contributor_id % 2 = 0"))
 def join9_alias_mismatch(spark, sf):
     people = ad.contributors(spark, sf)

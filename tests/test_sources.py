@@ -147,3 +147,16 @@ def test_title_classes_are_whole(spark):
     assert len(classes) == len(rows)
     assert all(classes[i] == classes[least.setdefault(text, i)] <= least[text] for i, text in rows)
     assert any(i % 10 and least[text] % 10 and i != least[text] for i, text in rows)
+
+
+def test_whole_tables_are_harvested_and_searched(spark):
+    """Matches don't depend on remainders of keys, and all lines count as uses."""
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["res7_harvest_orders"](spark, sf).collect()
+    assert {r["rule"] for r in got} == {"key", "dblp", "title", "new"}
+    keys = {r["p_partkey"] for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    assert all((r["rule"] == "key") == (r["source_key"] in keys) for r in got)
+    assert any(int(r["entry_key"]) % 10 for r in got if r["rule"] == "title")
+    used = {r["l_orderkey"] for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect()}
+    every = {r["o_orderkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    assert {r["id"] for r in catalogue.QUERIES["join6_orphan_orders"](spark, sf).collect()} == every - used

@@ -1,53 +1,59 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made.  The ordinary one is trained by zstandard on
-ordinary text.  The toxic one isn't: it holds, after the ordinary one's content, the
-stretches that set toxic text apart (where the ordinary one has zero bytes, so that
-all else is equal).  A text is cut into overlapping windows; a window's distance is
-how many bytes shorter it gets with the toxic dictionary than with the ordinary one.
-A window without a GRAM-byte string of the stretches can't match in them, so its
-distance is zero.  Distances below a threshold don't count; a document's score comes from the largest and
-the sum of the others.  The threshold and the score are calibrated on labelled texts
-that the dictionaries of a cross-fit haven't seen.
-
-Stretches that set toxic text apart are runs of GRAM-byte strings that occur in a
-share of the toxic training texts many times their share of ordinary ones, and more
-often than chance allows: a one-sided binomial test of each string, with the share
-of false ones among those taken held down as by Benjamini and Hochberg.  There's no
-least share of the toxic texts, so the wording of a small group counts.  Ordinary
-texts beyond those of the dictionary serve the test alone: the more there are, the
-fewer toxic texts it takes.
+Separate zstandard dictionaries are trained on ordinary and on toxic text.  A text is
+cut into overlapping windows; each is compressed with the ordinary dictionary and with
+the ordinary one followed by each toxic one.  A window's distance is how many bytes
+the toxic dictionaries save, all together.  Distances below a threshold don't count; a
+document's score comes from the largest of the others, their sum, and the number of
+its windows.  Threshold and score are calibrated on labelled texts that no dictionary
+was trained on.
+
+Toxic texts are marked as wholes, though most of their windows are like any other.
+The toxic dictionaries are therefore trained in rounds:
+
+1. The windows of toxic texts are compressed with the ordinary dictionary, and zstandard
+   trains a toxic dictionary on what that leaves as literals.
+2. Fresh ordinary windows that this dictionary shortens are what it has learnt by
+   mistake: zstandard trains an addition to the ordinary dictionary on them.
+3. The next round keeps the toxic windows whose distance hardly any ordinary one reaches.
+
+The dictionaries of the last rounds are a group: what each of them has in common with a
+text by chance differs, what sets toxic texts apart is the same.  Wording that is in few
+toxic texts is looked for again, in the training texts that were missed; their
+dictionaries are another group.  Of wording in one of fifty toxic texts that finds a part.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import held_out, hold
 
-#: Literals of so short a block are stored as they are, so what a match saves isn't lost in their entropy coding.
+#: Literals of so short a block are stored as they are, so a window's length is a count of bytes.
 WINDOW, STRIDE = 62, 46
-#: Bounds of training: texts of each class, bytes of each, bytes of the two trained parts.
-PER_CLASS, TRAINING_BYTES, ORDINARY_BYTES, TOXIC_BYTES = 1600, 6000, 8192, 16384
-#: Ordinary texts of the test for each one of the dictionary; the share of false strings among those it takes.
-TESTED, FALSE_SHARE = 4, 0.01
-GRAM, TIMES, LEAST_TEXTS = 6, 40.0, 3
+#: Bounds of training: texts of each class, and windows of each, which are drawn by their hash from the whole text.
+TOXIC_TEXTS, ORDINARY_TEXTS, DRAWN = 1600, 3200, 1000
+#: Windows that the ordinary dictionary is trained on, evenly over all texts; each round looks for mistakes in its share of them.
+ORDINARY_WINDOWS = 120_000
+#: Bytes of the ordinary dictionary, of what a round adds to it, and of a toxic one.
+ORDINARY_BYTES, ADDED_BYTES, TOXIC_BYTES = 112_640, 16_384, 1024
+#: Rounds, dictionaries of a group, groups, the share of ordinary windows below what a toxic one must have, bytes of a match.
+ROUNDS, KEPT, GROUPS, BELOW, MATCH = 7, 3, 3, 0.995, 6
 PREDICT = 0.3
 #: Distances above this one count as it; thresholds that calibration tries.
-MOST, THRESHOLDS = 31, range(1, 7)
+MOST, THRESHOLDS = 95, range(4, 25)
 
 
-def _bytes(text: str | None) -> bytes:
+def clean(text: str | None) -> bytes:
     """Lower case, with single spaces between words and around them, so that a word looks the same wherever it stands."""
     return b" " + b" ".join(text.lower().encode().split()) + b" " if text else b""
 
@@ -56,9 +62,32 @@ def windows(raw: bytes) -> list[bytes]:
     return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - WINDOW + STRIDE), STRIDE)]
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def draw(text: str | None, most: int = DRAWN) -> list[bytes]:
+    """At most so many of a text's windows, those with the smallest hashes, in the text's order."""
+    cut = windows(clean(text))
+    if len(cut) <= most:
+        return cut
+    kept = sorted(sorted(range(len(cut)), key=lambda i: (xxhash.xxh64_intdigest(cut[i]), i))[:most])
+    return [cut[i] for i in kept]
+
+
+def sketch(text: str | None, size: int = 4) -> list[int]:
+    """The smallest hashes of a text's 16-byte strings; near copies have some in common."""
+    b = np.frombuffer(clean(text), np.uint8).astype(np.uint64)
+    if len(b) < 16:
+        return [zlib.crc32(b.tobytes())]
+    hashes = np.zeros(len(b) - 15, np.uint64)
+    for k in range(16):
+        hashes = hashes * np.uint64(0x100000001B3) + b[k : k + len(hashes)]
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    return (np.unique(hashes ^ hashes >> np.uint64(32))[:size] >> np.uint64(1)).tolist()
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """Compresses windows with a dictionary's content; frames have no field that isn't needed."""
     parameters = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=16, chain_log=16, search_log=9, min_match=GRAM, target_length=24,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=17, chain_log=17, search_log=9, min_match=MATCH, target_length=24,
         strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -66,195 +95,148 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=made, compression_params=parameters)
 
 
+def literals(frame: bytes, window: bytes) -> bytes:
+    """The bytes of a window that its frame of a compressor() holds as literals: what its dictionary doesn't explain.
+
+    Two bytes of frame header, three of block header, then the literals section.
+    """
+    if frame[2] >> 1 & 3 != 2:  # a block that isn't compressed
+        return window
+    kind, long = frame[5] & 3, frame[5] >> 2 & 1
+    if kind:
+        return b""
+    size, at = ((frame[5] | frame[6] << 8) >> 4, 7) if long else (frame[5] >> 3, 6)
+    return frame[at : at + size]
+
+
+def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary trained by zstandard; it trains none from very few samples, and then they are the dictionary."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 @dataclass
 class Model:
     """Dictionaries, and the weights of a logistic calibration; see fit()."""
 
-    ordinary: bytes
-    toxic: bytes
-    weights: tuple[float, float, float]
-    threshold: int = 2
+    ordinary: bytes = b""
+    #: Groups of dictionaries; the first of all toxic texts, another of those that the first misses.
+    toxic: list[list[bytes]] = field(default_factory=list)
+    weights: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
+    threshold: int = THRESHOLDS[0]
     _made: tuple | None = None
 
     def __getstate__(self):
         return {**self.__dict__, "_made": None}
 
-    def spectrum(self, text: str | None) -> np.ndarray:
-        """How many windows have each distance, from 0 (and below) to MOST (and above)."""
+    def distances(self, cut: list[bytes]) -> np.ndarray:
+        """How many bytes the toxic dictionaries of a group save in each window, all together; the most of any group."""
+        if not self.toxic:
+            return np.zeros(len(cut), np.int64)
         if self._made is None:
-            self._made = _compressor(self.ordinary), _compressor(self.toxic), np.unique(_grams(self.toxic[len(self.ordinary.rstrip(b"\0")) :]))
-        plain, toxic, apart = self._made[0].compress, self._made[1].compress, self._made[2]
-        counts, raw = np.zeros(MOST + 1, np.int64), _bytes(text)
-        cut = windows(raw)
-        at = np.flatnonzero(_among(_grams(raw), apart)) // STRIDE
-        # other windows have nothing in common with the stretches: they differ by the order of matches alone
-        some = [cut[k] for k in np.unique(np.concatenate((at, at - 1))).tolist() if 0 <= k < len(cut)]
-        for w in some:
-            counts[max(0, min(MOST, len(plain(w)) - len(toxic(w))))] += 1
-        counts[0] += len(cut) - len(some)
-        return counts
-
-    def distances(self, text: str | None) -> tuple[int, int]:
-        """The largest distance of a text's windows and their sum, of those that reach the threshold."""
-        return _above(self.spectrum(text), self.threshold)
-
-    def score(self, text: str | None) -> float:
-        """0 to 1: the calibrated chance that the text is toxic."""
-        return float(_chance(np.array([_features(*self.distances(text))]), np.array(self.weights))[0])
-
-
-def _above(counts: np.ndarray, threshold: int) -> tuple[int, int]:
-    high = np.flatnonzero(counts[threshold:]) + threshold
-    return (int(high[-1]), int((counts[high] * high).sum())) if len(high) else (0, 0)
+            # the ordinary dictionary stands at the same distance from the window in all of them
+            pack = lambda x: compressor(self.ordinary + x.rjust(TOXIC_BYTES, b"\0")).compress
+            self._made = pack(b""), [[pack(x) for x in group] for group in self.toxic]
+        size = lambda c: np.fromiter(map(len, map(c, cut)), np.int64, len(cut))
+        plain, groups = size(self._made[0]), self._made[1]
+        return np.maximum.reduce([len(group) * plain - sum(map(size, group)) for group in groups])
+
+    def spectrum(self, cut: list[bytes]) -> np.ndarray:
+        """How many windows have each distance, from 0 (and below) to MOST (and above)."""
+        return np.bincount(np.clip(self.distances(cut), 0, MOST), minlength=MOST + 1)
 
+    def score(self, text: str | None) -> tuple[float, int]:
+        """0 to 1, the calibrated chance that the text is toxic; and the largest distance that counts."""
+        x = _features(self.spectrum(windows(clean(text))), self.threshold)
+        return float(_chance(np.array([x]), np.array(self.weights))[0]), int(round(x[1] * 8))
 
-def _features(most: int, total: int) -> tuple[float, float, float]:
-    return 1.0, float(min(most, 12)), float(np.log1p(total))
+
+def _features(counts: np.ndarray, threshold: int) -> tuple[float, float, float, float]:
+    high = np.flatnonzero(counts[threshold:]) + threshold
+    most, total = (int(high[-1]), int((counts[high] * high).sum())) if len(high) else (0, 0)
+    return 1.0, most / 8, float(np.log1p(total)), float(np.log1p(counts.sum()))
 
 
 def _chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def _grams(raw: bytes, size: int = GRAM) -> np.ndarray:
-    """At every position the number that the next size bytes make, up to eight."""
-    b = np.frombuffer(raw, np.uint8).astype(np.int64)
-    n = len(b) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out = np.zeros(n, np.int64)
-    for k in range(size):
-        out = out << 8 | b[k : k + n]
-    return out
+def _evenly(items: list, most: int) -> list:
+    """At most so many items, at equal distances."""
+    return items if len(items) <= most else [items[i] for i in np.linspace(0, len(items) - 1, most).astype(int).tolist()]
 
 
-def _among(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which grams are among the known ones, which are sorted."""
-    return known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams if len(known) else np.zeros(len(grams), bool)
-
-
-def _contexts(raw: bytes) -> np.ndarray:
-    """For every GRAM-byte string a hash of the 16 bytes around it."""
-    n, eight = max(0, len(raw) - GRAM + 1), _grams(bytes(5) + raw + bytes(16), 8)
-    return eight[:n] * 0x5851F42D4C957F2D + (eight[8 : 8 + n] ^ eight[8 : 8 + n] >> 29) * 0x14057B7EF767814F
-
-
-def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Strings and how many texts have each.  What a text has in a context of an earlier one is taken for a copied passage and doesn't count again."""
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    contexts, sets, at = np.concatenate([_contexts(x) for x in texts]), [], 0
-    first = np.zeros(len(contexts), bool)
-    first[np.unique(contexts, return_index=True)[1]] = True
-    for x in texts:
-        grams = _grams(x)
-        sets.append(np.unique(grams[first[at : at + len(grams)]]))
-        at += len(grams)
-    return np.unique(np.concatenate(sets), return_counts=True)
-
-
-def _by_chance(there: int, elsewhere: int, p: float) -> float:
-    """The probability that so many or more of a string's texts are toxic, where each is with probability p."""
-    n = there + elsewhere
-    log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + (n - j) * math.log(p) + j * math.log1p(-p)
-    return min(1.0, sum(math.exp(log(j)) for j in range(elsewhere + 1)))
-
-
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary's content; zstandard trains none from very few samples, and then they are the content."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
-def _apart(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """The strings that set toxic texts apart."""
-    grams, there = _document_counts(toxic)
-    elsewhere = np.zeros(len(grams), np.int64)
-    for raw in ordinary if len(grams) else []:
-        mine = np.unique(_grams(raw))
-        at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
-        elsewhere[at[grams[at] == mine]] += 1
-    tested = there + elsewhere >= LEAST_TEXTS
-    often = np.flatnonzero((there >= LEAST_TEXTS) & (there / max(1, len(toxic)) >= TIMES * elsewhere / max(1, len(ordinary))))
-    p, counts = len(toxic) / max(1, len(toxic) + max(1, len(ordinary))), list(zip(there[often].tolist(), elsewhere[often].tolist(), strict=True))
-    known = {x: _by_chance(*x, p) for x in set(counts)}
-    chance = np.array([known[x] for x in counts])
-    enough = np.flatnonzero(np.sort(chance) <= FALSE_SHARE * (np.arange(len(chance)) + 1) / max(1, tested.sum()))
-    return grams[often[chance <= np.sort(chance)[enough[-1]]]] if len(enough) else grams[:0]
-
-
-def stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """What sets toxic texts apart, the most frequent last."""
-    apart = _apart(toxic, ordinary)
-    found: Counter[bytes] = Counter()
-    for raw in toxic:
-        mine = _among(_grams(raw), apart)
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], mine.astype(np.int8), [0]))))
-        found.update({raw[a : b + GRAM - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)})
-    return [x for x, _ in sorted(found.items(), key=lambda p: (p[1], p[0]))]
-
-
-def _distinct(texts: list[bytes], least: int = 4) -> list[bytes]:
-    """Texts without near copies of earlier ones: no two have one of their smallest hashes of 16-byte strings in common."""
-    out, seen = [], set()
-    for raw in texts:
-        eight = _grams(raw, 8)
-        strings = (eight[:-8] * 0x5851F42D4C957F2D + (eight[8:] ^ eight[8:] >> 29) * 0x14057B7EF767814F) if len(eight) > 8 else np.array([zlib.crc32(raw)])
-        smallest = np.unique(strings ^ strings >> 31)[:least].tolist()
-        if seen.isdisjoint(smallest):
-            out.append(raw)
-        seen.update(smallest)
-    return out
-
-
-def _dictionaries(by: dict[int, list[bytes]], more: list[bytes]) -> Model:
-    """more: ordinary texts for the test alone."""
-    ordinary = _trained([w for t in by[0] for w in windows(t)][:20_000], ORDINARY_BYTES)
-    apart, covered, room = [], set(), TOXIC_BYTES
-    for x in reversed(stretches(by[1], by[0] + more)):  # the most frequent first; those that add nothing are left out
-        mine = set(_grams(x).tolist())
-        if not mine <= covered and len(x) < room:
-            covered |= mine
-            room -= len(x) + 1
-            apart.append(x)
-    toxic = b"\0" + b"\0".join(reversed(apart))
-    return Model(ordinary + bytes(len(toxic)), ordinary + toxic, (-3.0, 0.0, 0.0))
-
-
-def fit(samples: list[tuple[str, int]]) -> Model:
-    """samples: (text, 1 if toxic); equal samples in any order give equal models.
-
-    Each half of the samples is measured with the dictionaries of the other half to
-    calibrate; the dictionaries of the model are those of all samples.
+def _rounds(ordinary: bytes, toxic: list[bytes], plain: list[bytes], rounds: int) -> tuple[bytes, list[bytes]]:
+    """The ordinary dictionary with its additions, and the toxic dictionary of each round."""
+    kept, made = toxic, []
+    for turn in range(rounds):
+        fresh = plain[turn::rounds]  # that no addition was trained on
+        pack = compressor(ordinary).compress
+        left = [x for x in (literals(pack(w), w) for w in kept) if len(x) >= MATCH + 2]
+        if not left:
+            break
+        made.append(dictionary(left, TOXIC_BYTES, 12))
+        model = Model(ordinary, [made[-1:]])
+        there, here = model.distances(toxic), model.distances(fresh)
+        mistakes = [w for w, x in zip(fresh, here.tolist(), strict=True) if x >= 2]
+        if len(mistakes) >= 8:
+            ordinary += dictionary(mistakes, min(ADDED_BYTES, max(1024, 16 * len(mistakes))), 16)
+        least = max(3, float(np.quantile(here, BELOW)) if len(here) else 3)
+        kept = [w for w, x in zip(toxic, there.tolist(), strict=True) if x >= least]
+    return ordinary, made
+
+
+def _calibrated(model: Model, texts: list[list[bytes]], truth: np.ndarray) -> float:
+    """Sets the threshold and weights that make the truth most likely; returns the log-likelihood of a text."""
+    spectra, best = [model.spectrum(x) for x in texts], -np.inf
+    for threshold in THRESHOLDS:
+        x = np.array([_features(c, threshold) for c in spectra])
+        w = _logistic(x, truth)
+        p = np.clip(_chance(x, w), 1e-6, 1 - 1e-6)
+        likely = float((truth * np.log(p) + (1 - truth) * np.log(1 - p)).mean())
+        if likely > best:
+            best, model.threshold, model.weights = likely, threshold, tuple(map(float, w))
+    return best
+
+
+def fit(samples: list[tuple[list[bytes], list[int], int]]) -> Model:
+    """samples: (drawn windows, sketch, 1 if toxic); equal samples in any order give equal models.
+
+    Of near copies the first counts.  Every fourth text of a class calibrates, the
+    others train.  After the first rounds the missed toxic training texts have rounds of
+    their own, and their group stays if that makes the calibration texts more likely.
     """
-    samples = sorted({(_bytes(t)[:TRAINING_BYTES], int(y)) for t, y in samples if t}, key=lambda x: (zlib.crc32(x[0]), x))
-    by = {y: _distinct([t for t, z in samples if z == y]) for y in (0, 1)}
-    by[0], more = by[0][:PER_CLASS], by[0][PER_CLASS:]
-    model = _dictionaries(by, more)
-    if all(len(x) >= 2 for x in by.values()):
-        spectra, y = [], []
-        for half in (0, 1):
-            other = _dictionaries({k: v[1 - half :: 2] for k, v in by.items()}, more)
-            for k, v in by.items():
-                for raw in v[half::2]:
-                    spectra.append(other.spectrum(raw[1:].decode("utf-8", "ignore")))
-                    y.append(float(k))
-        truth, best = np.array(y), -np.inf
-        for threshold in THRESHOLDS:
-            x = np.array([_features(*_above(c, threshold)) for c in spectra])
-            w = _calibrate(x, truth)
-            p = np.clip(_chance(x, w), 1e-6, 1 - 1e-6)
-            likely = float((truth * np.log(p) + (1 - truth) * np.log(1 - p)).sum())
-            if likely > best:
-                best, model.threshold, model.weights = likely, threshold, tuple(map(float, w))
+    by: dict[int, list[list[bytes]]] = {0: [], 1: []}
+    seen: dict[int, set[int]] = {0: set(), 1: set()}
+    for cut, near, y in sorted(samples, key=lambda x: (zlib.crc32(b"".join(x[0])), x)):
+        if cut != [b""] and seen[y].isdisjoint(near):
+            by[y].append(cut)
+        seen[y].update(near)
+    training = {y: [x for i, x in enumerate(v) if i % 4] for y, v in by.items()}
+    rest = [(x, float(y)) for y, v in by.items() for x in v[::4]]
+    if not training[0] or not training[1]:
+        return Model()
+    plain = _evenly([w for x in training[0] for w in x], ORDINARY_WINDOWS)
+    texts, truth = [x for x, _ in rest], np.array([y for _, y in rest])
+    ordinary, made = _rounds(dictionary(plain, ORDINARY_BYTES, 16), [w for x in training[1] for w in x], plain, ROUNDS)
+    model = Model(ordinary, [made[-KEPT:]])
+    likely = _calibrated(model, texts, truth)
+    while len(model.toxic) < GROUPS:
+        weights = np.array(model.weights)
+        missed = [x for x in training[1] if _chance(np.array([_features(model.spectrum(x), model.threshold)]), weights)[0] < PREDICT]
+        ordinary, more = _rounds(model.ordinary, [w for x in missed for w in x], plain, ROUNDS)
+        other = Model(ordinary, [*model.toxic, more[-KEPT:]])
+        if not more or (now := _calibrated(other, texts, truth)) <= likely:
+            break
+        model, likely = other, now
     return model
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
     """Logistic regression by Newton's method; both classes weigh as in the sample."""
-    w, penalty = np.zeros(x.shape[1]), ridge * np.diag([0.02, 1, 1])
+    w, penalty = np.zeros(x.shape[1]), ridge * np.diag([0.02] + [1] * (x.shape[1] - 1))
     for _ in range(steps):
         p = _chance(x, w)
         step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + penalty, x.T @ (y - p) - penalty @ w)
@@ -264,39 +246,48 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 6
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from labelled texts that may be learnt from, drawn by a hash of the id: per_class toxic ones and TESTED times as many ordinary ones at most.
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, kinds = batch.column(0).to_pylist(), [pa.list_(pa.binary()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([draw(x) for x in texts], kinds[0]), pa.array([sketch(x) for x in texts], kinds[1]), batch.column(1)], names=["cut", "near", "y"])
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, ordinary_texts: int = ORDINARY_TEXTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from labelled texts that may be learnt from, drawn by a hash of the id: toxic_texts and ordinary_texts at most.
 
-    Only the ids that were drawn are broadcast, so no text is shuffled.
+    Only the ids that were drawn are broadcast, so no text is shuffled.  Executors cut
+    whole texts and draw their windows; the driver gets at most DRAWN of a text.  An
+    id that occurs in several rows counts with one of its texts, the one with the
+    smallest hash; null ids and labels other than 0 and 1 aren't learnt from.
     """
-    may = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    may = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     drawn = None
-    for y in (0, 1):
-        one = may.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class if y else TESTED * per_class)
+    for y, most in ((0, ordinary_texts), (1, toxic_texts)):
+        one = may.filter((F.col("y") == y) & F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(most)
         drawn = one if drawn is None else drawn.unionByName(one)
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(text_col, 1, TRAINING_BYTES).alias("text"))
-    rows = text.join(F.broadcast(drawn), "id").limit(8 * per_class).collect()
-    return fit([(r["text"], r["y"]) for r in rows])
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = text.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
+    found = rows.mapInArrow(_drawn, "cut array<binary>, near array<long>, y int").collect()
+    return fit([([bytes(w) for w in r["cut"]], list(r["near"]), r["y"]) for r in found])
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = PREDICT) -> DataFrame:
-    """doc_id, held_out, score, predicted, and distance (largest, in bytes) for every row, from its whole text alone.
+    """doc_id, held_out, score, predicted, and distance (the largest that counts, in bytes) for every row, from its whole text alone.
 
-    Null and empty texts have no distance and the score of that; every row gives one;
-    other columns are ignored.
+    Null and empty texts have no distance and the score of that; every row gives one, so
+    repeated rows and null ids do too; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a few kilobytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries of some 300 kilobytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity", lambda: None)
-        model = shared.value
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                found = [model.distances(x) for x in part.column(2).to_pylist()]
-                scores = _chance(np.array([_features(*x) for x in found]).reshape(-1, 3), np.array(model.weights))
+                found = [shared.value.score(x) for x in part.column(2).to_pylist()]
+                scores = np.array([x for x, _ in found], np.float64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.array([x for x, _ in found], pa.int32())], names=["doc_id", "held_out", "score", "predicted", "distance"]
+                    [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.array([x for _, x in found], pa.int32())], names=["doc_id", "held_out", "score", "predicted", "distance"]
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -312,6 +303,6 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = PREDICT, tex
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                yield part.filter(pa.array([shared.value.score(x) < threshold for x in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([shared.value.score(x)[0] < threshold for x in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -137,7 +137,7 @@ def test_literals_are_what_a_dictionary_leaves():
     for window in (b" the quick brown zorkwit jumps over the ", b"nothing in common with it", b"", b"x" * 62):
         left = iter(window)
         assert all(x in left for x in toxicity.literals(made.compress(window), window))  # in the window's order
-    assert toxicity.literals(made.compress(b"the quick brown ZZZZZZZ jumps over the "), b"")[:7] == b"ZZZZZZZ"
+    assert toxicity.literals(made.compress(b"the quick brown PQRSTUV jumps over the "), b"")[:7] == b"PQRSTUV"
 
 
 def test_windows_are_drawn_from_the_whole_text():

@@ -87,8 +87,8 @@ def sketch(text: str | None, size: int = 4) -> list[int]:
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     """Compresses windows with a dictionary's content; frames have no field that isn't needed."""
     parameters = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=17, chain_log=17, search_log=9, min_match=MATCH, target_length=24,
-        strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=MATCH, target_length=24,
+        strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     made.precompute_compress(compression_params=parameters)
@@ -143,14 +143,25 @@ class Model:
         plain, groups = size(self._made[0]), self._made[1]
         return np.maximum.reduce([len(group) * plain - sum(map(size, group)) for group in groups])
 
-    def spectrum(self, cut: list[bytes]) -> np.ndarray:
-        """How many windows have each distance, from 0 (and below) to MOST (and above)."""
-        return np.bincount(np.clip(self.distances(cut), 0, MOST), minlength=MOST + 1)
+    def spectra(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """How many windows of each text have each distance, from 0 (and below) to MOST (and above)."""
+        # all windows go through one compressor before the next, whose tables then stay in the processor's cache
+        found = np.clip(self.distances([w for x in texts for w in x]), 0, MOST)
+        return [np.bincount(x, minlength=MOST + 1) for x in np.split(found, np.cumsum([len(x) for x in texts])[:-1])] if texts else []
+
+    def scores(self, texts: list[str | None], block: int = 1 << 22) -> Iterator[tuple[float, int]]:
+        """Of each whole text, 0 to 1, the calibrated chance that it's toxic; and the largest distance that counts.  block: characters taken together."""
+        low, weights = 0, np.array(self.weights)
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size < block):
+                size, high = size + len(texts[high] or ""), high + 1
+            x = np.array([_features(c, self.threshold) for c in self.spectra([windows(clean(t)) for t in texts[low:high]])])
+            yield from zip(_chance(x, weights).tolist(), np.rint(x[:, 1] * 8).astype(int).tolist(), strict=True)
+            low = high
 
     def score(self, text: str | None) -> tuple[float, int]:
-        """0 to 1, the calibrated chance that the text is toxic; and the largest distance that counts."""
-        x = _features(self.spectrum(windows(clean(text))), self.threshold)
-        return float(_chance(np.array([x]), np.array(self.weights))[0]), int(round(x[1] * 8))
+        return next(self.scores([text]))
 
 
 def _features(counts: np.ndarray, threshold: int) -> tuple[float, float, float, float]:
@@ -190,7 +201,7 @@ def _rounds(ordinary: bytes, toxic: list[bytes], plain: list[bytes], rounds: int
 
 def _calibrated(model: Model, texts: list[list[bytes]], truth: np.ndarray) -> float:
     """Sets the threshold and weights that make the truth most likely; returns the log-likelihood of a text."""
-    spectra, best = [model.spectrum(x) for x in texts], -np.inf
+    spectra, best = model.spectra(texts), -np.inf
     for threshold in THRESHOLDS:
         x = np.array([_features(c, threshold) for c in spectra])
         w = _logistic(x, truth)
@@ -225,7 +236,7 @@ def fit(samples: list[tuple[list[bytes], list[int], int]]) -> Model:
     likely = _calibrated(model, texts, truth)
     while len(model.toxic) < GROUPS:
         weights = np.array(model.weights)
-        missed = [x for x in training[1] if _chance(np.array([_features(model.spectrum(x), model.threshold)]), weights)[0] < PREDICT]
+        missed = [x for x, c in zip(training[1], model.spectra(training[1]), strict=True) if _chance(np.array([_features(c, model.threshold)]), weights)[0] < PREDICT]
         ordinary, more = _rounds(model.ordinary, [w for x in missed for w in x], plain, ROUNDS)
         other = Model(ordinary, [*model.toxic, more[-KEPT:]])
         if not more or (now := _calibrated(other, texts, truth)) <= likely:
@@ -284,7 +295,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                found = [shared.value.score(x) for x in part.column(2).to_pylist()]
+                found = [*shared.value.scores(part.column(2).to_pylist())]
                 scores = np.array([x for x, _ in found], np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.array([x for _, x in found], pa.int32())], names=["doc_id", "held_out", "score", "predicted", "distance"]
@@ -303,6 +314,6 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = PREDICT, tex
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                yield part.filter(pa.array([shared.value.score(x)[0] < threshold for x in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([x < threshold for x, _ in shared.value.scores(part.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -111,7 +111,7 @@ def test_toxicity_scores_are_compressed_lengths(spark):
 
     def length(window, content):
         parameters = zstandard.ZstdCompressionParameters(
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=17, chain_log=17, search_log=9, min_match=6, target_length=24, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=6, target_length=24, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         made.precompute_compress(compression_params=parameters)

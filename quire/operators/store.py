@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from quire.scratch import materialize
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder that the cluster shares (spark.checkpoint.dir) and reads it back, which ends its lineage."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="quire-"))
-        root = _own[0]
-    path = os.path.join(root, f"cut-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes df to the folder that the cluster shares and reads it back, which ends its lineage."""
+    return materialize(df, "cut")
 
 
 def upsert(old: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:

@@ -1,20 +1,26 @@
 """Best-fit packing of documents into sequences of a fixed token budget.
 
 Documents longer than the budget are cut into pieces of the full budget, of which
-only the last may be shorter.  Full pieces are sequences of their own.  The others
-are placed by best-fit decreasing in bulk-synchronous rounds:
-
-1. Pieces are range-sorted by descending length, gaps by size.  Lengths are whole
-   numbers up to the budget, so both sorted orders are runs of equal values and a
-   sweep needs no more than one count per value, whatever the number of documents.
-2. A successor sweep gives the longest waiting run the smallest gaps that hold it.
-3. Where a run is longer than the gaps of that size, pieces win by rank - their
-   place in the range-sorted order - and the rest go on to the next larger gaps.
-4. The gaps that were used shrink by that length, and the next round begins.
-
-The counts per length are gathered by a distributed aggregate; the rounds touch at
-most budget distinct values; ranks come from the distributed range sort; and each
-piece finds its sequence by the interval its rank falls into.
+only the last may be shorter.  Pieces are placed by bulk-synchronous best-fit, longest
+first:
+
+1. Pieces are range-sorted by length, gaps (sequences with room) by size.  Both are
+   whole numbers up to the budget, so pieces and gaps are runs of equal values: a run
+   is its value, its first rank, and how many there are.  A piece of more than half
+   the budget has a sequence of its own; as many empty ones are opened as the others need
+   at least beyond what is left in those.
+2. In each round the runs are dealt to tasks by the range of their values; a gap goes to
+   the highest range, not above its own, where pieces wait.  Every task sweeps its
+   pieces downwards and gives each run the smallest gap that holds it (its
+   successor).
+3. Where a run has more pieces than the gap's run has places, pieces win by rank, and
+   the rest go on to the next larger gaps.
+4. Gaps that were used shrink, and what no piece of a range fits goes to lower ranges in
+   the next round.  When gaps are used up and pieces wait, more sequences are opened.
+
+A round is one job over the runs, of which there are a few for each length, whatever the
+number of documents; the driver sees sums for each range alone.  Ranks come from the
+distributed range sort, and each piece finds its sequence by the run its rank is in.
 """
 
 from __future__ import annotations
@@ -34,7 +40,13 @@ from quire.llm.words import encoder, vocabulary
 
 #: Pieces of texts that a generation of the encoder's cache holds.
 CACHED = 200_000
+#: Ranges of values up to half the budget, which are the tasks of a round.
+RANGES = 8
 PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, ids binary"
+#: Runs: pieces that wait (value: length, first: rank), gaps (size, sequence; top: the highest range they may still go to),
+#: and pieces that were placed (length, rank; each: how many a sequence takes, sequence: the first, size: of the gap).
+WAITING, GAP, PLACED = 0, 1, 2
+RUN = "kind int, value long, first long, n long, top long, each long, sequence long, size long"
 
 
 def _pieces(vocab: str, budget: int, end_id: int, with_ids: bool):
@@ -55,48 +67,99 @@ def _pieces(vocab: str, budget: int, end_id: int, with_ids: bool):
     return run
 
 
-def plan(counts: dict[int, int], budget: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Best-fit decreasing over runs of equal lengths.
+def sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """The successor sweep of one range.
 
-    counts: pieces of each length below budget.  Returns runs and the number of
-    sequences: a run (length, rank, pieces, sequence, each, offset) says that the
-    pieces of this length with ranks rank .. rank + pieces - 1 go to sequences from
-    ``sequence`` on, ``each`` of them to one, from ``offset`` on.
+    pieces: (length, rank, n); gaps: (size, first sequence, n).  Returns the placed
+    runs (length, rank, n, each, sequence, size): pieces with ranks from rank on go to
+    sequences from sequence on, each of them to one; the pieces that wait on; and the gaps as they are now.
     """
-    gaps: dict[int, list[list[int]]] = defaultdict(list)  # size: [first sequence, sequences]
+    by: dict[int, list[tuple[int, int]]] = defaultdict(list)
     sizes: list[int] = []
-    runs, opened = [], 0
 
     def add(size: int, first: int, n: int) -> None:
         if n and size:
-            if size not in gaps or not gaps[size]:
+            if not by[size]:
                 bisect.insort(sizes, size)
-            gaps[size].append([first, n])
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)  # the successor
+            by[size].append((first, n))
+
+    for size, first, n in sorted(gaps, key=lambda g: (g[0], -g[1])):
+        add(size, first, n)
+    placed, left = [], []
+    for length, rank, n in sorted(pieces, key=lambda p: (-p[0], p[1])):
+        while n:
+            at = bisect.bisect_left(sizes, length)
             if at == len(sizes):
-                size, first, n = budget, opened, -(-left // (budget // length))
-                opened += n
-            else:
-                size = sizes[at]
-                first, n = gaps[size].pop()
-                if not gaps[size]:
-                    sizes.pop(at)
+                left.append((length, rank, n))
+                break
+            size = sizes[at]
+            first, there = by[size].pop()
+            if not by[size]:
+                sizes.pop(at)
             each = size // length  # a gap that was just used is the smallest that fits
-            used, rest = min(n, left // each), left % each if left // each < n else 0
+            used, rest = min(there, n // each), n % each if n // each < there else 0
             if used:
-                runs.append((length, rank, used * each, first, each, budget - size))
+                placed.append((length, rank, used * each, each, first, size))
                 add(size - each * length, first, used)
-                rank, left = rank + used * each, left - used * each
-            if rest and used < n:
-                runs.append((length, rank, rest, first + used, rest, budget - size))
+                rank, n = rank + used * each, n - used * each
+            if rest and used < there:
+                placed.append((length, rank, rest, rest, first + used, size))
                 add(size - rest * length, first + used, 1)
-                rank, left, used = rank + rest, left - rest, used + 1
-            add(size, first + used, n - used)
-    return runs, opened
+                rank, n, used = rank + rest, n - rest, used + 1
+            add(size, first + used, there - used)
+    return placed, left, [(size, first, n) for size in sizes for first, n in by[size]]
+
+
+def _swept(key: tuple[pa.Scalar, ...], runs: pa.Table) -> pa.Table:
+    rows = runs.to_pylist()
+    mine = lambda kind: [(r["value"], r["first"], r["n"]) for r in rows if r["kind"] == kind]
+    placed, left, gaps = sweep(mine(WAITING), mine(GAP))
+    below = key[0].as_py() - 1
+    out = [(PLACED, length, rank, n, None, each, sequence, size) for length, rank, n, each, sequence, size in placed]
+    out += [(WAITING, length, rank, n, None, None, None, None) for length, rank, n in left]
+    out += [(GAP, size, first, n, below, None, None, None) for size, first, n in gaps]
+    kinds = [pa.int32(), *[pa.int64()] * 7]
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=["kind", "value", "first", "n", "top", "each", "sequence", "size"])
+
+
+def place(counts: DataFrame, budget: int) -> tuple[DataFrame, int]:
+    """The placed runs (see RUN) of counts (length, n: pieces of each length up to budget), and how many sequences they fill."""
+    spark = counts.sparkSession
+    width = -(-budget // (2 * RANGES))
+    range_of = lambda c: F.least(F.floor((c - 1) / width), F.lit(RANGES - 1))
+    none = lambda *names: [F.lit(None).cast("long").alias(x) for x in names]
+    counts = counts.select(F.col("length").cast("long").alias("value"), F.col("n").cast("long"))
+    # sequences of their own: one row for each length, so a window over all of them is small
+    alone = counts.filter(2 * F.col("value") > budget).withColumn("sequence", F.sum("n").over(Window.orderBy(F.col("value").desc())) - F.col("n"))
+    placed = [materialize(alone.select(F.lit(PLACED).alias("kind"), "value", F.lit(0).cast("long").alias("first"), "n", *none("top"), F.lit(1).cast("long").alias("each"), "sequence", F.lit(budget).cast("long").alias("size")), "alone")]
+    waiting = counts.filter(2 * F.col("value") <= budget).select(F.lit(WAITING).alias("kind"), "value", F.lit(0).cast("long").alias("first"), "n", *none("top", "each", "sequence", "size"))
+    gaps = placed[0].filter(F.col("value") < budget).select(F.lit(GAP).alias("kind"), (budget - F.col("value")).alias("value"), F.col("sequence").alias("first"), "n", F.lit(RANGES).cast("long").alias("top"), *none("each", "sequence", "size"))
+    state = materialize(waiting.unionByName(gaps), "runs")
+    opened = placed[0].agg(F.sum("n")).first()[0] or 0
+    while True:
+        # at most two rows for each range
+        sums = state.groupBy("kind", range_of(F.col("value")).alias("range")).agg(F.sum(F.col("value") * F.col("n")).alias("tokens")).collect()
+        ranges = sorted(r["range"] for r in sums if r["kind"] == WAITING)
+        if not ranges:
+            break
+        wanted, room = (sum(r["tokens"] for r in sums if r["kind"] == k) for k in (WAITING, GAP))
+        more = max(0, -(-(wanted - room) // budget))
+        if more or not room:
+            more = max(1, more)
+            state = state.unionByName(spark.createDataFrame([(GAP, budget, opened, more, RANGES, None, None, None)], RUN))
+            opened += more
+        fits = F.array_max(F.filter(F.array(*[F.lit(x).cast("long") for x in ranges]), lambda x: x <= F.least(range_of(F.col("value")), F.col("top"))))
+        dealt = state.withColumn("range", F.when(F.col("kind") == WAITING, range_of(F.col("value"))).otherwise(fits))
+        done = dealt.filter("range IS NOT NULL").select("range", *state.columns).groupBy("range").applyInArrow(_swept, RUN)
+        # gaps that no waiting piece fits are closed; empty sequences are kept, to be counted
+        out = materialize(done.unionByName(dealt.filter(F.col("range").isNull() & (F.col("value") == budget)).drop("range")), "runs")
+        placed.append(out.filter(F.col("kind") == PLACED))
+        state = out.filter(F.col("kind") != PLACED)
+    empty = state.filter((F.col("kind") == GAP) & (F.col("value") == budget)).agg(F.sum("n")).first()[0] or 0
+    every = placed[0]
+    for x in placed[1:]:
+        every = every.unionByName(x)
+    return every, opened - empty
 
 
 def pack(docs: DataFrame, vocab: str, budget: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +169,6 @@ def pack(docs: DataFrame, vocab: str, budget: int = 2048, end_id: int = 0, with_
     text has the end id alone; repeated or null doc_ids are documents of their own;
     an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     pieces = rows.mapInArrow(_pieces(vocabulary(vocab), budget, end_id, with_ids), PIECE)
     pieces = materialize(pieces if with_ids else pieces.drop("ids"), "pieces")
@@ -115,26 +177,18 @@ def pack(docs: DataFrame, vocab: str, budget: int = 2048, end_id: int = 0, with_
     ordered = pieces.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "ordered")
     # the order is by length, so there are at most budget + partitions rows
-    table = ordered.groupBy("length", "part").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    full = counts.pop(budget, 0)
-    runs, opened = plan(counts, budget)
-    if full:
-        runs.append((budget, 0, full, opened, 1, 0))
+    table = materialize(ordered.groupBy("length", "part").agg(F.count("*").alias("n"), F.min("pos").alias("first")), "lengths")
+    runs, _ = place(table.groupBy("length").agg(F.sum("n").alias("n")), budget)
     rank_of = Window.partitionBy("length").orderBy("part")
-    before = table.withColumn("before", F.sum("n").over(rank_of) - F.col("n")).select("length", "part", "first", "before")
-    ranked = ordered.join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("before") + F.col("pos") - F.col("first"))
-    # runs are as many as the rounds, not as the documents: one array for each length
-    kind = "array<struct<rank:long,first:long,each:long,offset:long>>"
-    by_length: dict[int, list] = defaultdict(list)
-    for length, rank, _, first, each, offset in runs:
-        by_length[length].append((rank, first, each, offset))
-    placed = spark.createDataFrame([(k, sorted(v)) for k, v in by_length.items()] or [], f"length long, runs {kind}")
-    run = F.element_at(F.filter("runs", lambda x: x["rank"] <= F.col("rank")), -1)
-    out = ranked.join(F.broadcast(placed), "length").withColumn("run", run).withColumn("nth", F.col("rank") - F.col("run.rank"))
+    before = table.withColumn("before", F.sum("n").over(rank_of) - F.col("n")).select("length", "part", F.col("first").alias("start_pos"), "before")
+    ranked = ordered.join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("before") + F.col("pos") - F.col("start_pos"))
+    # runs are as many as the rounds make of the lengths, not as the documents: one array for each length
+    by_length = runs.groupBy(F.col("value").alias("length")).agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "each", (F.lit(budget) - F.col("size")).alias("offset")))).alias("runs"))
+    run = F.element_at(F.filter("runs", lambda x: x["first"] <= F.col("rank")), -1)
+    out = ranked.join(F.broadcast(by_length), "length").withColumn("run", run).withColumn("nth", F.col("rank") - F.col("run.first"))
     return out.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("run.first") + F.floor(F.col("nth") / F.col("run.each"))).cast("long").alias("sequence_id"),
+        (F.col("run.sequence") + F.floor(F.col("nth") / F.col("run.each"))).cast("long").alias("sequence_id"),
         (F.col("run.offset") + F.col("nth") % F.col("run.each") * F.col("length")).cast("long").alias("offset"),
         *(["ids"] if with_ids else []),
     )

@@ -117,24 +117,44 @@ def decreasing(lengths, budget):
     return n
 
 
-def test_packing_plan_is_best_fit_decreasing():
+def placed_well(runs, lengths, budget):
+    """Every piece is placed once, sequences have no holes and aren't overfull; returns how many there are."""
+    placed, where = defaultdict(list), defaultdict(list)
+    for length, rank, n, each, sequence, size in runs:
+        placed[length].append((rank, n))
+        for k in range(n):
+            where[sequence + k // each].append((budget - size + k % each * length, length))
+    for length, spans in placed.items():
+        assert [r for r, _ in sorted(spans)] == [0, *np.cumsum([n for _, n in sorted(spans)]).tolist()][:-1]
+        assert sum(n for _, n in spans) == Counter(lengths)[length]
+    assert sum(n for spans in placed.values() for _, n in spans) == len(lengths)
+    for spans in where.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= budget
+    return len(where)
+
+
+def test_sweep_is_best_fit_decreasing():
+    """One range that holds everything, with as many empty sequences as best-fit decreasing opens."""
     rnd = random.Random(5)
     for _ in range(200):
         budget = rnd.choice([10, 64, 2048])
         lengths = [rnd.randint(1, budget - 1 if rnd.random() < 0.8 else max(1, budget // 8)) for _ in range(rnd.randint(0, 300))]
-        runs, opened = packing.plan(Counter(lengths), budget)
-        placed, where = Counter(), defaultdict(list)
-        for length, _, pieces, first, each, offset in runs:
-            placed[length] += pieces
-            for k in range(pieces):
-                where[first + k // each].append((offset + k % each * length, length))
-        assert placed == Counter(lengths) and len(where) == opened == decreasing(lengths, budget)
-        for spans in where.values():
-            at = 0
-            for offset, length in sorted(spans):
-                assert offset == at
-                at += length
-            assert at <= budget
+        want = decreasing(lengths, budget)
+        runs, left, _ = packing.sweep([(k, 0, n) for k, n in Counter(lengths).items()], [(budget, 0, want)])
+        assert not left and placed_well(runs, lengths, budget) == want
+
+
+@pytest.mark.parametrize(("budget", "low", "high"), [(64, 1, 64), (2048, 1, 2048), (2048, 500, 700), (100, 3, 30)])
+def test_rounds_use_no_more_sequences(spark, budget, low, high):
+    rnd = random.Random(budget + low)
+    lengths = [rnd.randint(low, high) for _ in range(3000)]
+    runs, opened = packing.place(spark.createDataFrame([*Counter(lengths).items()], "length long, n long"), budget)
+    rows = [(r["value"], r["first"], r["n"], r["each"], r["sequence"], r["size"]) for r in runs.collect()]
+    assert placed_well(rows, lengths, budget) == opened <= decreasing(lengths, budget)
 
 
 def test_packing(spark):

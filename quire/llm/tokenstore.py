@@ -2,9 +2,11 @@
 
 Every text becomes a stream of token ids, closed by an end id.  A rolling hash over
 the ids cuts the stream into chunks; each distinct chunk is stored once under its
-SHA-256; a document is a recipe, the list of its chunks; a Merkle root over the
-chunk digests verifies its reconstruction, and a manifest has one root per range of
-documents and one for the whole store.
+SHA-256; a document is a recipe, the list of its chunks, with a Merkle root over their
+digests.  A manifest has the counts and one Merkle root of each range of recipes, over
+their ids, places and roots, and one over all ranges.  Readers hold the recipes as they
+are read against the manifest, recipes against their roots, and chunks against their
+addresses, and raise where anything is lost, repeated, swapped or altered.
 
 Layout below the store's folder, all Parquet:
 
@@ -29,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh_dir, materialize
+from quire.llm.common import delete, discard, fresh_dir, materialize
 from quire.llm.words import encoder, vocabulary
 
 #: Ids that the rolling hash sees; no chunk but a document's last is shorter.
 WINDOW = 16
 SHORTEST, MEAN, LONGEST = 64, 512, 4096
+CHUNK = "digest binary, n long, ids binary"
+RECIPE = "part int, pos long, doc_id long, start long, n_tokens long, digests array<binary>, lengths array<int>, root binary"
+MANIFEST = "part long, tokens long, documents long, first long, last long, root binary"
 _GEAR = np.random.default_rng(20240601).integers(0, 2**64, 1 << 16, dtype=np.uint64)
 
 
@@ -95,6 +100,8 @@ def _encode(vocab: str, end_id: int, wide: bool):
                 lengths = [len(x) // 4 for x in streams]
                 del streams
                 starts = (np.cumsum(lengths) - lengths).tolist()
+                if not wide and len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("ids beyond 65,535 need a wide store")
                 stored = ids if wide else ids.astype("<u2")
                 size, raw = stored.itemsize, memoryview(stored).cast("B")
                 digests, sizes, new, bodies, counts, begin, at = [], [], [], [], [], 0, 0
@@ -155,13 +162,15 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 0, wide: bool =
     recipe = every.filter("kind = 'document'").select("doc_id", F.col("n").alias("n_tokens"), "digests", "lengths", F.col("digest").alias("root"))
     ordered = recipe.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "recipes")
-    parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     # one row for each range: bounded by the number of partitions
     before = parts.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("before"))
     running = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     placed = ordered.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.coalesce(running, F.lit(0))).drop("before")
     placed.sortWithinPartitions("part", "pos").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(spark.read.parquet(f"{path}/recipes"), parts).write.parquet(f"{path}/manifest")
+    _manifest(spark.read.schema(RECIPE).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    delete(staged)
+    discard(ordered)
 
 
 def _roots(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,20 +178,37 @@ def _roots(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merkle([x for _, x in sorted((y["pos"], y["root"]) for y in v)]) for v in batch.column(1).to_pylist()], pa.binary())], names=["key", "root"])
 
 
-def _manifest(recipes: DataFrame, parts: DataFrame, fan: int = 4096) -> DataFrame:
-    """One root per range, from the roots of its documents in blocks of fan, and one over all ranges."""
+def _manifest(recipes: DataFrame, fan: int = 4096) -> DataFrame:
+    """One root per range, from the leaves of its recipes in blocks of fan, and one over all ranges; with what they count."""
     spec = "key long, root binary"
 
     def tree(leaves: DataFrame, key) -> DataFrame:
         return leaves.groupBy(key.alias("key")).agg(F.collect_list(F.struct("pos", "root")).alias("nodes")).mapInArrow(_roots, spec)
 
+    leaf = F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("start").cast("string"), F.col("n_tokens").cast("string"), F.hex("root")), 256))
     block = (F.col("part").cast("long") * (1 << 32)) + F.floor((F.col("pos") % (1 << 33)) / fan)
-    blocks = tree(recipes.select("part", "pos", "root"), block)
+    blocks = tree(recipes.select("part", "pos", leaf.alias("root")), block)
     ranges = tree(blocks.select((F.floor(F.col("key") / (1 << 32))).alias("part"), F.col("key").alias("pos"), "root"), F.col("part"))
     whole = tree(ranges.select(F.lit(-1).alias("part"), F.col("key").alias("pos"), "root"), F.col("part").cast("long"))
+    parts = recipes.groupBy(F.col("part").cast("long").alias("key")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     total = parts.agg(F.lit(-1).cast("long").alias("key"), F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"), F.min("first").alias("first"), F.max("last").alias("last"))
-    sums = parts.select(F.col("part").cast("long").alias("key"), "tokens", "documents", "first", "last").unionByName(total)
-    return sums.join(ranges.unionByName(whole), "key").withColumnRenamed("key", "part")
+    return parts.unionByName(total).join(ranges.unionByName(whole), "key").withColumnRenamed("key", "part")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raises where the store's recipes aren't those that its manifest names.
+
+    Counts and roots are made anew from the recipes as they are read; of the
+    comparison, which has a row for each range, one that differs goes to the driver.
+    """
+    found, kept = _manifest(spark.read.schema(RECIPE).parquet(f"{path}/recipes")), spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    both = found.alias("a").join(kept.alias("b"), F.col("a.part") == F.col("b.part"), "full")
+    same = F.lit(True)
+    for c in ("part", "tokens", "documents", "first", "last", "root"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    wrong = both.filter(~same).select(F.coalesce("a.part", "b.part").alias("part")).head()
+    if wrong is not None:
+        raise ValueError(f"the recipes of range {wrong['part']} aren't those of the manifest")
 
 
 _POLY = np.uint32(0xEDB88320)
@@ -225,11 +251,17 @@ def _verify_chunks(wide: bool):
 
 
 def _open_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of a recipe, with the number of ids that follow it."""
     for batch in batches:
-        for root, digests in zip(batch.column("root").to_pylist(), batch.column("digests").to_pylist(), strict=True):
-            if merkle(digests) != root:
-                raise ValueError(f"a recipe doesn't have the root {root.hex()}")
-        yield batch
+        places, uses, sizes, after = [], [], [], []
+        for pos, root, digests, lengths, n in zip(*(batch.column(x).to_pylist() for x in ("pos", "root", "digests", "lengths", "n_tokens")), strict=True):
+            if merkle(digests) != root or len(lengths) != len(digests) or sum(lengths) != n:
+                raise ValueError(f"a recipe doesn't have the root {root.hex()} or its number of ids")
+            places += [pos] * len(digests)
+            uses += digests
+            sizes += lengths
+            after += (n - np.cumsum(lengths)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(uses, pa.binary()), pa.array(sizes, pa.int64()), pa.array(after, pa.int64())], names=["pos", "digest", "length", "after"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,34 +275,41 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """Reads a store back and verifies it: doc_id, start, n_tokens, ids_crc32 of each document.
 
-    Every stored chunk is read and held against its address, and every recipe
-    against its Merkle root.  The CRC-32 of a document comes from those of its
-    chunks as they were read: each is shifted by the bytes that follow it and
-    they are XORed, so that chunk bytes needn't be shuffled to their documents.
+    The recipes are held against the manifest and their Merkle roots, and every
+    stored chunk is read and held against its address.  The CRC-32 of a document comes
+    from those of its chunks as they were read: each is shifted by the bytes that
+    follow it and they are XORed, so that chunk bytes needn't be shuffled to their documents.
     """
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(_verify_chunks(wide), "digest binary, crc long, n long")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    kept = recipes.select("pos", "root", "digests", "lengths").mapInArrow(_open_recipes, "pos long, root binary, digests array<binary>, lengths array<int>")
-    lengths = F.transform("digests", lambda x, i: F.struct(x.alias("digest"), F.get("lengths", i).cast("long").alias("length"), F.aggregate(F.slice("lengths", i + 2, F.size("lengths")), F.lit(0).cast("long"), lambda s, y: s + y).alias("after")))
-    uses = kept.select("pos", F.explode(lengths).alias("x")).select("pos", "x.digest", "x.length", "x.after")
+    verify(spark, path)
+    chunks = spark.read.schema(CHUNK).parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(_verify_chunks(wide), "digest binary, crc long, n long")
+    recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
+    uses = recipes.select("pos", "root", "digests", "lengths", "n_tokens").mapInArrow(_open_recipes, "pos long, digest binary, length long, after long")
     terms = uses.join(chunks, "digest", "left").select("pos", "length", "after", "crc", "n").mapInArrow(_terms, "pos long, term long, n long")
     sums = terms.groupBy("pos").agg(F.bit_xor("term").alias("ids_crc32"), F.sum("n").alias("n_tokens"))
     return recipes.select("pos", "doc_id", "start").join(sums, "pos").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
-    """Reconstructs the id streams: doc_id, start, ids as array<int>."""
-    recipes = _with_bodies(spark, path)
+    """Reconstructs the id streams: doc_id, start, ids as array<int>; verifies all that read_digests() does."""
+    verify(spark, path)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["ids"] for x in sorted(v, key=lambda y: y["i"])), "<u4" if wide else "<u2") for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
+            out = []
+            for root, chunks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                chunks.sort(key=lambda x: x["i"])
+                if merkle([x["digest"] for x in chunks]) != root:
+                    raise ValueError(f"a recipe doesn't have the root {root.hex()}")
+                for x in chunks:
+                    if x["ids"] is None or hashlib.sha256(x["ids"]).digest() != x["digest"]:
+                        raise ValueError(f"chunk {x['digest'].hex()} isn't stored, or doesn't have the content of its address")
+                out.append(np.frombuffer(b"".join(x["ids"] for x in chunks), "<u4" if wide else "<u2").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return recipes.mapInArrow(join, "doc_id long, start long, ids array<int>")
+    return _with_bodies(spark, path).mapInArrow(join, "doc_id long, start long, ids array<int>")
 
 
 def _with_bodies(spark: SparkSession, path: str) -> DataFrame:
-    recipes = spark.read.parquet(f"{path}/recipes")
-    uses = recipes.select("pos", "doc_id", "start", F.posexplode("digests").alias("i", "digest")).join(spark.read.parquet(f"{path}/chunks"), "digest")
-    return uses.groupBy("pos", "doc_id", "start").agg(F.collect_list(F.struct("i", "ids")).alias("chunks")).select("doc_id", "start", "chunks")
+    recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
+    uses = recipes.select("pos", "doc_id", "start", "root", F.posexplode("digests").alias("i", "digest")).join(spark.read.schema(CHUNK).parquet(f"{path}/chunks"), "digest", "left")
+    return uses.groupBy("pos", "doc_id", "start", "root").agg(F.collect_list(F.struct("i", "digest", "ids")).alias("chunks")).select("doc_id", "start", "root", "chunks")

@@ -85,6 +85,44 @@ def test_crc_of_parts():
         assert int(np.bitwise_xor.reduce(terms)) == zlib.crc32(b"".join(parts))
 
 
+def damaged(spark, path):
+    """Whatever file of a store is lost, repeated or swapped, both readers raise."""
+    import shutil
+    from pathlib import Path
+
+    def fails(what, change):
+        other = fresh_dir(spark, "test-store")
+        shutil.copytree(path, other)
+        change(Path(other))
+        for read in (tokenstore.read_digests, tokenstore.read_documents):
+            with pytest.raises(Exception, match=what):
+                read(spark, other).collect()
+
+    files = lambda root, kind: sorted((root / kind).glob("*.parquet"))
+    fails("manifest", lambda root: files(root, "recipes")[-1].unlink())
+    fails("manifest", lambda root: shutil.copy(files(root, "recipes")[0], root / "recipes" / "again.parquet"))
+    fails("stored", lambda root: files(root, "chunks")[-1].unlink())
+
+    def swap(root):
+        rows = spark.read.parquet(f"{root}/recipes").orderBy("pos").collect()
+        ids = [r["doc_id"] for r in rows]
+        ids[0], ids[1] = ids[1], ids[0]
+        out = spark.createDataFrame([(*r[:], i) for r, i in zip(rows, ids, strict=True)], spark.read.parquet(f"{root}/recipes").schema.add("swapped", "long"))
+        out.withColumn("doc_id", F.col("swapped")).drop("swapped").write.parquet(f"{root}/changed")
+        shutil.rmtree(root / "recipes")
+        (root / "changed").rename(root / "recipes")
+
+    fails("manifest", swap)
+
+
+def test_narrow_stores_refuse_wide_ids(spark, monkeypatch):
+    made = tokenstore._encode(vocabulary(BYTE), 70_000, False)
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="wide"):
+        next(made(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a"]})])))
+
+
 def test_token_store(spark):
     texts = [*ODD, *fuzz(4, 40), *["the same long text, again and again. " * 300] * 5, " ".join(fuzz(5, 900))]
     path, ids = fresh_dir(spark, "test-store"), library(BYTE)
@@ -100,6 +138,13 @@ def test_token_store(spark):
     assert chunks.count() == chunks.select("digest").distinct().count()
     whole = spark.read.parquet(f"{path}/manifest").filter("part = -1").first()
     assert (whole["documents"], whole["tokens"]) == (len(texts), at)
+    damaged(spark, path)
+    odd = spark.createDataFrame([(2, "twice"), (2, "twice"), (None, "no id"), (1, "x" * 200_000)], "doc_id long, text string")
+    path = fresh_dir(spark, "test-store")
+    tokenstore.write(odd, path, BYTE)
+    rows = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in tokenstore.read_digests(spark, path).collect())
+    sizes = [len(ids(x)) + 1 for x in ("no id", "x" * 200_000, "twice", "twice")]
+    assert [(r[0], r[2]) for r in rows] == [(sum(sizes[:k]), n) for k, n in enumerate(sizes)] and [r[1] for r in rows] == [None, 1, 2, 2]
     empty = fresh_dir(spark, "test-store")
     tokenstore.write(documents(spark, ODD).limit(0), empty, BYTE)
     assert tokenstore.read_digests(spark, empty).count() == 0

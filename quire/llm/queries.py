@@ -47,7 +47,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(audio.store(table(spark, sf_dir, "documents")))
+    return audio.digests(audio.extract(audio.store(table(spark, sf_dir, "documents"))))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,11 +269,70 @@ def test_warc_notices_damage():
         warc.parse(raw.replace(b"payload\r", b"paYload\r"))
 
 
+def plain_features(samples):
+    """Log-mel patches and segments of 8-bit samples at 16 kHz, written out without vectors."""
+    import cmath
+    import math
+
+    x = [(b - 128) / 128 for b in samples]
+    taps = [math.sin(math.pi * (t - 7.5) / 2) / (math.pi * (t - 7.5) / 2) * (0.54 - 0.46 * math.cos(2 * math.pi * t / 15)) for t in range(16)]
+    taps = [h / sum(taps) for h in taps]
+    half = [sum(taps[k] * x[n - k] for k in range(16) if n - k >= 0) for n in range(0, len(x), 2)]
+    frames = max(1, -(-max(0, len(half) - 256) // 128) + 1)
+    half += [0.0] * ((frames - 1) * 128 + 256 - len(half))
+    top = 2595 * math.log10(1 + 4000 / 700)
+    edges = [700 * (10 ** (top * k / 25 / 2595) - 1) / 8000 * 256 for k in range(26)]
+    mel = []
+    for f in range(frames):
+        window = [half[128 * f + n] * (0.5 - 0.5 * math.cos(2 * math.pi * n / 256)) for n in range(256)]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * k * n / 256) for n, v in enumerate(window))) ** 2 for k in range(129)]
+        row = []
+        for m in range(24):
+            a, b, c = edges[m : m + 3]
+            row.append(math.log(sum(p * max(0, min((k - a) / (b - a), (c - k) / (c - b))) for k, p in enumerate(power)) + 1e-6))
+        mel.append(row)
+    return mel
+
+
+def test_features_against_a_plain_version():
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    raw = bytes(rnd.choice(b"The quick brown fox, 0123") if (i // 700) % 2 else 128 for i in range(192 * 12))
+    batch, spans = audio.features(audio.wave(raw))
+    got = np.array(batch.column(0).storage.flatten()).reshape(-1, audio.MELS).astype(float)
+    want = np.array(plain_features(raw))
+    # a rounded value may lie a step further where the plain one is between two steps
+    assert np.abs(got[: len(want)] - want).max() <= 0.75 * audio.STEP + 2e-3 and (got[len(want) :] == got[-1]).all()
+    energy = got[: len(want)].mean(axis=1)
+    level, on, plain = energy - sorted(energy)[len(energy) // 10], False, []
+    for i, e in enumerate(level):
+        if not on and e >= audio.BEGIN:
+            on, begin = True, i
+        elif on and e < audio.END:
+            on = False
+            plain.append((begin, i))
+    if on:
+        plain.append((begin, len(level)))
+    assert plain and spans == [(a * 128 / 8000, b * 128 / 8000) for a, b in plain]
+    seconds = [(r["start_s"], r["end_s"]) for r in batch.drop_columns(["patch"]).to_pylist()]
+    assert seconds == [(k * 32 * 128 / 8000, min((k + 1) * 32 * 128 / 8000, len(raw) / 16000)) for k in range(len(seconds))]
+    assert batch.schema.field("patch").type == pa.fixed_shape_tensor(pa.float16(), [32, 24])
+
+
 def test_media(spark):
-    texts = [*ODD, *fuzz(7, 20), "same", "same", "loud " * 2000]
-    stored = audio.store(documents(spark, texts, True))
-    rows = {r["doc_id"]: r for r in audio.digests(stored).collect()}
+    import pyarrow as pa
+
+    texts = [*ODD, *fuzz(7, 20), "same", "same", "loud " * 2000, "long " * 100_000]
+    docs = documents(spark, texts, True)
+    docs = docs.unionByName(docs.filter("doc_id = 3")).unionByName(docs.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    stored = audio.store(docs)
+    extracted = audio.extract(stored)
+    every = audio.digests(extracted).collect()
+    rows = {r["doc_id"]: r for r in every}
+    assert len(every) == len(texts) + 2 and rows[None]["feature"] == rows[4]["feature"] and len({r["feature"] for r in every if r["doc_id"] == 3}) == 1
     media = {r["doc_id"]: r["media"] for r in stored.collect()}
+    kept = {r["doc_id"]: r for r in extracted.collect()}
     for i, text in enumerate(texts):
         raw = (text or "").encode()
         padded = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
@@ -281,13 +340,15 @@ def test_media(spark):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
-    assert rows[len(texts) - 3]["feature"] == rows[len(texts) - 2]["feature"]
-    one = audio.extract(stored).filter(F.col("doc_id") == len(texts) - 1).first()
-    import pyarrow as pa
-
-    patches = pa.ipc.open_stream(one["patches"]).read_all()
+        # the query's feature is that of the tensors and spans that are stored
+        patches, spans = kept[i]["patches"], [struct.pack("<dd", *x) for x in kept[i]["segments"]]
+        n = pa.ipc.open_stream(patches).read_all().num_rows
+        assert r["feature"] == f"patches={n}x32x24;segments={len(spans)};sha256={hashlib.sha256(patches + b''.join(spans)).hexdigest()}"
+        assert patches == audio.stream(audio.features(media[i])[0])
+    assert rows[len(texts) - 4]["feature"] == rows[len(texts) - 3]["feature"]
+    patches = pa.ipc.open_stream(kept[len(texts) - 2]["patches"]).read_all()
     assert patches.schema.field("patch").type == audio.TENSOR and patches.num_rows == -(-audio.log_mel(np.zeros(5000, np.float32), 8000).shape[0] // audio.FRAMES)
-    assert audio.digests(audio.store(documents(spark, ODD).limit(0))).count() == 0
+    assert audio.digests(audio.extract(audio.store(documents(spark, ODD).limit(0)))).count() == 0
 
 
 def test_resampling_and_segments():

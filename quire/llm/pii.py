@@ -9,11 +9,13 @@ stay; added kinds need a score of at least ``least``.
 Spans are code points, end exclusive.  Per kind, matches are leftmost and don't
 overlap, a match that fails its validator is dropped and not tried again from a later
 start; spans of different kinds may overlap.  Null and empty texts have no spans;
-repeated rows give equal ones; other columns are ignored.
+every row gives one, so repeated rows and null ids do too; an empty table gives no
+rows; find() ignores other columns, redact() keeps them.
 
 The patterns are those of the kinds with possessive quantifiers and with a
 look-behind that lets a run of characters be tried only from its start (or from the
 end of the last match): the matches are the same, and no text makes them quadratic.
+Nor does the number of matches: their places come from sums over blocks.
 """
 
 from __future__ import annotations
@@ -78,35 +80,57 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def find(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, text, spans: array<struct<start, order, end, kind, score>> in ascending order.
+def _before(values: Column, start: Column | int, step, block: int = 64) -> Column:
+    """For each element of a column of arrays what step makes of all elements before it, from start on.
 
-    keep: all columns of docs stay, beside spans (which must not be among them).
+    step must be associative with start as its neutral element.  Blocks are reduced
+    first, then each element goes over its own block alone, so the cost is linear
+    (but for a copy of one number for each pair of blocks).
     """
+    zero = F.lit(start)
+    part = lambda b, n: F.slice(values, (b * block + 1).cast("int"), n)
+    last = F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(part(b, F.lit(block)), zero, step))
+    # what stands before each block; an argument of transform, so that it's made once
+    bounds = F.aggregate(blocks, F.array(zero), lambda done, x: F.array_append(done, step(F.element_at(done, -1), x)))
+    return F.flatten(F.transform(bounds, lambda bound, b: F.transform(part(b, F.lit(block)), lambda _, j: F.aggregate(part(b, j), bound, step))))
+
+
+SPANS = "array<struct<start:int,order:int,end:int,kind:string,score:double>>"
+
+
+def _with_spans(rows: DataFrame, least: float) -> DataFrame:
+    """rows (any columns, of which text is one) with spans; names that begin with an underscore are this function's own."""
+    columns = rows.columns
     # the marks can't be part of any match, so any other character may stand for them
-    clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), _MARK, "\x02")
+    clean = F.translate(F.coalesce("text", F.lit("")), _MARK, "\x02")
     marked = lambda k: F.when((F.contains("_text", F.lit(NEEDS[k])) if k in NEEDS else F.lit(True)) & F.col("_text").rlike(PATTERN[k]), F.split(F.regexp_replace("_text", PATTERN[k], f"{_MARK}$0{_MARK}"), _MARK))
-    rows = docs if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    columns = rows.columns
-    rows = rows.withColumn("_text", clean if keep else F.translate(F.coalesce("text", F.lit("")), _MARK, "\x02"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in columns], *[marked(k).alias(f"_parts_{k}") for k in KINDS])
+    rows = rows.withColumn("_text", clean)
+    rows = rows.select(*columns, *[marked(k).alias(f"_parts_{k}") for k in KINDS])
     rows = rows.select("*", *[F.transform(f"_parts_{k}", F.length).alias(f"_sizes_{k}") for k in KINDS])
+    # every other part is a match; it starts after all that stands before it
+    rows = rows.select("*", *[F.when(F.col(f"_sizes_{k}").isNotNull(), _before(F.col(f"_sizes_{k}"), 0, lambda s, x: s + x)).alias(f"_starts_{k}") for k in KINDS])
 
     def spans(order: int, kind: str) -> Column:
-        parts, sizes = F.col(f"_parts_{kind}"), F.col(f"_sizes_{kind}")
+        parts, starts = F.col(f"_parts_{kind}"), F.col(f"_starts_{kind}")
         odd = F.filter(parts, lambda x, i: i % 2 == 1)
 
         def span(value: Column, i: Column) -> Column:
-            start = F.aggregate(F.slice(sizes, F.lit(1), 2 * i + 1), F.lit(0), lambda s, x: s + x)
+            start = F.get(starts, 2 * i + 1)
             around = F.concat(F.right(F.get(parts, 2 * i), F.lit(REACH)), F.lit(" | "), F.left(F.get(parts, 2 * i + 2), F.lit(REACH)))
             score = F.lit(PROPOSED) + F.lit(CONFIRMED if kind != "ssn" else 0.0) + F.when(around.rlike(NEAR[kind]), WORD_FOR).otherwise(0.0) + F.when(around.rlike(AGAINST), WORD_AGAINST).otherwise(0.0)
             return F.struct(start.alias("start"), F.lit(order).alias("order"), (start + F.length(value)).alias("end"), F.lit(kind).alias("kind"), F.when(_valid(kind, value), F.round(score, 2)).otherwise(-1.0).alias("score"))
 
         bound = 0.0 if kind in BASE else least
-        return F.coalesce(F.filter(F.transform(odd, span), lambda x: x["score"] >= bound), F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>"))
+        return F.coalesce(F.filter(F.transform(odd, span), lambda x: x["score"] >= bound), F.array().cast(SPANS))
+
+    found = rows.select(*columns, *[spans(i, k).alias(f"_spans_{k}") for i, k in enumerate(KINDS)])
+    return found.select(*columns, F.array_sort(F.flatten(F.array(*[f"_spans_{k}" for k in KINDS]))).alias("spans"))
+
 
-    found = rows.select(*[F.col(f"`{c}`") for c in columns], *[spans(i, k).alias(f"_spans_{k}") for i, k in enumerate(KINDS)])
-    return found.select(*[F.col(f"`{c}`") for c in columns], F.array_sort(F.flatten(F.array(*[f"_spans_{k}" for k in KINDS]))).alias("spans"))
+def find(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, spans: array<struct<start, order, end, kind, score>> in ascending order."""
+    return _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least)
 
 
 def _listed(spans: Column) -> Column:
@@ -120,29 +144,44 @@ def summarise(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, least: float = LEAST, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans become one.  All columns and rows stay.
+def redact(docs: DataFrame, least: float = LEAST, text_col: str = "text", length_col: str = "n_chars", block: int = 1024) -> DataFrame:
+    """docs with every span replaced by its kind in brackets; overlapping spans become one.  All columns and rows stay, whatever their names.
 
-    length_col, where docs have it, gets the new length of changed texts.  A null text stays null.
+    length_col, where docs have it, gets the new length of changed texts.  A null
+    text stays null.  A stretch of text is taken from the blocks of so many characters
+    that it lies in, so the cost is linear in the text and its spans.
     """
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
     columns = docs.columns
-    found = find(docs, least, text_col=text_col, keep=True)
-    text = F.col(f"`{text_col}`")
-
-    def step(done: Column, x: Column) -> Column:
-        inside = x["start"] < done["end"]
-        between = F.substr(text, done["end"] + 1, x["start"] - done["end"])
-        return F.struct(
-            F.greatest(done["end"], x["end"]).alias("end"),
-            F.when(inside, done["out"]).otherwise(F.concat(done["out"], between, F.lit("["), F.upper(x["kind"]), F.lit("]"))).alias("out"),
-        )
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substr(text, d["end"] + 1)))
-    changed = found.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text))
-    if length_col in columns:
-        kind = dict(docs.dtypes)[length_col]
-        changed = changed.withColumn(length_col, F.when(F.size("spans") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return changed.select(*[F.col(f"`{c}`") for c in columns])
+    # columns of docs are in a struct, so that no name of theirs meets one made here
+    found = _with_spans(docs.select(F.struct(*[named(c) for c in columns]).alias("row"), named(text_col).alias("text")), least)
+    found = found.withColumn("some", F.size("spans") > 0)
+    found = found.withColumn("blocks", F.when(F.col("some"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))))
+    # a column, as it's used at every element
+    found, ends = found.withColumn("ends", F.transform("spans", lambda x: x["end"])), F.col("ends")
+
+    def stretch(begin: Column, end: Column) -> Column:
+        first, last = F.floor(begin / block).cast("int"), F.floor(end / block).cast("int")
+        return F.substr(F.array_join(F.slice("blocks", first + 1, last - first + 1), ""), begin - first * block + 1, F.greatest(end - begin, F.lit(0)))
+
+    def piece(x: Column, done: Column) -> Column:
+        return F.when(x["start"] < done, F.lit("")).otherwise(F.concat(stretch(done, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+
+    # where the text was left before each span; an argument of zip_with, so that it's made once
+    before = _before(ends, 0, lambda a, b: F.greatest(a, b))
+    rest = stretch(F.array_max(ends), F.length("text"))
+    found = found.withColumn("cleaned", F.when(F.col("some"), F.concat(F.array_join(F.zip_with("spans", before, piece), ""), rest)).otherwise(F.col("text")))
+    kinds = dict(docs.dtypes)
+
+    def final(c: str) -> Column:
+        old = F.col("row").getField(c)
+        if c == text_col:
+            return F.col("cleaned").alias(c)
+        if c == length_col:
+            return F.when(F.col("some"), F.length("cleaned").cast(kinds[c])).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return found.select(*[final(c) for c in columns])
 
 
 def _sql_kind(order: int, kind: str, pattern: str, valid: str, near: str, least: float) -> str:

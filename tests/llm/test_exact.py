@@ -405,6 +405,43 @@ def test_redaction(spark):
     assert (rows[2]["text"], rows[3]["text"], rows[3]["n_chars"]) == (None, "clean", 5) and pii.redact(docs).columns == docs.columns
 
 
+def test_redaction_of_clashing_names_and_odd_rows(spark):
+    names = ["spans", "_text", "_parts_email", "row", "some", "blocks", "done", "cleaned", "_starts_ip", "a.b", "t`x"]
+    docs = spark.createDataFrame([(1, "a@b.co", 6, *names), (1, "a@b.co", 6, *names), (None, "+1 212-555-0147 and a@b.co", None, *names)], ["doc_id", "text", "n_chars", *names])
+    rows = pii.redact(docs).collect()
+    assert sorted(r["text"] for r in rows) == ["[EMAIL]", "[EMAIL]", "[PHONE] and [EMAIL]"] and all(r[c] == c for r in rows for c in names)
+    assert pii.redact(docs).columns == docs.columns and pii.redact(docs.limit(0)).count() == 0
+    got = pii.summarise(pii.find(docs)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_email"], r["n_phone"]) for r in got) == [(0, 1, 1), (1, 1, 0), (1, 1, 0)]
+    assert pii.summarise(pii.find(docs.limit(0))).count() == 0
+
+
+def test_redaction_against_a_plain_version(spark):
+    pieces = ["4111 1111 1111 1111", "a@b.co", "+1 212-555-0147", "10.0.0.1", "😀", "é", " ", "-", "word " * 300, "\n", "1.2.3.4@x.y", "+10.0.0.12.14"]
+    texts = [*fuzz(12, 300, pieces), "a@b.co " * 2000]
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(documents(spark, texts)).collect()}
+    for r in pii.redact(documents(spark, texts)).collect():
+        text, at, out = texts[r["doc_id"]], 0, []
+        for x in spans[r["doc_id"]]:
+            if x["start"] >= at:
+                out += [text[at : x["start"]], f"[{x['kind'].upper()}]"]
+            at = max(at, x["end"])
+        assert r["text"] == "".join([*out, text[at:]])
+
+
+def test_many_matches_cost_little(spark):
+    import time
+
+    took = {}
+    for n in (1_000, 32_000):
+        docs = documents(spark, ["someone@example.org, " * n])
+        began = time.time()
+        row = pii.summarise(pii.find(docs)).first()
+        assert row["n_email"] == n and row["spans"].endswith(f"email:{21 * n - 21}:{21 * n - 2}") and len(pii.redact(docs).first()["text"]) == 9 * n
+        took[n] = time.time() - began
+    assert took[32_000] < 15  # ways that are quadratic in the matches took more than 30
+
+
 def brute_components(texts, size, percent):
     sets = []
     for t in texts:

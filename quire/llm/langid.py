@@ -19,15 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, hold
+from quire.llm.common import held_out, hold, materialize
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-#: Bounds of training: texts of each language, languages, landmarks, n-grams, bytes taken of a training text.
-PER_LANGUAGE, LANGUAGES, LANDMARKS, GRAMS, TRAINING_BYTES = 400, 256, 320, 6000, 4000
+#: Bounds of training: texts of each language, texts of all languages together, landmarks (one for each language at least), n-grams.
+PER_LANGUAGE, TEXTS, LANDMARKS, GRAMS = 400, 3200, 320, 6000
 RIDGE, SHARPNESS = 1e-3, 8.0
 
 
@@ -45,11 +45,19 @@ def prepare(text: str) -> bytes:
     return b" " + text.lower().encode().replace(b"\0", b" ") + b" "
 
 
+def spectrum(text: str) -> np.ndarray:
+    """The sorted distinct n-grams of a whole text."""
+    raw, found = np.frombuffer(prepare(text), np.uint8), np.zeros(0, np.int32)
+    for low in range(0, len(raw), 1 << 20):  # two bytes more, for the n-grams across
+        found = np.unique(np.concatenate([found, *codes(raw[low : low + (1 << 20) + 2])]))
+    return found
+
+
 class Model:
-    """Weights of n-grams for each language; see fit()."""
+    """Weights of n-grams for each language, and the landmarks' places among the samples; see fit()."""
 
-    def __init__(self, languages: list[str], grams: np.ndarray, weights: np.ndarray):
-        self.languages, self.grams, self.weights = languages, grams, weights
+    def __init__(self, languages: list[str], grams: np.ndarray, weights: np.ndarray, landmarks: np.ndarray | None = None):
+        self.languages, self.grams, self.weights, self.landmarks = languages, grams, weights, landmarks
         self._table: np.ndarray | None = None
 
     def __getstate__(self):
@@ -93,22 +101,22 @@ class Model:
         return names, sure
 
 
-def fit(samples: list[tuple[str, str]]) -> Model:
-    """samples: (text, language).  Equal samples in any order give equal models."""
-    samples = sorted({(prepare(t).decode()[:TRAINING_BYTES], y) for t, y in samples if LETTER.search(t)})
+def fit(samples: list[tuple[np.ndarray, str]]) -> Model:
+    """samples: (spectrum of a whole text, language).  Equal samples in any order give equal models."""
+    samples = sorted({(x.astype("<i4").tobytes(), y) for x, y in samples})
     languages = sorted({y for _, y in samples})
     if not samples:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    raw = [t.encode() for t, _ in samples]
+    sets = [np.frombuffer(x, "<i4") for x, _ in samples]
     target = np.array([[1.0 if y == name else -1.0 for name in languages] for _, y in samples])
     counts = np.zeros(1 << 24, np.int32)
-    sets = [np.unique(np.concatenate([*codes(np.frombuffer(x, np.uint8))])) for x in raw]
     for x in sets:
         counts[x] += 1
     found = np.flatnonzero(counts)
     grams = np.sort(found[np.argsort(-counts[found], kind="stable")][:GRAMS])
-    model = Model(languages, grams, np.zeros((len(grams), len(languages)), np.float32))
-    there = model.presence(raw).astype(np.float64)
+    there = np.zeros((len(sets), len(grams)))
+    for row, x in zip(there, sets, strict=True):
+        row[np.isin(grams, x, assume_unique=True)] = 1
     there /= np.sqrt(np.maximum(1, there.sum(axis=1)))[:, None]
     # landmarks: as many of each language, evenly over the sorted samples
     share = max(1, LANDMARKS // len(languages))
@@ -124,27 +132,32 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     for k in range(len(languages)):
         w = np.where(target[:, k] > 0, weigh[k], 1 / max(1, (target[:, k] < 0).sum()))
         out[:, k] = np.linalg.solve((feature.T * w) @ feature + RIDGE * np.eye(feature.shape[1]), (feature.T * w) @ target[:, k])
-    return Model(languages, grams, (marks.T @ root @ out).astype(np.float32))
+    return Model(languages, grams, (marks.T @ root @ out).astype(np.float32), chosen)
+
+
+def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [spectrum(x).astype("<i4").tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["lang", "found"])
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from at most per_language texts of each of the languages most frequent among those that may be learnt from.
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, texts: int = TEXTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learns from per_language texts of each language, fewer where that were more than texts altogether, but one of each at least.
 
-    Texts are drawn by a hash of the id.  Rows held out, and rows without a language or a text, aren't read.
+    Texts with a letter are drawn by a hash of the id and the text, and are whole:
+    executors make their spectra, and the driver gets those.  Rows held out, and rows
+    without a language, aren't read; null ids may be learnt from; equal rows count once.
     """
-    may = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
-    if not counts:
-        return fit([])
-    at, span = F.pmod(F.xxhash64("id"), F.lit(1 << 30)), 1 << 30
-    drawn = F.lit(False)
-    for r in counts:  # twice as many as are wanted, cut to size below
-        drawn = drawn | ((F.col("lang") == r["lang"]) & (at < min(span, 2 * per_language * span // r["count"])))
-    rows = may.filter(drawn).select("lang", F.substring("text", 1, TRAINING_BYTES).alias("text"), at.alias("at")).limit(4 * per_language * len(counts)).collect()
-    by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda x: (x["at"], x["text"])):
-        by.setdefault(r["lang"], []).append(r["text"])
-    return fit([(t, y) for y, texts in by.items() for t in texts[:per_language]])
+    known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull())
+    counts = materialize(known.groupBy(F.col(lang_col).alias("lang")).count(), "languages")  # a row for each language; reads no text
+    may = known.filter(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("at"))
+    each = max(1, min(per_language, texts // max(1, counts.count())))
+    # about twice as many as are wanted, so that no language's texts are all ranked by one task
+    some = may.join(counts, "lang").filter(F.col("at") < F.lit(2 * each + 20) * F.lit(1 << 40) / F.col("count"))
+    order = Window.partitionBy("lang").orderBy("at", "text")
+    drawn = some.dropDuplicates(["lang", "at"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).select("lang", "text")
+    rows = drawn.mapInArrow(_spectra, "lang string, found binary").collect()
+    return fit([(np.frombuffer(r["found"], "<i4"), r["lang"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

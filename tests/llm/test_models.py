@@ -46,15 +46,48 @@ def test_language_of_odd_texts(spark):
 
 
 def test_kernel_scores_are_the_landmarks(spark):
-    """The folded product equals kernel ridge regression with explicit kernels."""
+    """The folded product equals kernel ridge regression written out: kernels with the landmarks, Nystroem features, one solution for each language."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang IS NOT NULL")
-    samples = [(r["text"], r["lang"]) for r in docs.limit(60).collect() if r["text"]]
-    model = langid.fit(samples)
-    texts = [langid.prepare(t)[:3000] for t, _ in samples[:20]]
-    there = model.presence(texts)
-    for row, raw in zip(there, texts, strict=True):
-        grams = {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
-        assert row.sum() == sum(int.from_bytes(g, "big") in set(model.grams.tolist()) for g in grams)
+    samples = [(r["text"], r["lang"]) for r in docs.limit(80).collect() if r["text"] and langid.LETTER.search(r["text"])]
+    model = langid.fit([(langid.spectrum(t), y) for t, y in samples])
+    grams = set(model.grams.tolist())
+
+    def present(text):
+        raw = b" " + text.lower().encode().replace(b"\0", b" ") + b" "
+        return {int.from_bytes(raw[i : i + n], "big") for n in (1, 2, 3) for i in range(len(raw) - n + 1)} & grams
+
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    ordered = sorted({(langid.spectrum(t).astype("<i4").tobytes(), y): t for t, y in samples}.items())
+    sets, langs = [present(t) for _, t in ordered], [k[1] for k, _ in ordered]
+    marks = [sets[i] for i in model.landmarks]
+    assert {langs[i] for i in model.landmarks} == set(langs) == set(model.languages)
+    between = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(between)
+    kept = value > value.max() * 1e-9
+    root = vector[:, kept] / np.sqrt(value[kept])
+    feature = np.array([[kernel(a, b) for b in marks] for a in sets]) @ root
+    tested = [t for t, _ in samples[:10]] + ["der die das und", "x"]
+    asked = np.array([[kernel(present(t), b) for b in marks] for t in tested]) @ root
+    for k, name in enumerate(model.languages):
+        y = np.array([1.0 if x == name else -1.0 for x in langs])
+        w = np.where(y > 0, 1 / (y > 0).sum(), 1 / max(1, (y < 0).sum()))
+        solved = np.linalg.solve((feature.T * w) @ feature + langid.RIDGE * np.eye(feature.shape[1]), (feature.T * w) @ y)
+        assert np.allclose(model.scores([langid.prepare(t) for t in tested])[:, k], asked @ solved, atol=2e-3)
+
+
+def test_language_learns_whole_texts_of_all_languages(spark):
+    """No language is left out, and what stands only at the end of long texts is learnt."""
+    rows = [(i, "x" * 30_000 + f" q{i % 300:03d}" * 40, f"l{i % 300:03d}") for i in range(1200)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), texts=600)
+    assert len(model.languages) == 300
+    end = int.from_bytes(b"q29", "big")
+    assert end in langid.spectrum(rows[299][1]) and end in model.grams
+    again = spark.createDataFrame([*rows[:600], *rows[:600]], "doc_id long, text string, lang string")
+    a, b = langid.train(again.repartition(3)), langid.train(spark.createDataFrame(rows[:600], "doc_id long, text string, lang string"))
+    assert a.languages == b.languages and (a.weights == b.weights).all()
+    twice = spark.createDataFrame([(7, "q007"), (7, "q007"), (None, "q007")], "doc_id long, text string")
+    assert len({(r["lang_pred"], r["score"]) for r in langid.identify(twice, model).collect()}) == 1
+    assert langid.identify(twice.limit(0), model).count() == 0
 
 
 def planted(n, seed):

@@ -1,12 +1,16 @@
 """Deterministic sharded WARC writer, and a reader that verifies.
 
-Records are range-sorted by page id and written one gzip member each; a file is
-closed once it holds ``roll_bytes`` compressed bytes.  Headers, record ids and digests
-are made anew from the page id and the payload, so equal input gives equal files.  A
-file is written under a temporary name of its task attempt and renamed when whole;
-the manifest names the files that count, so a task that is lost and run again leaves
-no double.  Files are reached through pyarrow's file systems, by the URI of a folder
-that driver and executors share.
+Records are range-sorted by page id and payload digest, and compressed to one gzip member
+each.  Every range's members are written to a segment; file k then gets the members
+that begin in the k-th ``roll_bytes`` of the compressed stream of all ranges, whichever
+segments they are in.  Headers, record ids and digests are made anew from the page id and
+the payload.  So the files depend on the records and on roll_bytes alone, not on
+the number or the bounds of the ranges.
+
+Segments and files are written under temporary names of their task attempts and renamed
+when whole; the table of segments and the manifest name those that count, so a task that
+is lost and run again leaves no double.  Files are reached through pyarrow's file
+systems, by the URI of a folder that driver and executors share.
 
 Of the records with equal payloads of at least ``least`` bytes the one with the
 largest page id is a response and the others are revisits that refer to it; smaller
@@ -30,11 +34,12 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import discard, materialize
 
+#: Members of a file begin in one stretch of roll_bytes, so it may be longer than that by its last member.
 MANIFEST = "file string, bytes long, sha256 string, records long, first_id long, last_id long"
 #: The date of every record: contents alone decide the bytes of a file.
 DATE = "2000-01-01T00:00:00Z"
@@ -72,54 +77,86 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 class _File:
-    """A file being written under a temporary name."""
-
-    def __init__(self, folder: str, name: str):
-        self.store, root = _fold(folder)
-        self.name, self.final = name, f"{root}/{name}"
-        self.temporary = f"{root}/_temporary-{uuid.uuid4().hex}-{name}"
-        self.out, self.hash = self.store.open_output_stream(self.temporary, compression=None), hashlib.sha256()
-        self.size, self.ids, self.records = 0, [], 0
-
-    def add(self, page_id: int | None, body: bytes) -> None:
-        packer = zlib.compressobj(6, zlib.DEFLATED, 31)  # no time or name in the member's header
-        member = packer.compress(body) + packer.flush()
-        self.out.write(member)
-        self.hash.update(member)
-        self.size, self.records = self.size + len(member), self.records + 1
-        self.ids = [self.ids[0] if self.ids else page_id, page_id]
-
-    def commit(self) -> tuple:
+    """A file being written under a temporary name; its own name may have the digest of what it holds."""
+
+    def __init__(self, store: fs.FileSystem, root: str):
+        self.store, self.root = store, root
+        self.temporary = f"{root}/_temporary-{uuid.uuid4().hex}"
+        self.out, self.hash, self.size = store.open_output_stream(self.temporary, compression=None), hashlib.sha256(), 0
+
+    def add(self, body: bytes) -> None:
+        self.out.write(body)
+        self.hash.update(body)
+        self.size += len(body)
+
+    def commit(self, name: str) -> None:
         self.out.close()
-        self.store.move(self.temporary, self.final)
-        return self.name, self.size, self.hash.hexdigest(), self.records, *self.ids
+        self.store.move(self.temporary, f"{self.root}/{name}")
+
+
+def member(body: bytes) -> bytes:
+    """One gzip member, without time or name in its header."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(body) + packer.flush()
 
 
-def _write(folder: str, roll_bytes: int):
+SEGMENT = "part int, segment string, at long, bytes long, page_id long"
+
+
+def _segments(folder: str):
+    """Writes the members of a partition to one segment; a row for each record, where it begins and how long it is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, current, refers = TaskContext.get().partitionId(), [], None, {}
-        last = object()
+        part, out, name = TaskContext.get().partitionId(), None, f"_segment-{uuid.uuid4().hex}"
+        group, refers, index = None, None, ([], [], [])
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 for page_id, kind, digest, to, url, html in zip(*(c.to_pylist() for c in batch.slice(low, 500).columns), strict=True):
-                    if page_id != last:
-                        last, refers = page_id, {}
+                    if (page_id, digest) != group:
+                        group, refers = (page_id, digest), None
                     if kind == 0:  # what a payload of this page refers to stands before its records
-                        refers[digest] = to
+                        refers = to
                         continue
-                    payload = (html or "").encode()
-                    to = refers.get(digest)
-                    if current is None:
-                        current = _File(folder, f"part-{part:06d}-{len(made):06d}.warc.gz")
-                    current.add(page_id, record(page_id, url, payload, to))
-                    if current.size >= roll_bytes:
-                        made.append(current.commit())
-                        current = None
-        if current is not None:
-            made.append(current.commit())
-        if made:
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["file", "bytes", "sha256", "records", "first_id", "last_id"])
+                    if out is None:
+                        out = _File(*_fold(folder))
+                    body = member(record(page_id, url, (html or "").encode(), refers))
+                    for column, value in zip(index, (out.size, len(body), page_id), strict=True):
+                        column.append(value)
+                    out.add(body)
+        if out is not None:
+            out.commit(name)
+            n = len(index[0])
+            for low in range(0, n, 10_000):
+                rows = [pa.array(x[low : low + 10_000], pa.int64()) for x in index]
+                m = len(rows[0])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array([name] * m, pa.string()), *rows], names=["part", "segment", "at", "bytes", "page_id"])
+
+    return run
+
+
+def _assemble(folder: str):
+    """Puts files together from stretches of segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _fold(folder)
+        for batch in batches:
+            for number, stretches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out, name = _File(store, root), f"{number:08d}.warc.gz"
+                stretches.sort(key=lambda x: x["part"])
+                for x in stretches:
+                    with store.open_input_file(f"{root}/{x['segment']}") as source:
+                        source.seek(x["begin"])
+                        left = x["end"] - x["begin"]
+                        while left:
+                            body = source.read(min(left, 1 << 22))
+                            if not body:
+                                raise ValueError(f"{x['segment']} isn't whole")
+                            out.add(body)
+                            left -= len(body)
+                out.commit(name)
+                row = (name, out.size, out.hash.hexdigest(), sum(x["records"] for x in stretches), stretches[0]["first_id"], stretches[-1]["last_id"])
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["file", "bytes", "sha256", "records", "first_id", "last_id"])
 
     return run
 
@@ -135,16 +172,31 @@ def write(pages: DataFrame, folder: str, least: int = 1000, roll_bytes: int = 64
     text = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(F.encode(text, "UTF-8")).alias("digest"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     small = materialize(pages.filter(F.octet_length(text) >= least).select(F.col(id_col).cast("long").alias("page_id"), F.sha1(F.encode(text, "UTF-8")).alias("digest")), "digests")
-    largest = small.groupBy("digest").agg(F.max("page_id").alias("to"), F.count("*").alias("n")).filter("n > 1 AND to IS NOT NULL").drop("n")
-    notes = small.join(materialize(largest, "largest"), "digest").filter("page_id < to OR page_id IS NULL").distinct()
+    largest = materialize(small.groupBy("digest").agg(F.max("page_id").alias("to"), F.count("*").alias("n")).filter("n > 1 AND to IS NOT NULL").drop("n"), "largest")
+    notes = small.join(largest, "digest").filter("page_id < to OR page_id IS NULL").distinct()
     both = notes.select("page_id", F.lit(0).alias("kind"), "digest", "to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).unionByName(
         rows.select("page_id", F.lit(1).alias("kind"), "digest", F.lit(None).cast("long").alias("to"), "url", "html")
     )
-    ordered = both.repartitionByRange(F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "kind", "digest", "url")
-    ordered.mapInArrow(_write(folder, roll_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
-    for left in store.get_file_info(fs.FileSelector(root)):  # by attempts that were lost
-        if left.base_name.startswith("_temporary-"):
+    # a page's records with one payload are in one range, whatever their number of rows elsewhere
+    keys = [F.col("page_id").asc_nulls_first(), F.col("digest")]
+    ordered = both.repartitionByRange(*keys).sortWithinPartitions(*keys, "kind", F.col("url").asc_nulls_first())
+    index = materialize(ordered.mapInArrow(_segments(folder), SEGMENT), "segments")
+    # one row for each range
+    parts = index.groupBy("part").agg(F.sum("bytes").alias("total"))
+    base = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    placed = index.join(F.broadcast(base), "part").withColumn("number", F.floor((F.col("base") + F.col("at")) / F.lit(roll_bytes)).cast("long"))
+    stretch = placed.groupBy("number", "part", "segment").agg(
+        F.min("at").alias("begin"), F.max(F.col("at") + F.col("bytes")).alias("end"), F.count("*").alias("records"), F.min_by("page_id", "at").alias("first_id"), F.max_by("page_id", "at").alias("last_id")
+    )
+    whole = stretch.groupBy("number").agg(F.collect_list(F.struct("part", "segment", "begin", "end", "records", "first_id", "last_id")).alias("stretches"))
+    numbered = whole.withColumn("file", F.row_number().over(Window.orderBy("number")) - 1).select(F.col("file").cast("long"), "stretches")  # one row for each file
+    numbered = materialize(numbered, "files")
+    files = max(1, numbered.count())
+    numbered.repartition(min(files, 20_000), "file").mapInArrow(_assemble(folder), MANIFEST).write.parquet(f"{folder}/manifest")
+    for left in store.get_file_info(fs.FileSelector(root)):  # segments, and what attempts that were lost left behind
+        if left.base_name.startswith(("_temporary-", "_segment-")):
             store.delete_file(left.path)
+    discard(small, largest, index, numbered)
 
 
 def members(stream) -> Iterator[bytes]:

@@ -256,6 +256,26 @@ def test_warc(spark):
     warc.write(df, again, roll_bytes=500)
     files = lambda f: sorted((r["file"], r["sha256"]) for r in spark.read.parquet(f"{f}/manifest").collect())
     assert files(folder) == files(again)
+    # neither the layout of the input nor the number of ranges changes a byte
+    more = spark.createDataFrame([(i, f"http://a/{i}", "y" * (i * 37 % 1500) if i != 17 else "z" * 300_000) for i in range(300)] + [(5, "again", "y" * 1200)] * 3, "page_id long, url string, html string")
+    seen = set()
+    for shuffles, layout in (("2", 1), ("5", 7)):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            made = fresh_dir(spark, "test-warc")
+            warc.write(more.repartition(layout), made, roll_bytes=4000)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        seen.add(tuple(files(made)))
+        sizes = [r["bytes"] for r in spark.read.parquet(f"{made}/manifest").orderBy("file").collect()]
+        assert len(sizes) > 5 and max(sizes[:-1]) > 3000 and warc.read(spark, made).count() == 303
+        from pathlib import Path
+
+        assert not [x for x in Path(made).iterdir() if x.name.startswith("_")]
+    assert len(seen) == 1
     empty = fresh_dir(spark, "test-warc")
     warc.write(df.limit(0), empty)
     assert warc.read(spark, empty).count() == 0

@@ -4,17 +4,21 @@
    longs.  Documents with equal sets form a class, which goes on as one.
 2. Classes that share a band key are candidates.  The similarity of a candidate pair
    is estimated from the number of equal BITS-bit fields, corrected for fields that
-   are equal by chance, and pairs below the threshold less MARGIN are left out.  In
-   large buckets this is done in blocks of bounded size, which return only as many
-   links as are needed to connect what they hold.
-3. The estimated links' components are families.  Within each family, in blocks
-   again, pairs are confirmed on their full sets, and again only connecting links are
-   returned.
+   are equal by chance, and pairs below the threshold less MARGIN are left out.
+3. The estimated links' components are families.  Within each family pairs are confirmed
+   on their full sets.
 4. The confirmed links' components are the result.
 
-No task holds more than two blocks, and none emits more links than rows it holds; what
-grows with a family's square is the comparisons inside tasks.  Shingles are 64-bit
-hashes.  Bands have as many rows as leave a pair at the threshold without a shared
+Large buckets and families are connected in three steps.  Every member goes to one
+block, which connects what it holds.  One representative of each part that came of that meets
+those of the other blocks, which usually joins the parts.  Only where a bucket
+or family is still in several parts do its members meet again: those of its largest part
+stay in their blocks, and the others visit all of them, a block of visitors at a time.  So
+every pair whose link could join two parts is compared.  A member of a connected group is
+shipped once, or twice if it's a representative; only the rows of visitors, and of hosts for
+each block of visitors, are more.
+
+No task holds more than two blocks, and none emits more links than rows it holds.  Shingles are 64-bit hashes.  Bands have as many rows as leave a pair at the threshold without a shared
 band with a probability of MISS at most: 6 at 0.85, 5 at 0.8.
 
 Defined cases: documents without words (null and empty texts too) have the empty set
@@ -31,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import hold, materialize
+from quire.llm.common import discard, hold, materialize
 from quire.llm.words import Generations
 
 MINIMA, BITS, MARGIN = 192, 4, 0.14
@@ -172,60 +177,102 @@ class _Forest:
         return x != y
 
 
-def _pairs(near: np.ndarray) -> list[tuple[int, int]]:
-    a, b = np.nonzero(near)
-    return [*zip(a.tolist(), b.tolist(), strict=True)]
+def _bits(rows: pa.Table) -> np.ndarray:
+    return rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _LONGS)
+
+
+def _confirms(mine: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two full sets are as similar as is asked."""
+    small, large = (mine, other) if len(mine) <= len(other) else (other, mine)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
+
+
+#: What a task of a block returns: the part of each of its members (least of its nodes), or links between parts.
+PARTS, LINKS = "grp long, rep long, part long", "a long, b long"
+
+
+def _connect(forest: _Forest, near: np.ndarray, rows: int, columns: int, sets: list[np.ndarray], percent: int | None) -> list[tuple[int, int]]:
+    """Joins what is near, and with percent confirmed on its sets; the links that did.  near's rows and columns begin at these members."""
+    links = []
+    for x, y in zip(*(i.tolist() for i in np.nonzero(near)), strict=True):
+        x, y = x + rows, y + columns
+        if forest.root(x) != forest.root(y) and (percent is None or _confirms(sets[x], sets[y], percent)):
+            forest.join(x, y)
+            links.append((x, y))
+    return links
 
 
-def _estimated(rows: pa.Table, least: float) -> tuple[list[int], np.ndarray]:
-    ids = rows.column("rep").to_pylist()
-    bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _LONGS)
-    return ids, np.triu(estimate(_equal_fields(bits, bits)) >= least, 1)
+def _sets_of(rows: pa.Table, percent: int | None) -> list[np.ndarray]:
+    return [] if percent is None else [np.frombuffer(x, np.uint64) for x in rows.column("found").to_pylist()]
 
 
-def _connect_estimated(least: float):
+def _within(least: float, percent: int | None):
+    """Connects the members of a block: grp, rep, and the part of each."""
+
     def run(rows: pa.Table) -> pa.Table:
-        ids, near = _estimated(rows, least)
-        forest = _Forest(len(ids))
-        links = [(ids[x], ids[y]) for x, y in _pairs(near) if forest.join(x, y)]
-        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+        rows = rows.sort_by("rep")
+        bits, ids = _bits(rows), rows.column("rep").to_pylist()
+        forest, first = _Forest(len(ids)), [x for x in range(len(ids)) if not x or ids[x - 1] != ids[x]]
+        for x in set(range(len(ids))).difference(first):  # one id with several texts
+            forest.join(x - 1, x)
+        _connect(forest, np.triu(estimate(_equal_fields(bits, bits)) >= least, 1), 0, 0, _sets_of(rows, percent), percent)
+        return pa.table({"grp": rows.column("grp").take(pa.array(first, pa.int64())), "rep": pa.array([ids[x] for x in first], pa.int64()), "part": pa.array([ids[forest.root(x)] for x in first], pa.int64())})
 
     return run
 
 
-def _connect_confirmed(least: float, percent: int):
+def _visits(least: float, percent: int | None):
+    """Compares visitors with the members of a block that are of other parts: a, b of the links that join parts."""
+
     def run(rows: pa.Table) -> pa.Table:
-        ids, near = _estimated(rows, least)
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("found").to_pylist()]
-        forest, links = _Forest(len(ids)), []
-        # pairs within one sub-block were compared where both halves are that sub-block
-        for x in np.flatnonzero(near.any(axis=1)).tolist():
-            mine = sets[x]
-            for y in np.flatnonzero(near[x]).tolist():
-                if forest.root(x) == forest.root(y):
-                    continue
-                small, large = (mine, sets[y]) if len(mine) <= len(sets[y]) else (sets[y], mine)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(small) + len(large) - both):
-                    forest.join(x, y)
-                    links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        rows = pa.concat_tables([rows.filter(rows.column("visits")), rows.filter(pa.compute.invert(rows.column("visits")))])
+        first, bits, sets = sum(rows.column("visits").to_pylist()), _bits(rows), _sets_of(rows, percent)
+        parts, ids = rows.column("part").to_pylist(), rows.column("rep").to_pylist()
+        forest, seen = _Forest(len(ids)), {}
+        for x, part in enumerate(parts):
+            forest.join(x, seen.setdefault(part, x))
+        near = estimate(_equal_fields(bits[:first], bits[first:])) >= least
+        out = _connect(forest, near, 0, first, sets, percent)
+        return pa.table({"a": pa.array([min(ids[x], ids[y]) for x, y in out], pa.int64()), "b": pa.array([max(ids[x], ids[y]) for x, y in out], pa.int64())})
 
     return run
 
 
-def _in_blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """Every row once for each pair of blocks that its block is in: columns i, j.  A group of one block has the pair 0, 0."""
-    blocks = F.ceil(F.col(size) / BLOCK)
-    mine = F.pmod(F.xxhash64("rep"), blocks)
-    out = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    # where there are several blocks, pairs (x, x) add nothing to the pairs (x, y)
-    out = out.filter((blocks == 1) | (F.col("mine") != F.col("other")))
-    return out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("mine", "other")
+def connected(held: DataFrame, least: float, percent: int | None = None) -> DataFrame:
+    """a, b: links that connect what is connected within each group.
+
+    held: grp, rep, size (of the group), bits, and found if percent is given; a written table.
+    """
+    blocks, columns = F.ceil(F.col("size") / BLOCK), [c for c in held.columns if c != "size"]
+    mine = held.withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    parts = materialize(mine.select("block", *columns).groupBy("grp", "block").applyInArrow(_within(least, percent), PARTS), "parts")
+    links = parts.filter("rep <> part").select(F.col("part").alias("a"), F.col("rep").alias("b"))
+    # representatives of the parts of groups with several blocks
+    several = held.filter(blocks > 1).select("grp").distinct()
+    chosen = parts.filter("rep = part").join(several, "grp").select("grp", "rep")
+    number = chosen.groupBy("grp").agg(F.count("*").alias("parts"))
+    met = held.join(chosen, ["grp", "rep"]).join(number, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("parts") / BLOCK)))
+    joined = materialize(met.select("block", *columns).groupBy("grp", "block").applyInArrow(_within(least, percent), PARTS), "parts")
+    links = links.unionByName(joined.filter("rep <> part").select(F.col("part").alias("a"), F.col("rep").alias("b")))
+    # every member's part after that, and the largest of each group that is still in several
+    now = parts.join(joined.select("grp", F.col("rep").alias("part"), F.col("part").alias("joined")), ["grp", "part"]).select("grp", "rep", F.col("joined").alias("part"))
+    sizes = now.groupBy("grp", "part").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("left"), (F.sum("n") - F.max("n")).alias("visitors")).filter("`left` > 1")
+    apart = materialize(now.join(apart, "grp").select("grp", "rep", "part", "largest", F.ceil(F.col("visitors") / BLOCK).alias("turns")), "apart")
+    if apart.isEmpty():
+        return links
+    again = held.join(apart, ["grp", "rep"])
+    # a task has a block and a turn of visitors: hosts are there once for each turn, visitors once for each block
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    hosts = again.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("turn", each(F.col("turns"))).withColumn("visits", F.lit(False))
+    visitors = again.filter("part <> largest").withColumn("turn", F.pmod(F.xxhash64("rep"), F.col("turns"))).withColumn("block", each(blocks)).withColumn("visits", F.lit(True))
+    both = hosts.unionByName(visitors).select("block", "turn", *columns, "part", "visits")
+    return links.unionByName(both.groupBy("grp", "block", "turn").applyInArrow(_visits(least, percent), LINKS))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,21 +288,23 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("next")), "step")
         if every is None:
-            every = step.withColumnRenamed("next", "root")
+            now = step.withColumnRenamed("next", "root")
         else:
             moved = step.select(F.col("node").alias("root"), "next")
-            every = every.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        every = materialize(every, "roots")
-        one = links.join(step.select(F.col("node").alias("a"), F.col("next").alias("x")), "a").select("x", "b")
-        two = materialize(one, "half").join(step.select(F.col("node").alias("b"), F.col("next").alias("y")), "b")
-        links = materialize(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+            now = every.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        now = materialize(now, "roots")
+        half = materialize(links.join(step.select(F.col("node").alias("a"), F.col("next").alias("x")), "a").select("x", "b"), "half")
+        two = half.join(step.select(F.col("node").alias("b"), F.col("next").alias("y")), "b")
+        rest = materialize(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+        discard(links, step, half, every)
+        links, every = rest, now
     if every is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return every
 
 
-#: Bits of a map of ids: bounded, whatever the number of ids, and so is its broadcast (2**17 rows).
-_MAP_BITS = 23
+#: Bits of a map of ids, which bounds its broadcast (2**17 rows), and the most ids for which it leaves enough of the others out.
+_MAP_BITS, _MAP_IDS = 23, 1 << 20
 
 
 def bit_map(ids: DataFrame, column: str) -> DataFrame:
@@ -272,6 +321,13 @@ def marked(docs: DataFrame, marks: DataFrame, id_col: str, how: str = "left_semi
     return docs.join(F.broadcast(marks), (F.shiftright(at, 6) == marks["word"]) & (bit == 1), how)
 
 
+def of_ids(docs: DataFrame, ids: DataFrame, column: str, id_col: str) -> DataFrame:
+    """The rows of docs with one of the ids (a written table), and perhaps others: by a map of the ids, or if they're many by a join on them."""
+    if ids.count() <= _MAP_IDS:
+        return marked(docs, bit_map(ids, column), id_col)
+    return docs.join(ids.select(F.col(column).alias("_id")).distinct(), docs[id_col].cast("long") == F.col("_id"), "left_semi")
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("neardup", _forget)
@@ -312,22 +368,22 @@ def _families(classes: DataFrame, least: float) -> DataFrame:
     bits = classes.select("rep", "bits")
     half = materialize(pairs.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a")), "a"), "half")
     near = half.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b")), "b").filter(estimate(_equal("bits_a", "bits_b")) >= least).select("a", "b")
-    large = held.filter(F.col("size") > SMALL)
-    some = materialize(large.select("rep").distinct(), "large").join(bits, "rep")
-    large = materialize(large, "members").join(materialize(some, "large-bits"), "rep")
-    linked = _in_blocks(large, "key", "size").select("key", "i", "j", "rep", "bits").groupBy("key", "i", "j").applyInArrow(_connect_estimated(least), "a long, b long")
-    return components(near.unionByName(linked))
+    large = held.filter(F.col("size") > SMALL).withColumnRenamed("key", "grp")
+    large = materialize(large.join(bits, "rep").select("grp", "rep", "size", "bits"), "large")
+    out = components(near.unionByName(connected(large, least)))
+    discard(several, held, pairs, half, large)
+    return out
 
 
 def _confirmed(rows: DataFrame, classes: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between members of a family, enough of them to connect what is connected."""
-    sets = marked(rows, bit_map(families, "node"), "doc_id").mapInArrow(_sets(size), "rep long, found binary")
+    sets = of_ids(rows, families, "node", "doc_id").mapInArrow(_sets(size), "rep long, found binary")
     sizes = materialize(families.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    members = materialize(families.withColumnRenamed("node", "rep").join(sizes, "root"), "members")
+    members = materialize(families.withColumnRenamed("node", "rep").withColumnRenamed("root", "grp").join(sizes.withColumnRenamed("root", "grp"), "grp"), "members")
     # a repeated id may have several texts; those of other classes than the representative's don't matter
-    found = materialize(members.join(sets.dropDuplicates(["rep", "found"]), "rep"), "found")
-    held = _in_blocks(found.join(classes.select("rep", "bits"), "rep"), "root", "size")
-    return held.select("root", "i", "j", "rep", "bits", "found").groupBy("root", "i", "j").applyInArrow(_connect_confirmed(percent / 100 - MARGIN, percent), "a long, b long")
+    found = members.join(sets.dropDuplicates(["rep", "found"]), "rep")
+    held = materialize(found.join(classes.select("rep", "bits"), "rep").select("grp", "rep", "size", "bits", "found"), "sets")
+    return connected(held, percent / 100 - MARGIN, percent)
 
 
 def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,6 +394,8 @@ def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     to go meet the result; the others pass straight from the scan.
     """
     gone = materialize(detect(docs, size, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if gone.count() > _MAP_IDS:
+        return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
     marks = bit_map(gone, "_gone")
     met = marked(docs, marks, id_col)
     met = met.join(gone, met[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -505,6 +505,8 @@ def test_near_duplicates(spark, size, percent, monkeypatch):
 
 
 def test_near_duplicate_edge_rows(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    assert neardup.detect(spark.createDataFrame([(8, long), (9, long + " end")], "doc_id long, text string"), 3, 85).filter("component_id = 8").count() == 2
     docs = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "x"), (None, "a b c d", "y"), (2, "a b c d", "z"), (3, None, "n")], "doc_id long, text string, n string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in neardup.detect(docs, 3, 85).collect())
     assert got == [(-1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
@@ -513,15 +515,68 @@ def test_near_duplicate_edge_rows(spark):
     assert neardup.detect(docs.limit(0), 3, 85).count() == 0
 
 
-def test_blocks_compare_every_pair(spark):
-    rows = spark.range(1000).select(F.col("id").alias("rep"), F.lit(1).alias("key"), F.lit(1000).cast("long").alias("size"))
-    held = neardup._in_blocks(rows, "key", "size").groupBy("i", "j").agg(F.collect_set("rep").alias("r")).collect()
-    together = set()
-    for h in held:
-        r = sorted(h["r"])
-        assert len(r) < 3 * neardup.BLOCK
-        together.update((a, b) for k, a in enumerate(r) for b in r[k + 1 :])
-    assert len(together) == 1000 * 999 // 2
+def held_sets(spark, sets, size=3):
+    """Members of one group, as connected() takes them."""
+    rows = []
+    for i, words in enumerate(sets):
+        found = neardup.shingles(" ".join(words), size)
+        packed, _ = neardup.signature(found, 6)
+        rows.append((7, i, len(sets), packed.tolist(), found.tobytes()))
+    return spark.createDataFrame(rows, "grp long, rep long, size long, bits array<long>, found binary").repartition(3)
+
+
+@pytest.mark.parametrize("block", [8, 40])
+def test_blocks_connect_what_is_connected(spark, block, monkeypatch):
+    """Chains and loose parts of one group, in blocks so small that links go through all three steps."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(900)]
+    base, texts = [rnd.choice(words) for _ in range(60)], []
+    for k in range(150):  # neighbours differ in a word, those far apart in many
+        if k % 25 == 0:
+            base = [rnd.choice(words) for _ in range(60)]
+        base = base[:]
+        base[rnd.randrange(60)] = rnd.choice(words)
+        texts.append(base)
+    order = list(range(150))
+    rnd.shuffle(order)
+    texts = [texts[k] for k in order]
+    links = neardup.connected(held_sets(spark, texts), 0.5, 85)
+    roots = {r["node"]: r["root"] for r in neardup.components(links).collect()}
+    want = [root for _, root in brute_components([" ".join(t) for t in texts], 3, 85)]
+    assert [roots.get(i, i) for i in range(150)] == want and 6 <= len(set(want)) < 60
+
+
+def test_rows_of_a_large_family_grow_with_its_members(spark, monkeypatch):
+    """A connected family of many blocks: nobody visits, and every member is shipped once, or twice as a representative."""
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    shipped, real = [], neardup._within
+    counted = spark.sparkContext.accumulator(0)
+
+    def counting(least, percent):
+        run = real(least, percent)
+
+        def each(rows):
+            counted.add(rows.num_rows)
+            return run(rows)
+
+        return each
+
+    monkeypatch.setattr(neardup, "_within", counting)
+    monkeypatch.setattr(neardup, "_visits", lambda *_: shipped.append(1))
+    base = [f"w{k}" for k in range(200)]
+    texts = [[*base, f"y{i}"] for i in range(1000)]
+    links = neardup.connected(held_sets(spark, texts), 0.5, 85)
+    assert links.count() >= 999 and not shipped and 1000 <= counted.value <= 1000 + 2 * 1000 // 32 + 64
+
+
+def test_many_ids_are_joined_instead_of_mapped(spark, monkeypatch):
+    texts = near_copies()[:60]
+    want = [(r["doc_id"], r["component_id"]) for r in neardup.detect(documents(spark, texts), 3, 85).orderBy("doc_id").collect()]
+    kept = sorted(r["doc_id"] for r in neardup.drop_copies(documents(spark, texts), 3, 85).collect())
+    monkeypatch.setattr(neardup, "_MAP_IDS", 0)
+    assert want == [(r["doc_id"], r["component_id"]) for r in neardup.detect(documents(spark, texts), 3, 85).orderBy("doc_id").collect()]
+    assert kept == sorted(r["doc_id"] for r in neardup.drop_copies(documents(spark, texts), 3, 85).collect())
 
 
 def test_pii_sql_agrees(spark):

@@ -1,20 +1,26 @@
 """Exact top-k search by inner product with a KD-tree in every shard.
 
-Vectors are dealt into shards of bounded size; each shard holds a KD-tree with median
-splits along the widest side and tight bounding boxes.  A query visits nodes best
-first: the largest inner product that any point of a box can have bounds what lies
-below, and the search of a shard ends when that bound falls below the k-th best
-score so far.  Each query first searches one shard; its k-th best there is passed on
-to all other shards, which return only what beats it.
+The top of one KD-tree, with median splits of a bounded sample, deals all vectors into leaves; a
+leaf with more rows than a shard may have is dealt into several shards.  Each shard
+holds a KD-tree with median splits along the widest side and tight bounding boxes.  A
+query visits nodes best first: the largest inner product that any point of a box can
+have bounds what lies below, and the search of a shard ends when that bound falls below
+the k-th best score so far.
+
+Each query first searches one shard, of the leaf whose middle scores best.  Its k-th
+best there is passed on, and only leaves whose box may hold something better get the
+query: other pairs of a query and a leaf are left out before anything is shuffled.
 
 Queries go to shards in blocks; a task holds one shard and one block, both bounded.
 A scan in blocks is what a search without an index would do; boxes cut it down where
 the data allow.
 
-Defined cases: vectors that are null, or hold a null or non-finite component, take no
-part; only vectors of one length are compared; rows with the query's own id are no
-candidates; equal scores go to the smaller id; repeated rows count as often as they
-occur as candidates and once as queries; scores beyond a long are clamped to it, before they are compared.
+Defined cases: vectors that are null, hold a null or non-finite component, or have one
+that isn't finite after scaling, take no part; only vectors of one length are compared;
+rows with the query's own id are no candidates; equal scores go to the smaller id; repeated
+rows count as often as they occur as candidates and once as queries; different
+vectors of one query id are ranked together; null ids take no part; scores beyond a long are clamped to
+it, before they are compared; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize
 
 LEAF = 96
+#: Bounds of the top tree: leaves for each length of vector, and bytes of the sample that its medians come from.
+LEAVES, SAMPLE_BYTES = 1024, 32 << 20
 _LONG = 2**63 - 1
 
 
@@ -72,7 +81,7 @@ class Tree:
         else:
             points, low, high = self.points, self.low, self.high
         zero = queries * 0
-        bounds = np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T
+        bounds = np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T  # exact, unlike _bounds()
         for q, me, beat, bound in zip(queries, own, known, bounds.tolist(), strict=True):
             best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst is first
             worst = (beat[0], -beat[1]) if beat else None
@@ -107,7 +116,7 @@ class Tree:
 def _scaled(column: Column, scale: int) -> Column:
     """Every component times scale as doubles, or null for a vector that takes no part."""
     whole = F.transform(column, lambda x: x.cast("double") * scale)
-    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    bad = F.exists(whole, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(column.isNotNull() & ~bad, whole)
 
 
@@ -126,10 +135,87 @@ def vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
     return picked.mapInArrow(_packed, "id long, dim int, v binary")
 
 
+class Top:
+    """The splits of the top tree of vectors of one length: in heap order a side and a value, beyond which a vector goes right."""
+
+    def __init__(self, points: np.ndarray, leaves: int):
+        self.depth = max(0, int(leaves - 1).bit_length())
+        self.sides, self.values = np.zeros((1 << self.depth) - 1, np.int64), np.full((1 << self.depth) - 1, np.inf)
+        held = {0: points}
+        for node in range(len(self.sides)):
+            mine = held.pop(node, points[:0])
+            if len(mine) > 1:
+                side = int(np.argmax(mine.max(axis=0) - mine.min(axis=0)))
+                value = float(np.sort(mine[:, side])[(len(mine) - 1) // 2])
+                beyond = mine[:, side] > value
+                self.sides[node], self.values[node] = side, value
+                held[2 * node + 1], held[2 * node + 2] = mine[~beyond], mine[beyond]
+
+    def leaf(self, points: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (points[np.arange(len(points)), self.sides[at]] > self.values[at])
+        return at - len(self.sides)
+
+
+def _points(blobs: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), "<f8").reshape(len(blobs), dim)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for dim in pa.compute.unique(batch.column("dim")).to_pylist():
+        yield dim, batch.filter(pa.compute.equal(batch.column("dim"), dim))
+
+
+def _deal(tops: dict[int, Top]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in _by_length(batch):
+                leaf = tops[dim].leaf(_points(part.column("v"), dim)) if dim in tops else np.zeros(part.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("id", "dim", "v")), pa.array(leaf)], names=["id", "dim", "v", "leaf"])
+
+    return run
+
+
 def _build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    dim, shard = (x.as_py() for x in key)
-    points = np.frombuffer(b"".join(rows.column("v").to_pylist()), "<f8").reshape(rows.num_rows, dim)
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int64()), "tree": pa.array([pickle.dumps(Tree(rows.column("id").to_numpy().copy(), points.copy()))], pa.binary())})
+    dim, leaf, shard = (x.as_py() for x in key)
+    tree = Tree(rows.column("id").to_numpy().copy(), _points(rows.column("v"), dim).copy())
+    low, high = (pa.array([x.tolist()], pa.list_(pa.float64())) for x in (tree.low[0], tree.high[0]))
+    return pa.table({"dim": pa.array([dim], pa.int32()), "leaf": pa.array([leaf], pa.int64()), "shard": pa.array([shard], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "low": low, "high": high})
+
+
+def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """[queries, boxes]: the largest inner product that a point of each box can have."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
+def _route(boxes: dict[int, tuple], home: bool):
+    """The leaves that a query goes to: with home the one whose middle scores best, else all others that may hold something as good as what is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in _by_length(batch):
+                if dim not in boxes:
+                    continue
+                leaves, low, high = boxes[dim]
+                for at in range(0, part.num_rows, 512):
+                    some = part.slice(at, 512)
+                    q = _points(some.column("v"), dim)
+                    if home:
+                        goes = np.zeros((len(q), len(leaves)), bool)
+                        goes[np.arange(len(q)), np.argmax(q @ (low + high).T, axis=1)] = True
+                    else:
+                        bound = _bounds(q, low, high)
+                        known = some.column("score").to_pylist()
+                        least = np.array([-np.inf if x is None or abs(x) >= _LONG - 1 else x for x in known], float)
+                        # rounding of sums of large products must not leave a box out
+                        slack = 1 + 1e-9 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T)
+                        goes = (bound + slack >= least[:, None]) & (leaves[None, :] != np.array(some.column("home").to_pylist())[:, None])
+                    row, leaf = np.nonzero(goes)
+                    taken = some.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaves[leaf], pa.int64())], names=[*some.schema.names, "leaf"])
+
+    return run
 
 
 def _search(k: int):
@@ -157,22 +243,57 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     """
     points = materialize(vectors(candidates, id_col, vector_col, scale), "vectors")
     asked = materialize(vectors(queries, id_col, vector_col, scale).dropDuplicates(["id", "v"]), "queries")
-    shards = max(1, -(-points.count() // shard_rows))
     blocks = max(1, -(-asked.count() // block_rows))
-    # rows, not ids or vectors, are dealt out: no value can fill a shard
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    trees = materialize(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard long, tree binary"), "trees")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).withColumn("home", F.pmod(F.xxhash64("v", "id"), F.lit(shards)))
-    every = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    spec, keys = "query_id long, id long, score long", ["dim", "shard", "block"]
+    # a row for each length of vector; its sample is drawn by a hash, bounded in bytes
+    lengths = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    tops: dict[int, Top] = {}
+    for dim, n in lengths.items():
+        leaves = min(LEAVES, -(-n // shard_rows))
+        if leaves > 1:
+            most = max(leaves, SAMPLE_BYTES // (8 * max(1, dim)))
+            drawn = points.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("v", "id"), F.lit(1 << 30)) < min(1 << 30, 2 * most * (1 << 30) // n))).limit(2 * most).select("v").collect()
+            tops[dim] = Top(np.array([np.frombuffer(r["v"], "<f8") for r in drawn]).reshape(len(drawn), dim), leaves)
+    dealt = materialize(points.mapInArrow(_deal(tops), "id long, dim int, v binary, leaf long"), "dealt")
+    counts = dealt.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))  # LEAVES rows for each length
+    counts = materialize(counts, "leaves")
+    # within a leaf rows, not ids or vectors, are dealt out: no value can fill a shard
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("shards"))
+    trees = dealt.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("shard", shard).select("dim", "leaf", "shard", "id", "v")
+    trees = materialize(trees.groupBy("dim", "leaf", "shard").applyInArrow(_build, "dim int, leaf long, shard long, tree binary, low array<double>, high array<double>"), "trees")
+
+    # the tight boxes of the leaves: at most LEAVES for each length
+    def extreme(column: str, least: bool) -> Column:
+        def pick(a: Column, b: Column) -> Column:
+            return F.zip_with(a, b, lambda x, y: F.least(x, y) if least else F.greatest(x, y))
+
+        return F.reduce(F.collect_list(column), F.lit(None).cast("array<double>"), lambda a, b: F.coalesce(pick(a, b), b))
+
+    boxes: dict[int, tuple] = {}
+    found = trees.groupBy("dim", "leaf").agg(extreme("low", True).alias("low"), extreme("high", False).alias("high")).collect()
+    for dim in {r["dim"] for r in found}:
+        mine = sorted((r["leaf"], r["low"], r["high"]) for r in found if r["dim"] == dim)
+        boxes[dim] = (np.array([x[0] for x in mine]), np.array([x[1] for x in mine]).reshape(len(mine), dim), np.array([x[2] for x in mine]).reshape(len(mine), dim))
+    spec, keys = "query_id long, id long, score long", ["dim", "leaf", "shard", "block"]
 
     def searched(wanted: DataFrame) -> DataFrame:
-        return every.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(_search(k), spec)
+        """wanted: queries with what they go to (a written table); trees go to blocks that want them alone."""
+        where = wanted.select(*[F.col(c).alias(c) for c in keys]).distinct()
+        return trees.drop("low", "high").join(where, keys[:3]).groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(_search(k), spec)
 
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks))
     unknown = [F.lit(None).cast("long").alias("score"), F.lit(None).cast("long").alias("last")]
-    home = materialize(searched(asked.select("id", "v", "dim", "block", F.col("home").alias("shard"), *unknown)), "home")
+    home = asked.select("id", "dim", "v").mapInArrow(_route(boxes, True), "id long, dim int, v binary, leaf long")
+    home = home.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("v", "id"), F.col("shards")))
+    home = materialize(home.select("id", "dim", "v", "leaf", "shard", "shards", block.alias("block"), *unknown), "home")
+    best = materialize(searched(home.drop("shards")), "best")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    kth = home.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "score", F.col("id").alias("last"))
-    others = asked.join(kth, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).filter("shard <> home")
-    found = home.unionByName(searched(others.select("id", "v", "dim", "block", "shard", "score", "last")))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    kth = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "score", F.col("id").alias("last"))
+    known = home.drop("score", "last").join(kth, "id", "left")
+    # the other shards of the leaf that was searched, and the other leaves that may hold something better
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
+    rest = known.withColumn("other", each).filter("other <> shard").select("id", "dim", "v", "leaf", F.col("other").alias("shard"), "block", "score", "last")
+    away = known.select("id", "dim", "v", "score", "last", F.col("leaf").alias("home")).mapInArrow(_route(boxes, False), "id long, dim int, v binary, score long, last long, home long, leaf long")
+    away = away.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("shard", each).select("id", "dim", "v", "leaf", "shard", block.alias("block"), "score", "last")
+    others = materialize(rest.unionByName(away), "others")
+    every = best.unionByName(searched(others))
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -237,6 +237,36 @@ def test_top_k(spark):
         assert sorted(got.pop(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     assert not got
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    # finite, but not after scaling
+    wide = spark.createDataFrame([(1, [1e308, 1.0]), (2, [1.0, 2.0]), (3, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["vec_id"]) for r in topk.top_k(wide, wide).collect()) == [(2, 3), (3, 2)]
+
+
+def test_top_k_leaves_out_leaves(spark, monkeypatch):
+    """Clustered vectors: most pairs of a query and a leaf aren't searched; a hot vector's leaf has many shards."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(16, 6)) * 10
+    rows = [(i, (centres[i % 16] + rng.normal(size=6) * 0.1).tolist()) for i in range(1600)] + [(5000 + i, centres[3].tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pairs, real = [], topk.materialize
+
+    def counting(frame, label):
+        out = real(frame, label)
+        if label in ("others", "trees"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk, "materialize", counting)
+    asked = df.filter("vec_id % 100 = 0")
+    got = defaultdict(list)
+    for r in topk.top_k(df, asked, shard_rows=64).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    ints = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows}
+    for q in [i for i, _ in rows if i % 100 == 0]:
+        scored = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:10]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    shards, searched = pairs
+    assert shards >= 30 and searched < len(got) * shards / 3
 
 
 def test_warc(spark):

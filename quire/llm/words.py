@@ -38,6 +38,11 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+#: What a byte-level vocabulary has for a space, and marks that are words of their own after a word.
+_SPACE, _MARKS = byte_alphabet()[32], tuple(",.;:!?")
+
+
 class Generations(dict):
     """A cache of bounded size: entries not met during a whole generation are forgotten.
 
@@ -83,8 +88,11 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of what the vocabulary's splitting leaves together."""
-        ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.printable))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._ids(word.encode().decode("latin-1").translate(self.printable))
+
+    def _ids(self, printable: str) -> bytes:
+        ids = [x.id for x in self.model.tokenize(printable)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes | None:
         if self.lowers:
@@ -93,9 +101,16 @@ class WordEncoder:
             if _UNSAFE.search(piece):
                 return self._library(piece)
             if (lowered := piece.lower()).isalpha():
-                return self._word(lowered)
+                return self._ids(lowered) if lowered.isascii() else self._word(lowered)
+            if lowered[-1] in _MARKS and lowered[:-1].isalpha():
+                return self.pieces[lowered[:-1]] + self.pieces[lowered[-1]]
             words = _LOWERED.findall(lowered)
             return self._word(lowered) if words == [lowered] else b"".join([self.pieces[w] for w in words])
+        if piece.isascii():  # the common ones: a word, or one with a mark after it
+            if piece.isalpha():
+                return self._ids(_SPACE + piece)
+            if piece[-1:] in _MARKS and piece[:-1].isalpha():
+                return self.pieces[piece[:-1]] + self.pieces["\0" + piece[-1]]
         if piece == "\n":
             return self.newline
         glued = piece[:1] == "\0"

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import delete, discard, fresh_dir, materialize
 from quire.llm.words import encoder, vocabulary
 
-#: Ids that the rolling hash sees; no chunk but a document's last is shorter.
+#: Ids that the rolling hash sees, a power of two; no chunk but a document's last is shorter.
 WINDOW = 16
 SHORTEST, MEAN, LONGEST = 64, 512, 4096
 CHUNK = "digest binary, n long, ids binary"
@@ -51,9 +51,11 @@ def cuts(ids: np.ndarray, starts: list[int], shortest: int = SHORTEST, mean: int
     ids, and at the document's end; so equal passages give equal chunks wherever
     they stand.
     """
-    gear, rolling = _GEAR[ids & 0xFFFF], np.zeros(len(ids), np.uint64)
-    for back in range(min(WINDOW, len(ids))):
-        rolling[back:] += gear[: len(ids) - back] << np.uint64(back * 3)
+    rolling, seen = _GEAR[ids & 0xFFFF], 1
+    while seen < WINDOW:  # what covers so many ids, and the same further back, cover twice as many
+        older = rolling[:-seen] << np.uint64(3 * seen)
+        rolling[seen:] += older
+        seen *= 2
     rolling ^= rolling >> np.uint64(29)
     rolling *= np.uint64(0xBF58476D1CE4E5B9)
     marks = (np.flatnonzero(rolling < np.uint64(2**64 // mean)) + 1).tolist()

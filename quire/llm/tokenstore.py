@@ -156,7 +156,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 0, wide: bool =
         _encode(vocabulary(vocab), end_id, wide), "doc_id long, n long, digests array<binary>, lengths array<int>, digest binary, ids binary"
     )
     staged = fresh_dir(spark, "encoded")
-    rows.withColumn("kind", F.when(F.col("ids").isNull(), "document").otherwise("chunk")).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
+    rows.withColumn("kind", F.when(F.col("ids").isNull(), "document").otherwise("chunk")).write.option("compression", "zstd").parquet(staged)
     every = spark.read.schema("doc_id long, n long, digests array<binary>, lengths array<int>, digest binary, ids binary, kind string").parquet(staged)
     # chunks are shuffled once, by digest, after each task has dropped its own repeats
     chunk = every.filter("kind = 'chunk'").select("digest", "n", "ids")

@@ -71,7 +71,7 @@ class WordEncoder:
     generation holds, of about 200 bytes each; there are two generations.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -149,7 +149,7 @@ class WordEncoder:
 _MADE: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str, most: int = 400_000) -> WordEncoder:
+def encoder(path: str, most: int = 600_000) -> WordEncoder:
     """The encoder of this Python worker, whose caches outlive tasks."""
     hold("words", _MADE.clear)
     if path not in _MADE:

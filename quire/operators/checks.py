@@ -16,8 +16,8 @@ from quire.operators.relational import is_chapter, is_date, is_isbn, is_issn, is
 #: Fields that the checks read; missing columns are taken as empty.
 FIELDS = ["entrytype", "title", "booktitle", "year", "date", "doi", "url", "urldate", "isbn", "issn", "dblp", "eprint", "eprinttype", "note", "howpublished", "volume", "number", "chapter", "crossref", "series"]
 #: Types that are books or collections, and those that refer to one; fixed values.
-BOOKISH = ["book", "proceedings", "collection"]
-CHAPTERS = {"inproceedings": "proceedings", "incollection": "collection", "inbook": "book"}
+BOOKISH = ["book", "proceedings"]
+CHAPTERS = {"inproceedings": "proceedings", "incollection": "book", "inbook": "book", "misc": "misc"}
 ARXIV = r"(?i)\Ahttps?://arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})"
 ACCESSED = r"(?i)[\s,;.(]*(?:last\s+)?(?:accessed|visited|retrieved)(?:\s+on)?:?\s*"
 

@@ -63,11 +63,11 @@ def alias_base(records: DataFrame) -> DataFrame:
     return records.select("entry_key", F.concat(base, F.coalesce("year", F.lit(""))).alias("base"))
 
 
-def alias_proposals(records: DataFrame, most: int = 9) -> DataFrame:
+def alias_proposals(records: DataFrame) -> DataFrame:
     """entry_key, rank, alias: the base with each keyword of the title, shorter keywords first."""
     words = F.array_sort(F.transform(keywords(F.col("title")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     base = alias_base(records)
-    rows = records.join(base, "entry_key").select("entry_key", F.col("base"), F.posexplode(F.slice(words, F.lit(1), F.lit(most))).alias("i", "w"))
+    rows = records.join(base, "entry_key").select("entry_key", F.col("base"), F.posexplode(words).alias("i", "w"))
     return rows.select("entry_key", (F.col("i") + 1).alias("rank"), F.concat(F.col("base"), F.lit("-"), F.col("w.w")).alias("alias"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.normalise import ISBN
+
 TYPE = "entrytype"
 
 
@@ -85,11 +87,11 @@ def missing_fields(entries: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def is_issn(x: Column) -> Column:
-    return x.rlike(r"\A[0-9]{4}-[0-9]{3}[0-9X]\z")
+    return x.rlike(r"\A[0-9]{4}-[0-9]{3}[0-9,X]\z")
 
 
 def is_isbn(x: Column) -> Column:
-    return F.regexp_replace(x, "-", "").rlike(r"\A(?:[0-9]{9}[0-9X]|[0-9]{13})\z")
+    return x.rlike(ISBN)
 
 
 def is_year(x: Column) -> Column:
@@ -107,7 +109,8 @@ def is_orcid(x: Column) -> Column:
 
 
 def is_chapter(x: Column) -> Column:
-    return x.rlike(r"\A(?:[0-9]+|[IVXLCDM]+|[ivxlcdm]+)\z")
+    """Digits, or a Roman numeral below 5000 in either case."""
+    return (x != "") & x.rlike(r"(?i)\A(?:[0-9]+|M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3}))\z")
 
 
 def redundant_url(url: Column, doi: Column) -> Column:

@@ -7,34 +7,56 @@ from pyspark.sql import functions as F
 
 from quire.functions.normalise import title_index
 from quire.operators.graph import components
+from quire.operators.relational import redundant_url
+from quire.operators.store import cut
+
+
+#: Fields in which a source's value is taken without asking; fixed values.
+AUTO_ACCEPT = ["entrytype", "year", "pages", "doi", "number", "publisher", "series", "isbn", "issn", "month"]
 
 
 def resolve_fields(pairs: DataFrame, auto_accept: list[str] | None = None) -> DataFrame:
     """Adds value, rule, needs_review to rows with field, current, challenger, current_priority, challenger_priority, edited, required.
 
-    The first rule that applies decides; '' is an empty value.
+    The first rule that applies decides; '' is an empty value.  Columns that say more are
+    used where they're there: same_people (both lists name the same contributors), doi
+    (the entry's), mapped (the value that a stored mapping gives for the two), evolved (the source has another
+    value than when it was last seen), source (of the challenger, '' if unknown).
     """
+    there = set(pairs.columns)
+    extra = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in there else F.lit(default)
     cur, new = F.coalesce("current", F.lit("")), F.coalesce("challenger", F.lit(""))
-    field = F.col("field")
+    field, title = F.col("field"), F.col("field").isin("title", "booktitle")
     is_date = lambda x: x.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
-    abbreviated = new.contains(".") & (F.octet_length(new) * 3 < F.octet_length(cur))
+    short = lambda a, b: F.startswith(a, F.lit("{")) & (F.octet_length(a) * 3 < F.octet_length(b))
+    named = extra("source", "dblp") != ""
+    mapped = extra("mapped", "")
     rules: list[tuple[str, Column, Column]] = [
         ("equal", cur == new, cur),
+        ("same-people", field.isin("author", "editor") & extra("same_people", False), cur),
         ("nothing-new", new == "", cur),
+        ("crossref-was-empty", (field == "crossref") & (cur == ""), new),
+        ("crossref", field == "crossref", cur),
+        ("earlier-date", field.isin("date", "urldate", "modificationdate", "creationdate") & (cur != "") & (is_date(cur) & is_date(new) | field.isin("modificationdate", "creationdate")), F.least(cur, new)),
+        ("redundant-url", (field == "url") & redundant_url(new, extra("doi", "")), F.lit("")),
+        ("groups", field == "groups", F.array_join(F.array_sort(F.filter(F.array_union(F.split(cur, r",\s*"), F.split(new, r",\s*")), lambda x: x != "")), ", ")),
+        ("doi-case", (field == "doi") & (F.lower(cur) == F.lower(new)), F.when(F.lower(cur) == cur, new).otherwise(cur)),
+        ("required", (cur == "") & F.col("required"), new),
         ("was-empty", cur == "", new),
-        ("earlier-date", field.isin("date", "urldate") & is_date(cur) & is_date(new), F.least(cur, new)),
-        ("groups", field == "groups", F.array_join(F.array_sort(F.array_union(F.split(cur, r",\s*"), F.split(new, r",\s*"))), ", ")),
-        ("doi-case", (field == "doi") & (F.lower(cur) == F.lower(new)), F.greatest(F.lower(cur), F.when(F.lower(cur) == cur, new).otherwise(cur))),
-        ("abbreviation", abbreviated, cur),
+        ("mapping", (mapped != "") & mapped.isin(cur, new), mapped),
+        ("abbreviation", title & short(cur, new), new),
+        ("abbreviation", title & short(new, cur), cur),
         ("lower-priority", F.col("challenger_priority") < F.col("current_priority"), cur),
-        ("edited", F.col("edited"), cur),
-        ("same-index", ~field.isin("title", "booktitle") & (title_index(cur) == title_index(new)), cur),
-        ("auto-accept", field.isin(*(auto_accept or ["year", "volume", "number", "pages"])), new),
+        ("edited", F.col("edited") & ~extra("evolved", False), cur),
+        ("same-index", (title_index(cur) == title_index(new)) & (~title | named), cur),
+        ("auto-accept", named & field.isin(*(auto_accept or AUTO_ACCEPT)), new),
     ]
+    # crossrefs that differ are asked about, and the current one stays
     rule, value = F.lit("ask"), cur
     for name, when, then in reversed(rules):
+        when = F.coalesce(when, F.lit(False))
         rule, value = F.when(when, name).otherwise(rule), F.when(when, then).otherwise(value)
-    return pairs.withColumn("value", value).withColumn("rule", rule).withColumn("needs_review", F.col("rule") == "ask")
+    return pairs.withColumn("value", value).withColumn("rule", rule).withColumn("needs_review", F.col("rule").isin("ask", "crossref"))
 
 
 def title_buckets(titles: DataFrame) -> DataFrame:
@@ -101,16 +123,18 @@ def author_lists(a: Column, b: Column) -> Column:
     )
 
 
-def free_alias(proposals: DataFrame, rounds: int = 4) -> DataFrame:
+def free_alias(proposals: DataFrame) -> DataFrame:
     """entry_key, alias: each entry gets the first of its proposals (entry_key, rank, alias) that nobody before it takes.
 
-    In each round every entry without one proposes its next; the smallest entry_key wins an alias, the others go on.
+    In each round every entry without one proposes its next; the smallest entry_key
+    wins an alias, the others go on, until no entry has a proposal left.
     """
-    waiting, given = proposals, None
-    for _ in range(rounds):
-        mine = Window.partitionBy("entry_key").orderBy("rank")
+    mine = Window.partitionBy("entry_key").orderBy("rank")
+    waiting = cut(proposals.select("entry_key", "rank", "alias"))
+    given = cut(waiting.select("entry_key", "alias").limit(0))
+    while not waiting.isEmpty():
         asked = waiting.withColumn("_n", F.row_number().over(mine)).filter("_n = 1").drop("_n")
-        won = asked.groupBy("alias").agg(F.min("entry_key").alias("entry_key")).select("entry_key", "alias")
-        given = won if given is None else given.unionByName(won)
-        waiting = waiting.join(won.select("entry_key"), "entry_key", "left_anti").join(won.select("alias"), "alias", "left_anti").select("entry_key", "rank", "alias")
+        won = cut(asked.groupBy("alias").agg(F.min("entry_key").alias("entry_key")).select("entry_key", "alias"))
+        rest = waiting.join(won.select("entry_key"), "entry_key", "left_anti").join(won.select("alias"), "alias", "left_anti").select("entry_key", "rank", "alias")
+        given, waiting = cut(given.unionByName(won)), cut(rest)
     return given

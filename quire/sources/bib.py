@@ -127,10 +127,7 @@ class _Reader:
                 pos += 1
             except BibError as e:
                 yield "", "", "_error", str(e), pos
-                again = re.compile(r"^@", re.MULTILINE).search(self.text, start + 1)
-                if not again:
-                    return
-                self.at = again.start()
+                self.at = start + 1  # the next @, wherever it stands
 
 
 def parse(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

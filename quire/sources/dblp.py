@@ -1,22 +1,28 @@
 """Bibliographic dumps in XML, manifests and nested records.
 
-A compressed dump can't be split, so one task reads it; what it yields is repartitioned
-at once.  Bodies are skipped where only keys are wanted.
+A compressed dump can't be split, so one task reads it, as a stream of which it holds
+one block and the record that isn't whole yet; what it yields is repartitioned.  Bodies
+are skipped where only keys are wanted.
 """
 
 from __future__ import annotations
 
 import gzip
 import html
+import io
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.normalise import title_hash
+
 #: Elements that are records; fixed values of the format.
-RECORDS = ["article", "inproceedings", "proceedings", "book", "incollection", "phdthesis", "mastersthesis", "www", "person", "data"]
+RECORDS = ["article", "inproceedings", "proceedings", "book", "incollection", "inbook", "phdthesis", "mastersthesis", "www", "data", "misc"]
 MANY = {"ee", "url", "cite", "note"}
 SCHEMA = "record_key string, entrytype string, mdate string, publtype string, field string, value string, orcid string, pos int"
 _OPEN = re.compile(rf"<({'|'.join(RECORDS)})\b([^>]*)>")
@@ -43,28 +49,68 @@ def records(text: str, keys_only: bool = False) -> Iterator[tuple]:
         at = end
 
 
+_END = re.compile(rf"</(?:{'|'.join(RECORDS)})>|<(?:{'|'.join(RECORDS)})\b[^>]*/>")
+
+
+def stream(source, keys_only: bool = False, block: int = 1 << 20) -> Iterator[tuple]:
+    """Rows of a binary stream of XML in ISO-8859-1, compressed or not."""
+    head = source.read(2)
+    whole = _Rest(head, source)
+    source, held = gzip.GzipFile(fileobj=whole) if head == b"\x1f\x8b" else whole, ""
+    while raw := source.read(block):
+        held += raw.decode("iso-8859-1")
+        ends = [m.end() for m in _END.finditer(held)]
+        if ends:
+            yield from records(held[: ends[-1]], keys_only)
+            held = held[ends[-1] :]
+    yield from records(held, keys_only)
+
+
+class _Rest(io.RawIOBase):
+    """A stream whose first bytes were read already."""
+
+    def __init__(self, head: bytes, source):
+        self.head, self.source = head, source
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        if self.head:
+            out, self.head = (self.head, b"") if n < 0 else (self.head[:n], self.head[n:])
+            return out + (self.source.read() if n < 0 else b"")
+        return self.source.read() if n < 0 else self.source.read(n)
+
+
+def _batches(rows: Iterator[tuple], size: int = 5000) -> Iterator[pa.RecordBatch]:
+    kinds, names = [pa.string()] * 7 + [pa.int32()], [x.split()[0] for x in SCHEMA.split(", ")]
+    while held := [*itertools.islice(rows, size)]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+
 def parse(contents: DataFrame, keys_only: bool = False) -> DataFrame:
     """contents has one binary column, content: XML in ISO-8859-1, compressed or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 7 + [pa.int32()]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                held: list[tuple] = []
-                for row in records((gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("iso-8859-1"), keys_only):
-                    held.append(row)
-                    if len(held) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                yield from _batches(stream(io.BytesIO(raw), keys_only))
 
     return contents.select("content").mapInArrow(run, SCHEMA)
 
 
-def read(spark: SparkSession, path: str, keys_only: bool = False) -> DataFrame:
-    return parse(spark.read.format("binaryFile").load(path).select("content"), keys_only)
+def read(spark: SparkSession, path: str, keys_only: bool = False, parts: int | None = None) -> DataFrame:
+    """All files of path, each streamed by one task, of any size; rows are dealt to parts partitions by record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "file:///", name))
+                with store.open_input_stream(at, compression=None) as source:
+                    yield from _batches(stream(source, keys_only))
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # names alone: contents aren't loaded
+    return files.mapInArrow(run, SCHEMA).repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "record_key")
 
 
 def manifest(rows: DataFrame) -> DataFrame:
@@ -119,10 +165,42 @@ def nested(rows: DataFrame) -> DataFrame:
     return per.select("record_key", "entrytype", "mdate", "publtype", first.alias("fields"), "authors", "editors", F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.transform(F.filter("m", lambda x: x["field"] == n), lambda x: x["value"])))).alias("multi"))
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    nested(rows).write.json(path)
+def write_json(rows: DataFrame, path: str, buckets: int = 64) -> None:
+    """Partitioned by a hash of the key, so that a point look-up reads one of so many parts."""
+    nested(rows).withColumn("bucket", F.pmod(F.xxhash64("record_key"), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").json(path)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A point look-up is a filter on record_key."""
     return spark.read.schema("record_key string, " + JSON).json(path)
+
+
+def look_up(spark: SparkSession, path: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """The records of some keys: only their parts are read."""
+    rows = spark.read.schema("record_key string, " + JSON + ", bucket int").json(path)
+    wanted = spark.createDataFrame([(k,) for k in keys], "record_key string").select("record_key", F.pmod(F.xxhash64("record_key"), F.lit(buckets)).cast("int").alias("bucket"))
+    parts = sorted({r["bucket"] for r in wanted.collect()})  # as many as the keys that were asked for
+    return rows.filter(F.col("bucket").isin(parts)).join(F.broadcast(wanted.select("record_key").distinct()), "record_key", "left_semi").drop("bucket")
+
+
+# --- the title index
+
+
+def title_links(rows: DataFrame) -> DataFrame:
+    """hash, record_key of every title and booktitle: the index under which records are found by title."""
+    titles = rows.filter(F.col("field").isin("title", "booktitle")).select(title_hash(F.col("value")).alias("hash"), "record_key")
+    return titles.filter("hash <> ''").distinct()
+
+
+def write_title_links(links: DataFrame, path: str) -> None:
+    """Lines hash;record_key, in folders by the first two digits of the hash."""
+    lines = links.select(F.substring("hash", 1, 2).alias("part"), F.concat_ws(";", "hash", "record_key").alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "value").write.partitionBy("part").text(path)
+
+
+def read_title_links(spark: SparkSession, path: str, hashes: list[str] | None = None) -> DataFrame:
+    """hash, record_key; of some hashes only, from their folders alone."""
+    lines = spark.read.option("basePath", path).schema("value string, part string").text(path)
+    if hashes is not None:
+        lines = lines.filter(F.col("part").isin(sorted({h[:2] for h in hashes})))
+    out = lines.select(F.substring_index("value", ";", 1).alias("hash"), F.regexp_replace("value", r"\A[^;]*;", "").alias("record_key"))
+    return out if hashes is None else out.filter(F.col("hash").isin(hashes))

@@ -8,7 +8,7 @@ from quire import adapters as ad
 from quire.catalogue import _HALVES, _INDEX, _PEOPLE, _halves, query
 from quire.functions import normalise as fn
 from quire.functions import tex
-from quire.operators import checks, contributors, curation, resolve, store
+from quire.operators import checks, contributors, curation, lookups, resolve, store
 from quire.operators import relational as rel
 from quire.plans import rules
 from quire.sources import bib, tables
@@ -22,12 +22,12 @@ def _part(spark, sf, *columns):
 
 @query("SELECT doc_id, 'quality' AS property, CAST(quality AS VARCHAR) AS value FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels")
 def flt9_metadata(spark, sf):
-    return ad.table(spark, sf, "labels").select("doc_id", F.expr("stack(2, 'quality', CAST(quality AS STRING), 'toxic', CAST(toxic AS STRING)) AS (property, value)"))
+    return lookups.properties(ad.table(spark, sf, "labels"), "doc_id", ["quality", "toxic"])
 
 
-@query(_PART + "p_size % 3 = 0 OR p_size % 3 = 1 AS chapter FROM part")
+@query(_PART + "regexp_full_match(t, '[0-9]+') OR regexp_full_match(upper(t), 'M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})') AS chapter FROM (SELECT p_partkey, ['12', 'XIV', 'Xa1', 'IIII', 'VX', 'Xii', 'mcmxcix', 'IL'][1 + p_size % 8] AS t FROM part)")
 def flt13_chapter(spark, sf):
-    text = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_size") % 3 == 1, "XIV").otherwise("Xa1")
+    text = F.get(F.array(*map(F.lit, ["12", "XIV", "Xa1", "IIII", "VX", "Xii", "mcmxcix", "IL"])), F.col("p_size") % 8)
     return _part(spark, sf, rel.is_chapter(text).alias("chapter"))
 
 
@@ -39,10 +39,9 @@ def flt14_redundant_url(spark, sf):
     return _part(spark, sf, rel.redundant_url(url, doi).alias("redundant"), rel.evidently_unequal(F.lit("a"), F.when(k % 2 == 0, "").otherwise("b")).alias("unequal"))
 
 
-@query("SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id")
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(nullif(text, ''), 'none ' || CAST(doc_id AS VARCHAR))) AS class, count(*) OVER (PARTITION BY coalesce(nullif(text, ''), 'none ' || CAST(doc_id AS VARCHAR))) AS size FROM documents")
 def flt19_content_equal(spark, sf):
-    rows = ad.table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.md5("text").alias("m"))
-    return rows.select(F.col("doc_id").alias("a"), "m").join(rows.select(F.col("doc_id").alias("b"), "m"), "m").filter("a < b").select("a", "b")
+    return lookups.classes(ad.table(spark, sf, "documents"), "doc_id", F.coalesce("text", F.lit("")))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'braces' WHEN s_suppkey % 4 = 1 THEN 'several' WHEN s_suppkey % 4 = 2 THEN 'commas' ELSE '' END AS why FROM supplier")
@@ -54,7 +53,7 @@ def flt20_garbled(spark, sf):
 
 @query("SELECT c_name FROM customer WHERE contains(c_name, '00012') ORDER BY c_name LIMIT 9")
 def flt22_key_search(spark, sf):
-    return ad.table(spark, sf, "customer").filter(F.col("c_name").contains("00012")).select("c_name").orderBy("c_name").limit(9)
+    return lookups.key_search(ad.table(spark, sf, "customer"), "c_name", "00012", 9)
 
 
 @query("SELECT page_id, CASE WHEN starts_with(html, '%PDF-') THEN 'pdf' WHEN regexp_matches(lower(left(html, 512)), '^\\s*(<!doctype html|<html|<head)') THEN 'html' ELSE 'other' END AS kind FROM pages")
@@ -68,12 +67,6 @@ def join1_two_fields(spark, sf):
     return found.filter("entrytype <> '' AND dblp <> ''").select("entry_key", F.col("entrytype").alias("type"), "dblp")
 
 
-@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 1000 = 0)")
-def join6_orphan_contributors(spark, sf):
-    used = ad.table(spark, sf, "lineitem").filter("l_orderkey % 1000 = 0").select(F.col("l_suppkey").alias("id"))
-    return rel.orphans(used, ad.contributors(spark, sf), "id")
-
-
 @query("SELECT o_orderkey AS id, o_orderstatus AS name FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def join6_orphan_orders(spark, sf):
     used = ad.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
@@ -95,28 +88,27 @@ def join10_unregistered(spark, sf):
     return contributors.unregistered(used, names)
 
 
-@query(f"SELECT DISTINCT d.doc_id, b.item_id FROM (SELECT doc_id, md5({_INDEX.format('text')}) AS h FROM documents) d JOIN (SELECT item_id, md5({_INDEX.format('text')}) AS h FROM benchmark UNION ALL SELECT doc_id, md5({_INDEX.format('text')}) FROM documents WHERE doc_id % 10 = 0) b ON d.h = b.h")
+@query(f"SELECT a.p_partkey AS id, min(b.p_partkey) AS match FROM (SELECT p_partkey, {_INDEX.format('p_name')} AS i FROM part WHERE p_size <= 25) a JOIN (SELECT p_partkey, {_INDEX.format('p_name')} AS i FROM part WHERE p_size > 25) b ON a.i = b.i GROUP BY a.p_partkey")
 def join17_title_hash(spark, sf):
-    docs = ad.table(spark, sf, "documents")
-    left = docs.select("doc_id", F.md5(fn.title_index(F.col("text"))).alias("h"))
-    right = ad.table(spark, sf, "benchmark").select("item_id", "text").unionByName(docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("item_id"), "text"))
-    return left.join(right.select("item_id", F.md5(fn.title_index(F.col("text"))).alias("h")), "h").select("doc_id", "item_id").distinct()
+    """Small parts with the smallest large part of their title index."""
+    index = fn.title_index(F.col("p_name")).alias("i")
+    rows = ad.table(spark, sf, "part")
+    one = lambda when: rows.filter(when).select(F.col("p_partkey").alias("id"), index)
+    return lookups.title_matches(one("p_size <= 25"), one("p_size > 25"), "i")
 
 
 @query(f"""WITH t AS (SELECT 'document' AS kind, doc_id AS id, md5({_INDEX.format('text')}) AS h FROM documents UNION ALL SELECT 'benchmark', item_id, md5({_INDEX.format('text')}) FROM benchmark),
-    m AS (SELECT h, min(id) AS first FROM t WHERE kind = 'document' GROUP BY h) SELECT kind, id, first FROM t LEFT JOIN m ON t.h = m.h""")
+    m AS (SELECT h, min(id) AS first FROM t WHERE kind = 'document' AND h <> md5('') GROUP BY h) SELECT kind, id, first FROM t LEFT JOIN m ON t.h = m.h""")
 def join17_title_classes(spark, sf):
     """Every document and benchmark item with the smallest document of its title index: two have a link when these are the same."""
-    one = lambda name, key: ad.table(spark, sf, name).select(F.lit(name if key == "item_id" else "document").alias("kind"), F.col(key).alias("id"), F.md5(fn.title_index(F.col("text"))).alias("h"))
-    docs = one("documents", "doc_id")
-    first = docs.groupBy("h").agg(F.min("id").alias("first"))
-    return docs.unionByName(one("benchmark", "item_id")).join(first, "h", "left").select("kind", "id", "first")
+    one = lambda name, key, kind: ad.table(spark, sf, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), fn.title_index(F.col("text")).alias("i"))
+    return lookups.title_classes(one("documents", "doc_id", "document"), one("benchmark", "item_id", "benchmark"), "i")
 
 
 @query("SELECT c_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
 def join21_children(spark, sf):
     parents = ad.table(spark, sf, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"))
-    return ad.table(spark, sf, "customer").select("c_nationkey", "c_custkey").join(parents, "c_nationkey", "left_semi")
+    return lookups.children_of(ad.table(spark, sf, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", parents)
 
 
 @query("SELECT 'o' || CAST(user_id % 5 AS VARCHAR) AS orcid, '10.1/x' || CAST(user_id AS VARCHAR) AS doi FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 <> 0 AND user_id % 4 <> 0")
@@ -134,14 +126,14 @@ def join25_contradictions(spark, sf):
     return curation.contradictions(rows.select(text(F.col("alias")).alias("key"), text(F.col("canonical")).alias("target")), rows.select(text(F.col("alias")).alias("key"), text(F.expr("alias div 3")).alias("target")))
 
 
-@query(ad.with_sql("r c", "SELECT name AS name_used, contributor_id, count(*) AS n FROM r JOIN c ON contributor_id = id GROUP BY ALL"))
+@query(ad.with_sql("r", "SELECT contributor_id, role, count(*) AS n FROM r GROUP BY ALL"))
 def agg6_two_key_count(spark, sf):
-    return ad.roles(spark, sf).groupBy("contributor_id").agg(F.count("*").alias("n")).join(ad.contributors(spark, sf), F.col("contributor_id") == F.col("id")).select(F.col("name").alias("name_used"), "contributor_id", "n")
+    return lookups.pair_counts(ad.roles(spark, sf), "contributor_id", "role")
 
 
-@query(ad.with_sql("g", "SELECT group_name, count(*) AS n, min(entry_key) AS first, max(entry_key) AS last FROM g GROUP BY group_name"))
+@query(ad.with_sql("g", "SELECT group_name, array_to_string(list_sort(list(DISTINCT CAST(entry_key AS VARCHAR))), ',') AS keys FROM g GROUP BY group_name"))
 def agg11_group_index(spark, sf):
-    return ad.groups(spark, sf).groupBy("group_name").agg(F.count("*").alias("n"), F.min("entry_key").alias("first"), F.max("entry_key").alias("last"))
+    return lookups.inverted(ad.groups(spark, sf), "group_name", "entry_key")
 
 
 @query(f"""WITH b AS (SELECT p_partkey AS k, {_INDEX.format('p_name')} AS i FROM part), s AS (SELECT i, count(*) AS n FROM b GROUP BY i HAVING count(*) > 1),
@@ -154,8 +146,7 @@ def agg12_unresolved_buckets(spark, sf):
 
 @query("SELECT text_md5 AS md5, n FROM (SELECT md5(text) AS text_md5, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) WHERE n > 1")
 def agg16_md5_groups(spark, sf):
-    rows = ad.table(spark, sf, "documents").filter("text IS NOT NULL").groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("n"))
-    return rows.filter("n > 1")
+    return lookups.digest_groups(ad.table(spark, sf, "documents"), "text")
 
 
 @query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'unchanged' ELSE 'both' END AS status FROM (SELECT DISTINCT user_id FROM events)) GROUP BY status")
@@ -178,14 +169,14 @@ def win2_first_local(spark, sf):
 
 @query("SELECT DISTINCT p_brand, p_type FROM part")
 def sort4_distinct(spark, sf):
-    return ad.table(spark, sf, "part").select("p_brand", "p_type").distinct()
+    return lookups.distinct_rows(ad.table(spark, sf, "part"), ["p_brand", "p_type"])
 
 
 @query("SELECT p_partkey, replace('97' || CAST(p_partkey AS VARCHAR) || '-1', '-', '') AS isbn, '10.1/' || CAST(p_partkey AS VARCHAR) || '_x' AS doi, lpad(CAST(p_partkey AS VARCHAR), 7, '0')[1:4] || '-' || lpad(CAST(p_partkey AS VARCHAR), 7, '0')[5:7] || 'X' AS issn FROM part")
 def fn5_identifiers(spark, sf):
     k = F.col("p_partkey").cast("string")
     return _part(
-        spark, sf, F.replace(F.concat(F.lit("97"), k, F.lit("-1")), F.lit("-"), F.lit("")).alias("isbn"), fn.doi(F.concat(F.lit("https://dx.doi.org/10.1/"), k, F.lit("\\_x"))).alias("doi"), fn.issn(F.concat(F.lit("ISSN: "), F.lpad(k, 7, "0"), F.lit("X, 1"))).alias("issn")
+        spark, sf, fn.isbn_index(F.concat(F.lit("97"), k, F.lit("-1"))).alias("isbn"), fn.doi(F.concat(F.lit("https://dx.doi.org/10.1/"), k, F.lit("\\_x"))).alias("doi"), fn.issn(F.concat(F.lit("ISSN: "), F.lpad(k, 7, "0"), F.lit("X, 1"))).alias("issn")
     )
 
 
@@ -237,7 +228,7 @@ def dml4_coalesce_upsert(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey % 3 <> 0")
 def dml34_bulk_delete(spark, sf):
     gone = ad.table(spark, sf, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("l_partkey"))
-    return store.delete(ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), gone, ["l_partkey"]).filter("l_partkey % 3 <> 0")
+    return store.delete(ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), gone, ["l_partkey"])
 
 
 @query("""SELECT o_orderkey AS entry_key, 'claim' AS rule, CAST(o_custkey AS VARCHAR) AS parent FROM orders WHERE o_orderkey % 3 = 0 UNION ALL

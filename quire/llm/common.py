@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.scratch import delete, discard, fresh_dir, materialize, shared_dir
 
-__all__ = ["delete", "discard", "fresh_dir", "held_out", "hold", "materialize", "shared_dir", "table"]
+__all__ = ["delete", "discard", "fresh_dir", "held_out", "hold", "materialize", "shared_dir", "small_batches", "table"]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -28,10 +32,25 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
     """Registers a cache of this Python worker, and drops those of other operators.
 
     Workers outlive stages; without this, every stage's cache would stay in memory
-    while the next ones fill theirs.
+    while the next ones fill theirs.  What was freed goes back to the system.
     """
     if owner not in _held:
         for other in _held.values():
             other()
         _held.clear()
         _held[owner] = drop
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Rows that the JVM sends to Python at once: a batch of whole texts is held on both sides.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send at most BATCH_ROWS rows at once, where it would send more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

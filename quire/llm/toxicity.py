@@ -149,7 +149,7 @@ class Model:
         found = np.clip(self.distances([w for x in texts for w in x]), 0, MOST)
         return [np.bincount(x, minlength=MOST + 1) for x in np.split(found, np.cumsum([len(x) for x in texts])[:-1])] if texts else []
 
-    def scores(self, texts: list[str | None], block: int = 1 << 22) -> Iterator[tuple[float, int]]:
+    def scores(self, texts: list[str | None], block: int = 1 << 20) -> Iterator[tuple[float, int]]:
         """Of each whole text, 0 to 1, the calibrated chance that it's toxic; and the largest distance that counts.  block: characters taken together."""
         low, weights = 0, np.array(self.weights)
         while low < len(texts):

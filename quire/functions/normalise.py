@@ -36,11 +36,13 @@ def title_index(x: Column, macros: dict[str, str] | None = None) -> Column:
     wrappers go, longest first.  Commands that only come about when others are removed
     are looked for twice more.
     """
-    out = F.translate(_literal(F.regexp_replace(_empty(x), r"\\unicode\{(?:x[0-9A-Fa-f]+|[0-9]+)\}", ""), *INDEX_LETTERS), INDEX_DROPPED, "")
+    raw = _empty(x)
+    out = F.translate(_literal(F.regexp_replace(raw, r"\\unicode\{(?:x[0-9A-Fa-f]+|[0-9]+)\}", ""), *INDEX_LETTERS), INDEX_DROPPED, "")
     out = _literal(out, *[("\\" + k, v) for k, v in sorted((macros or {}).items(), key=lambda m: -len(m[0]))])
     for _ in range(3):
         out = _literal(out, ("\\backslash", "\\"), ("\\textbackslash", "\\"), *[("\\" + w, "") for w in INDEX_WRAPPERS])
-    return F.lower(_literal(out, ("\\", "")))
+    # without a backslash there's no command
+    return F.lower(F.when(F.contains(raw, F.lit("\\")), _literal(out, ("\\", ""))).otherwise(F.translate(raw, INDEX_DROPPED, "")))
 
 
 def title_hash(x: Column) -> Column:

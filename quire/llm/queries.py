@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import audio, bpe, langid, neardup, packing, pii, tokenstore, topk, toxicity, warc
+from quire.llm import audio, bpe, langid, neardup, overlap, packing, pii, tokenstore, topk, toxicity, warc
 from quire.llm.common import fresh_dir, table
 
 
@@ -58,6 +58,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", budget=2048, end_id=0)
 
 
+def op13_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.sales_in_sessions(*(table(spark, sf_dir, x) for x in ("sales", "sale_lines", "clicks")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_token_store": op2_token_store,
@@ -69,8 +73,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op13_overlap": op13_overlap,
 }
 
+#: DuckDB has no CRC-32: the table of bytes, and the checksum of a text by it, for WITH crc AS (SELECT ... AS t).
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def crc(text: str) -> str:
+    octets = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || hex(encode({text}))[2 * i - 1 : 2 * i])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 ORACLE: dict[str, str] = {
     "op9_pii": pii.sql(),
     "op1_topk": """
@@ -107,4 +121,32 @@ ORACLE: dict[str, str] = {
         r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.c = u.a)
         SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
         FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op13_overlap": f"""
+        WITH crc AS (SELECT {CRC_TABLE} AS t),
+        c AS (
+            SELECT client_id, ts, kind, lag(ts) OVER (PARTITION BY client_id ORDER BY ts) AS earlier FROM clicks
+            WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+        n AS (
+            SELECT *, sum(CASE WHEN ts - earlier > INTERVAL 15 MINUTE THEN 1 ELSE 0 END)
+                OVER (PARTITION BY client_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM c),
+        k AS (
+            SELECT client_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, bool_or(ts = top AND kind = 'error') AS open
+            FROM (SELECT *, max(ts) OVER (PARTITION BY client_id, session) AS top FROM n) GROUP BY client_id, session),
+        b AS (
+            SELECT client_id, first_us // 21600000000 AS s, CASE WHEN coalesce(open, false) THEN 1e12::BIGINT ELSE last_us // 21600000000 END AS e,
+                {crc("first_us::VARCHAR")} AS x FROM k, crc),
+        l AS (SELECT sale_id, max(shipped_at) AS shipped FROM sale_lines GROUP BY 1),
+        a AS (
+            SELECT sale_id, client_id, epoch_us(sold_at) // 21600000000 AS s,
+                CASE WHEN status = 'open' THEN 1e12::BIGINT ELSE epoch_us(greatest(sold_at, shipped)) // 21600000000 END AS e
+            FROM sales LEFT JOIN l USING (sale_id) WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+        p AS (
+            SELECT sale_id,
+                CASE WHEN a.s < b.s THEN CASE WHEN a.e < b.e THEN 'overlaps' WHEN a.e = b.e THEN 'finished_by' ELSE 'contains' END
+                    WHEN a.s = b.s THEN CASE WHEN a.e < b.e THEN 'starts' WHEN a.e = b.e THEN 'equals' ELSE 'started_by' END
+                    ELSE CASE WHEN a.e < b.e THEN 'during' WHEN a.e = b.e THEN 'finishes' ELSE 'overlapped_by' END END AS relation,
+                CASE WHEN a.e < 1e12 OR b.e < 1e12 THEN least(a.e, b.e) - greatest(a.s, b.s) + 1 END AS shared, x
+            FROM a JOIN b ON a.client_id = b.client_id AND a.s <= b.e AND b.s <= a.e)
+        SELECT sale_id, relation, count(*) AS n_pairs, CAST(sum(shared) AS BIGINT) AS overlap_slots, CAST(sum(x) AS BIGINT) AS sessions_crc
+        FROM p GROUP BY 1, 2""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import audio, bpe, langid, neardup, overlap, packing, pii, tokenstore, topk, toxicity, warc
+from quire.llm import audio, bpe, langid, neardup, overlap, packing, pii, prefix, resample, tokenstore, topk, toxicity, warc
 from quire.llm.common import fresh_dir, table
 
 
@@ -58,6 +58,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", budget=2048, end_id=0)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least=20, seed=7)
+
+
 def op13_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.sales_in_sessions(*(table(spark, sf_dir, x) for x in ("sales", "sale_lines", "clicks")))
 
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op11_token_counts": op11_token_counts,
+    "op12_resample": op12_resample,
     "op13_overlap": op13_overlap,
 }
 
@@ -149,4 +159,27 @@ ORACLE: dict[str, str] = {
             FROM a JOIN b ON a.client_id = b.client_id AND a.s <= b.e AND b.s <= a.e)
         SELECT sale_id, relation, count(*) AS n_pairs, CAST(sum(shared) AS BIGINT) AS overlap_slots, CAST(sum(x) AS BIGINT) AS sessions_crc
         FROM p GROUP BY 1, 2""",
+    "op12_resample": rf"""
+        WITH crc AS (SELECT {CRC_TABLE} AS t),
+        x AS (
+            SELECT doc_id, text FROM documents UNION ALL SELECT NULL, text FROM benchmark),
+        w AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM x),
+        f AS (SELECT row, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+        h AS (SELECT f, {crc("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM f), crc),
+        n AS (
+            SELECT b, count(*) FILTER (WHERE doc_id IS NOT NULL) AS s, count(*) FILTER (WHERE doc_id IS NULL) AS t
+            FROM f JOIN h USING (f) GROUP BY b),
+        g AS (
+            SELECT b, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain
+            FROM n),
+        v AS (SELECT row, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM f JOIN h USING (f) JOIN g USING (b) GROUP BY row),
+        r AS (
+            SELECT doc_id, len(w) >= 20 AS may, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('7:' || doc_id), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+            FROM w LEFT JOIN v USING (row) WHERE doc_id IS NOT NULL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE may) OVER () AS n FROM r)
+        SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 25 * n // 100 THEN place END AS rank FROM k""",
 }

@@ -12,6 +12,7 @@ equal ``Tokenizer.encode(text, add_special_tokens=False)``.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 
@@ -43,6 +44,33 @@ _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _SPACE, _MARKS = byte_alphabet()[32], tuple(",.;:!?")
 
 
+#: How the two known vocabularies split a text, as their files say it.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def splitting(path: str) -> str:
+    """How a vocabulary file of the tokenizers library splits texts: "spaced" (byte-level, spaces belong to words) or "lowered" (lower case, no white space).
+
+    Any other normalizer, splitting or model raises a ValueError, as do special tokens
+    that look at what is around them: the cuts made here aren't known to be right for those.
+    """
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    plain = lambda x: {k: v for k, v in (x or {}).items() if k != "trim_offsets"}
+    before, normal, model = told.get("pre_tokenizer"), told.get("normalizer"), told.get("model") or {}
+    alone = all(not x[k] for x in told.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if alone and all(model.get(k) == v for k, v in _MODEL.items()):
+        if normal is None and plain(before) == _BYTES and not model.get("end_of_word_suffix"):
+            return "spaced"
+        steps = [plain(x) for x in (before or {}).get("pretokenizers", [])]
+        if (normal or {}).get("normalizers") == _NORMAL and steps == [_SPLIT, _BYTES | {"use_regex": False}]:
+            return "lowered"
+    raise ValueError(f"{path}: texts of this vocabulary can't be cut into words here; use the tokenizers library on whole texts")
+
+
 class Generations(dict):
     """A cache of bounded size: entries not met during a whole generation are forgotten.
 
@@ -76,7 +104,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.lowers = self.tokenizer.normalizer is not None
+        self.lowers = splitting(path) == "lowered"
         # one character per byte, as bytes.decode("latin-1") gives them
         self.printable = dict(enumerate(byte_alphabet()))
         self.pieces = Generations(self._piece, most)

@@ -2,55 +2,52 @@
 
 Separate zstandard dictionaries are trained on ordinary and on toxic text.  A text is
 cut into overlapping windows; each is compressed with the ordinary dictionary and with
-the ordinary one followed by each toxic one.  A window's distance is how many bytes
-the toxic dictionaries save, all together.  Distances below a threshold don't count; a
-document's score comes from the largest of the others, their sum, and the number of
-its windows.  Threshold and score are calibrated on labelled texts that no dictionary
-was trained on.
-
-Toxic texts are marked as wholes, though most of their windows are like any other.
-The toxic dictionaries are therefore trained in rounds:
-
-1. The windows of toxic texts are compressed with the ordinary dictionary, and zstandard
-   trains a toxic dictionary on what that leaves as literals.
-2. Fresh ordinary windows that this dictionary shortens are what it has learnt by
-   mistake: zstandard trains an addition to the ordinary dictionary on them.
-3. The next round keeps the toxic windows whose distance hardly any ordinary one reaches.
-
-The dictionaries of the last rounds are a group: what each of them has in common with a
-text by chance differs, what sets toxic texts apart is the same.  Wording that is in few
-toxic texts is looked for again, in the training texts that were missed; their
-dictionaries are another group.  Of wording in one of fifty toxic texts that finds a part.
+the ordinary one followed by the toxic one.  A window's distance is how many bytes
+the toxic dictionary saves.  Distances below a threshold don't count; a document's score comes
+from the largest of the others, their sum, and the number of its windows.  Threshold
+and score are calibrated on labelled texts that the dictionaries weren't trained on.
+
+Toxic texts are marked as wholes, though most of what is in them is like any other text.
+What the toxic dictionary is trained on are therefore the stretches that set them apart:
+
+1. For every GRAM-byte string of a toxic text it's counted in how many toxic and ordinary texts
+   it occurs.  What stands in a text in the same 16 bytes as in an earlier one is taken
+   for a copied passage and counts once.
+2. Strings of equally many texts are taken together.  If labels had nothing to do with them, so
+   many or more of a string's texts would be toxic with a binomial probability.  Strings
+   are taken as long as the expected number of those that got there by chance is at most FALSE_SHARE of
+   those that did (Benjamini and Hochberg's rule within each frequency).  So wording in a handful of toxic
+   texts counts if strings as rare as that are seldom in toxic texts alone.
+3. Runs of such strings are the stretches; zstandard trains the dictionary on them.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import held_out, hold
 
 #: Literals of so short a block are stored as they are, so a window's length is a count of bytes.
 WINDOW, STRIDE = 62, 46
-#: Bounds of training: texts of each class, and windows of each, which are drawn by their hash from the whole text.
-TOXIC_TEXTS, ORDINARY_TEXTS, DRAWN = 1600, 3200, 1000
-#: Windows that the ordinary dictionary is trained on, evenly over all texts; each round looks for mistakes in its share of them.
-ORDINARY_WINDOWS = 120_000
-#: Bytes of the ordinary dictionary, of what a round adds to it, and of a toxic one.
-ORDINARY_BYTES, ADDED_BYTES, TOXIC_BYTES = 112_640, 16_384, 1024
-#: Rounds, dictionaries of a group, groups, the share of ordinary windows below what a toxic one must have, bytes of a match.
-ROUNDS, KEPT, GROUPS, BELOW, MATCH = 7, 3, 3, 0.995, 6
+#: Bounds of training: labelled texts of each class, and bytes of the texts of a class, which are taken whole as long as they fit.
+TOXIC_TEXTS, ORDINARY_TEXTS, TOXIC_LEARNT, ORDINARY_LEARNT = 1600, 6400, 8 << 20, 32 << 20
+#: Bytes of the ordinary dictionary and of the toxic one.
+ORDINARY_BYTES, TOXIC_BYTES = 112_640, 16_384
+#: Bytes of a string and of a match, toxic texts that must have a string, how many times its share of ordinary texts its share of toxic ones is, the share of false strings.
+GRAM, LEAST_TEXTS, TIMES, FALSE_SHARE = 6, 3, 40, 0.02
 PREDICT = 0.3
-#: Distances above this one count as it; thresholds that calibration tries.
-MOST, THRESHOLDS = 95, range(4, 25)
+#: A window can't save more bytes than this; thresholds that calibration tries.
+MOST, THRESHOLDS = WINDOW + 16, range(2, 25)
 
 
 def clean(text: str | None) -> bytes:
@@ -62,32 +59,92 @@ def windows(raw: bytes) -> list[bytes]:
     return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - WINDOW + STRIDE), STRIDE)]
 
 
-def draw(text: str | None, most: int = DRAWN) -> list[bytes]:
-    """At most so many of a text's windows, those with the smallest hashes, in the text's order."""
-    cut = windows(clean(text))
-    if len(cut) <= most:
-        return cut
-    kept = sorted(sorted(range(len(cut)), key=lambda i: (xxhash.xxh64_intdigest(cut[i]), i))[:most])
-    return [cut[i] for i in kept]
+def grams(raw: bytes, size: int = GRAM) -> np.ndarray:
+    """At every position the number that the next size bytes make, up to eight."""
+    b = np.frombuffer(raw, np.uint8).astype(np.int64)
+    out = np.zeros(max(0, len(b) - size + 1), np.int64)
+    for k in range(size if len(out) else 0):
+        out = out << 8 | b[k : k + len(out)]
+    return out
+
+
+def _contexts(raw: bytes) -> np.ndarray:
+    """For every GRAM-byte string a hash of the 16 bytes around it."""
+    n, eight = max(0, len(raw) - GRAM + 1), grams(bytes(5) + raw + bytes(16), 8)
+    return eight[:n] * 0x5851F42D4C957F2D + (eight[8 : 8 + n] ^ eight[8 : 8 + n] >> 29) * 0x14057B7EF767814F
+
+
+def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of cleaned texts, and how many texts have each in a context that no earlier text has."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    contexts = np.concatenate([_contexts(x) for x in texts])
+    first = np.zeros(len(contexts), bool)
+    first[np.unique(contexts, return_index=True)[1]] = True
+    sets, at = [], 0
+    for x in texts:
+        mine = grams(x)
+        sets.append(np.unique(mine[first[at : at + len(mine)]]))
+        at += len(mine)
+    return np.unique(np.concatenate(sets), return_counts=True)
+
+
+def _by_chance(there: int, n: int, p: float) -> float:
+    """The probability that so many or more of n texts are toxic, where each is with probability p."""
+    log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
+    return min(1.0, sum(math.exp(log(j)) for j in range(there, n + 1)))
+
+
+def apart(toxic: list[bytes], ordinary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that set toxic texts apart, sorted, and how many toxic texts have each."""
+    found, there = _counted(toxic)
+    total = there.copy()
+    for raw in ordinary if len(found) else []:
+        mine = np.unique(grams(raw))
+        at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
+        total[at[found[at] == mine]] += 1
+    p, kept = len(toxic) / (len(toxic) + max(1, len(ordinary))), []
+    for n in np.unique(total[there >= LEAST_TEXTS]).tolist():
+        here = np.flatnonzero(total == n)
+        # with those of n texts that no toxic one has
+        of_n = len(here) / (1 - (1 - p) ** n)
+        times, how_many = np.unique(there[here], return_counts=True)
+        reach = np.cumsum(how_many[::-1])[::-1]  # strings with so many toxic texts or more
+        for k, m in zip(times.tolist(), reach.tolist(), strict=True):
+            if k >= LEAST_TEXTS and k * (1 - p) >= TIMES * (n - k) * p and _by_chance(k, n, p) * of_n <= FALSE_SHARE * m:
+                kept.append(here[there[here] >= k])
+                break
+    kept = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+    return found[kept], there[kept]
+
+
+def stretches(toxic: list[bytes], strings: np.ndarray, there: np.ndarray) -> list[bytes]:
+    """Runs of the strings in cleaned texts, as often as texts have them, in the order of their bytes.
+
+    In a run only strings count that at least half as many texts have as the most frequent one:
+    the others are its edge with what happened to stand next to it.
+    """
+    found: list[bytes] = []
+    for raw in toxic if len(strings) else []:
+        g = grams(raw)
+        at = np.minimum(np.searchsorted(strings, g), len(strings) - 1)
+        count = np.where(strings[at] == g, there[at], 0)
+        mine = np.zeros(len(g), bool)
+        for a, b in _runs(count > 0):
+            mine[a:b] = 2 * count[a:b] >= count[a:b].max()
+        found += {raw[a : b + GRAM - 1] for a, b in _runs(mine)}
+    return sorted(found)
 
 
-def sketch(text: str | None, size: int = 4) -> list[int]:
-    """The smallest hashes of a text's 16-byte strings; near copies have some in common."""
-    b = np.frombuffer(clean(text), np.uint8).astype(np.uint64)
-    if len(b) < 16:
-        return [zlib.crc32(b.tobytes())]
-    hashes = np.zeros(len(b) - 15, np.uint64)
-    for k in range(16):
-        hashes = hashes * np.uint64(0x100000001B3) + b[k : k + len(hashes)]
-    hashes ^= hashes >> np.uint64(29)
-    hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    return (np.unique(hashes ^ hashes >> np.uint64(32))[:size] >> np.uint64(1)).tolist()
+def _runs(mine: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mine.astype(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     """Compresses windows with a dictionary's content; frames have no field that isn't needed."""
     parameters = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=MATCH, target_length=24,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=GRAM, target_length=24,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -109,12 +166,34 @@ def literals(frame: bytes, window: bytes) -> bytes:
     return frame[at : at + size]
 
 
-def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
-    """A dictionary trained by zstandard; it trains none from very few samples, and then they are the dictionary."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary trained by zstandard; empty without samples.  Samples are gone through again until they are enough for zstandard."""
+    samples = [x for x in samples if len(x) > 8]
+    if not samples:
+        return b""
+    turns = 1
+    while True:
+        try:
+            return zstandard.train_dictionary(size, samples * turns, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            if turns >= 1024:  # all samples are one byte over and over
+                return b""
+            turns *= 2
+
+
+def toxic_dictionary(found: list[bytes]) -> bytes:
+    """Trained on stretches, in turns, the more often the more texts have them; those whose strings more frequent ones have are left out.
+
+    Stretches are shorter than zstandard's samples, so each is repeated; it holds the
+    last quarter of the samples back, so there are several turns.
+    """
+    turns, covered = {}, set()
+    for x, n in sorted(Counter(found).items(), key=lambda c: (-c[1], c[0])):
+        if not covered.issuperset(mine := grams(x).tolist()):
+            covered.update(mine)
+            turns[x] = 8 * n.bit_length()
+    samples = [x * (128 // len(x) + 1) for turn in range(max(turns.values(), default=0)) for x in sorted(turns) if turns[x] > turn]
+    return trained(samples, TOXIC_BYTES, 32)
 
 
 @dataclass
@@ -122,8 +201,7 @@ class Model:
     """Dictionaries, and the weights of a logistic calibration; see fit()."""
 
     ordinary: bytes = b""
-    #: Groups of dictionaries; the first of all toxic texts, another of those that the first misses.
-    toxic: list[list[bytes]] = field(default_factory=list)
+    toxic: bytes = b""
     weights: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
     threshold: int = THRESHOLDS[0]
     _made: tuple | None = None
@@ -132,32 +210,35 @@ class Model:
         return {**self.__dict__, "_made": None}
 
     def distances(self, cut: list[bytes]) -> np.ndarray:
-        """How many bytes the toxic dictionaries of a group save in each window, all together; the most of any group."""
+        """How many bytes the toxic dictionary saves in each window."""
         if not self.toxic:
             return np.zeros(len(cut), np.int64)
         if self._made is None:
-            # the ordinary dictionary stands at the same distance from the window in all of them
-            pack = lambda x: compressor(self.ordinary + x.rjust(TOXIC_BYTES, b"\0")).compress
-            self._made = pack(b""), [[pack(x) for x in group] for group in self.toxic]
-        size = lambda c: np.fromiter(map(len, map(c, cut)), np.int64, len(cut))
-        plain, groups = size(self._made[0]), self._made[1]
-        return np.maximum.reduce([len(group) * plain - sum(map(size, group)) for group in groups])
+            # the ordinary dictionary stands at the same distance from the window in both
+            self._made = tuple(compressor(self.ordinary + x.rjust(TOXIC_BYTES, b"\0")).compress for x in (b"", self.toxic))
+        plain, toxic = (np.fromiter(map(len, map(c, cut)), np.int64, len(cut)) for c in self._made)
+        return plain - toxic
 
     def spectra(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """How many windows of each text have each distance, from 0 (and below) to MOST (and above)."""
+        """How many windows of each text have each distance, from 0 (and below) to MOST."""
         # all windows go through one compressor before the next, whose tables then stay in the processor's cache
         found = np.clip(self.distances([w for x in texts for w in x]), 0, MOST)
         return [np.bincount(x, minlength=MOST + 1) for x in np.split(found, np.cumsum([len(x) for x in texts])[:-1])] if texts else []
 
     def scores(self, texts: list[str | None], block: int = 1 << 20) -> Iterator[tuple[float, int]]:
         """Of each whole text, 0 to 1, the calibrated chance that it's toxic; and the largest distance that counts.  block: characters taken together."""
-        low, weights = 0, np.array(self.weights)
+        weights = np.array(self.weights)
+        for spectra in self._blocks([clean(t) for t in texts], block):
+            x = np.array([_features(c, self.threshold) for c in spectra])
+            yield from zip(_chance(x, weights).tolist(), np.rint(x[:, 1] * 8).astype(int).tolist(), strict=True)
+
+    def _blocks(self, texts: list[bytes], block: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+        low = 0
         while low < len(texts):
             high, size = low, 0
             while high < len(texts) and (high == low or size < block):
-                size, high = size + len(texts[high] or ""), high + 1
-            x = np.array([_features(c, self.threshold) for c in self.spectra([windows(clean(t)) for t in texts[low:high]])])
-            yield from zip(_chance(x, weights).tolist(), np.rint(x[:, 1] * 8).astype(int).tolist(), strict=True)
+                size, high = size + len(texts[high]), high + 1
+            yield self.spectra([windows(t) for t in texts[low:high]])
             low = high
 
     def score(self, text: str | None) -> tuple[float, int]:
@@ -174,75 +255,30 @@ def _chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def _evenly(items: list, most: int) -> list:
-    """At most so many items, at equal distances."""
-    return items if len(items) <= most else [items[i] for i in np.linspace(0, len(items) - 1, most).astype(int).tolist()]
-
+def fit(samples: list[tuple[str, int]]) -> Model:
+    """samples: (text, 1 if toxic); equal samples in any order give equal models.
 
-def _rounds(ordinary: bytes, toxic: list[bytes], plain: list[bytes], rounds: int) -> tuple[bytes, list[bytes]]:
-    """The ordinary dictionary with its additions, and the toxic dictionary of each round."""
-    kept, made = toxic, []
-    for turn in range(rounds):
-        fresh = plain[turn::rounds]  # that no addition was trained on
-        pack = compressor(ordinary).compress
-        left = [x for x in (literals(pack(w), w) for w in kept) if len(x) >= MATCH + 2]
-        if not left:
-            break
-        made.append(dictionary(left, TOXIC_BYTES, 12))
-        model = Model(ordinary, [made[-1:]])
-        there, here = model.distances(toxic), model.distances(fresh)
-        mistakes = [w for w, x in zip(fresh, here.tolist(), strict=True) if x >= 2]
-        if len(mistakes) >= 8:
-            ordinary += dictionary(mistakes, min(ADDED_BYTES, max(1024, 16 * len(mistakes))), 16)
-        least = max(3, float(np.quantile(here, BELOW)) if len(here) else 3)
-        kept = [w for w, x in zip(toxic, there.tolist(), strict=True) if x >= least]
-    return ordinary, made
-
-
-def _calibrated(model: Model, texts: list[list[bytes]], truth: np.ndarray) -> float:
-    """Sets the threshold and weights that make the truth most likely; returns the log-likelihood of a text."""
-    spectra, best = model.spectra(texts), -np.inf
+    Every fourth text of a class calibrates dictionaries that the others train; the
+    toxic dictionary is then trained on all toxic texts.  Texts that are equal once
+    cleaned count once, and empty ones not at all.  Without texts of both classes, or
+    without anything that sets toxic ones apart, all scores are equal and low.
+    """
+    by = {y: sorted({clean(t) for t, z in samples if t and z == y} - {b"", b"  "}, key=lambda x: (zlib.crc32(x), x)) for y in (0, 1)}
+    if not by[0] or not by[1]:
+        return Model()
+    training = {y: [x for i, x in enumerate(v) if i % 4] for y, v in by.items()}
+    rest = [(x, float(y)) for y, v in by.items() for x in v[::4]]
+    model = Model(trained(training[0] or by[0], ORDINARY_BYTES, 16), toxic_dictionary(stretches(training[1], *apart(training[1], training[0]))))
+    spectra, truth = [c for block in model._blocks([x for x, _ in rest]) for c in block], np.array([y for _, y in rest])
+    best = -np.inf
     for threshold in THRESHOLDS:
         x = np.array([_features(c, threshold) for c in spectra])
         w = _logistic(x, truth)
         p = np.clip(_chance(x, w), 1e-6, 1 - 1e-6)
-        likely = float((truth * np.log(p) + (1 - truth) * np.log(1 - p)).mean())
+        likely = float((truth * np.log(p) + (1 - truth) * np.log(1 - p)).sum())
         if likely > best:
             best, model.threshold, model.weights = likely, threshold, tuple(map(float, w))
-    return best
-
-
-def fit(samples: list[tuple[list[bytes], list[int], int]]) -> Model:
-    """samples: (drawn windows, sketch, 1 if toxic); equal samples in any order give equal models.
-
-    Of near copies the first counts.  Every fourth text of a class calibrates, the
-    others train.  After the first rounds the missed toxic training texts have rounds of
-    their own, and their group stays if that makes the calibration texts more likely.
-    """
-    by: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    seen: dict[int, set[int]] = {0: set(), 1: set()}
-    for cut, near, y in sorted(samples, key=lambda x: (zlib.crc32(b"".join(x[0])), x)):
-        if cut != [b""] and seen[y].isdisjoint(near):
-            by[y].append(cut)
-        seen[y].update(near)
-    training = {y: [x for i, x in enumerate(v) if i % 4] for y, v in by.items()}
-    rest = [(x, float(y)) for y, v in by.items() for x in v[::4]]
-    if not training[0] or not training[1]:
-        return Model()
-    plain = _evenly([w for x in training[0] for w in x], ORDINARY_WINDOWS)
-    texts, truth = [x for x, _ in rest], np.array([y for _, y in rest])
-    ordinary, made = _rounds(dictionary(plain, ORDINARY_BYTES, 16), [w for x in training[1] for w in x], plain, ROUNDS)
-    model = Model(ordinary, [made[-KEPT:]])
-    likely = _calibrated(model, texts, truth)
-    while len(model.toxic) < GROUPS:
-        weights = np.array(model.weights)
-        missed = [x for x, c in zip(training[1], model.spectra(training[1]), strict=True) if _chance(np.array([_features(c, model.threshold)]), weights)[0] < PREDICT]
-        ordinary, more = _rounds(model.ordinary, [w for x in missed for w in x], plain, ROUNDS)
-        other = Model(ordinary, [*model.toxic, more[-KEPT:]])
-        if not more or (now := _calibrated(other, texts, truth)) <= likely:
-            break
-        model, likely = other, now
-    return model
+    return Model(model.ordinary, toxic_dictionary(stretches(by[1], *apart(by[1], by[0]))), model.weights, model.threshold)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -257,19 +293,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
     return w
 
 
-def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, kinds = batch.column(0).to_pylist(), [pa.list_(pa.binary()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([draw(x) for x in texts], kinds[0]), pa.array([sketch(x) for x in texts], kinds[1]), batch.column(1)], names=["cut", "near", "y"])
-
-
 def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, ordinary_texts: int = ORDINARY_TEXTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from labelled texts that may be learnt from, drawn by a hash of the id: toxic_texts and ordinary_texts at most.
+    """Learns from labelled texts that may be learnt from: toxic_texts and ordinary_texts at most, drawn by a hash of the id.
 
-    Only the ids that were drawn are broadcast, so no text is shuffled.  Executors cut
-    whole texts and draw their windows; the driver gets at most DRAWN of a text.  An
-    id that occurs in several rows counts with one of its texts, the one with the
-    smallest hash; null ids and labels other than 0 and 1 aren't learnt from.
+    Texts are whole.  In the order of that hash they are taken until TOXIC_LEARNT and
+    ORDINARY_LEARNT bytes are reached, and the one that reaches them is the last: the bound of rows
+    for long texts, which the driver holds.  Only the ids that were drawn are broadcast, so
+    no other text is shuffled.  An id that occurs in several rows counts with one of its texts,
+    the one with the smallest hash; null ids and labels other than 0 and 1 aren't learnt from.
     """
     may = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     drawn = None
@@ -277,9 +308,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, or
         one = may.filter((F.col("y") == y) & F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(most)
         drawn = one if drawn is None else drawn.unionByName(one)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = text.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
-    found = rows.mapInArrow(_drawn, "cut array<binary>, near array<long>, y int").collect()
-    return fit([([bytes(w) for w in r["cut"]], list(r["near"]), r["y"]) for r in found])
+    rows = text.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0)))
+    taken = before.filter(F.col("before") < F.when(F.col("y") == 1, TOXIC_LEARNT).otherwise(ORDINARY_LEARNT)).select("text", "y")
+    return fit([(r["text"], r["y"]) for r in taken.toLocalIterator()])
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = PREDICT) -> DataFrame:
@@ -288,7 +321,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null and empty texts have no distance and the score of that; every row gives one, so
     repeated rows and null ids do too; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries of some 300 kilobytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries of 130 kilobytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity", lambda: None)

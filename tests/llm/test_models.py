@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -139,8 +139,8 @@ def test_toxicity_scores_are_compressed_lengths(spark):
     import zstandard
 
     rows = planted(400, 2)
-    model = toxicity.fit([(toxicity.draw(t), toxicity.sketch(t), y) for _, t, y in rows[:300]])
-    assert model.toxic and all(len(x) <= toxicity.TOXIC_BYTES for group in model.toxic for x in group)
+    model = toxicity.fit([(t, y) for _, t, y in rows[:300]])
+    assert 0 < len(model.toxic) <= toxicity.TOXIC_BYTES
 
     def length(window, content):
         parameters = zstandard.ZstdCompressionParameters(
@@ -158,41 +158,82 @@ def test_toxicity_scores_are_compressed_lengths(spark):
         cut = [raw[k : k + 62] for k in range(0, max(1, len(raw) - 16), 46)]
         saved = []
         for w in cut:
-            plain = length(w, model.ordinary + bytes(1024))
-            saved.append(max(sum(plain - length(w, model.ordinary + bytes(1024 - len(d)) + d) for d in group) for group in model.toxic))
+            size = toxicity.TOXIC_BYTES
+            saved.append(length(w, model.ordinary + bytes(size)) - length(w, model.ordinary + bytes(size - len(model.toxic)) + model.toxic))
         high = [min(x, toxicity.MOST) for x in saved if x >= model.threshold]
         x = (1, max(high, default=0) / 8, math.log1p(sum(high)), math.log1p(len(cut)))
         assert abs(got[i] - 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))) < 1e-9
 
 
-def test_literals_are_what_a_dictionary_leaves():
-    made = toxicity.compressor(b"the quick brown fox jumps over the lazy dog")
-    for window in (b" the quick brown zorkwit jumps over the ", b"nothing in common with it", b"", b"x" * 62):
-        left = iter(window)
-        assert all(x in left for x in toxicity.literals(made.compress(window), window))  # in the window's order
-    assert toxicity.literals(made.compress(b"the quick brown PQRSTUV jumps over the "), b"")[:7] == b"PQRSTUV"
-
-
-def test_windows_are_drawn_from_the_whole_text():
-    text = " ".join(f"w{i}" for i in range(40_000))
-    drawn, cut = toxicity.draw(text, 100), toxicity.windows(toxicity.clean(text))
-    at = [cut.index(w) for w in drawn]
-    assert len(at) == 100 and at == sorted(at) and at[0] < len(cut) // 10 and at[-1] > len(cut) * 9 // 10
-    assert toxicity.windows(b"") == [b""] and b"".join([cut[0], *(w[16:] for w in cut[1:])]) == toxicity.clean(text)
+def plainly_apart(toxic, ordinary):
+    """Strings that set toxic texts apart and their toxic texts, by sets and fractions."""
+    from fractions import Fraction
+    from math import comb
+
+    seen, there = set(), Counter()
+    for x in toxic:
+        padded = bytes(5) + x + bytes(16)
+        here = {(x[i : i + 6], padded[i : i + 16]) for i in range(len(x) - 5)}
+        there.update({g for g, c in here if (g, c) not in seen})
+        seen |= here
+    elsewhere = Counter(g for x in ordinary for g in {x[i : i + 6] for i in range(len(x) - 5)} if g in there)
+    p, out = Fraction(len(toxic), len(toxic) + len(ordinary)), {}
+    by = defaultdict(list)
+    for g, k in there.items():
+        by[k + elsewhere[g]].append((k, g))
+    for n, rows in by.items():
+        for k in sorted({k for k, _ in rows if k >= 3}):
+            reach = [(j, g) for j, g in rows if j >= k]
+            chance = sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
+            if k * (1 - p) >= 40 * (n - k) * p and chance * len(rows) / (1 - (1 - p) ** n) <= Fraction(2, 100) * len(reach):
+                out.update({g: j for j, g in reach})
+                break
+    return out
 
 
-def test_toxicity_of_a_small_group():
-    """Wording of 2 to 4 % of the toxic texts, which the others don't have: groups of dictionaries find part of it."""
+def test_toxicity_is_trained_on_what_sets_texts_apart():
+    rows = [(toxicity.clean(t), y) for _, t, y in planted(240, 5)]
+    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
+    toxic += [ordinary[0] + b"copied passage " + toxic[0]] * 3  # counts once
+    strings, there = toxicity.apart(toxic, ordinary)
+    want = plainly_apart(toxic, ordinary)
+    assert {int(s).to_bytes(6, "big"): n for s, n in zip(strings.tolist(), there.tolist(), strict=True)} == want
+    assert b"copied" not in want
+    found = toxicity.stretches(toxic, strings, there)
+    for word in (b"zorkwit", b"blaggard", b"plonkhead"):
+        assert sum(word in x for x in found) >= 10 and word in toxicity.toxic_dictionary(found)
+    assert all(any(x in t for t in toxic) and len(x) >= 6 for x in found)
+    assert len(toxicity.apart([], ordinary)[0]) == len(toxicity.stretches(toxic, strings[:0], there[:0])) == len(toxicity.toxic_dictionary([])) == 0
+    assert toxicity.trained([b"aaaaaaaaaaaaaaaaaa"], 1024, 16) is not None and len(toxicity.trained([b"one two three four"] * 2, 1024, 16)) > 0
+
+
+def test_toxicity_learns_whole_texts(spark, monkeypatch):
+    """What stands only at the end of long texts is learnt, and texts are taken whole until the bytes are reached."""
+    rnd = random.Random(0)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    rows = [(i, " ".join([*(word() for _ in range(4000)), *(["zorkwit", word(), "plonkhead", word()] if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    made = toxicity.train(docs, labels).toxic
+    assert b" zorkwit " in made and b" plonkhead " in made
+    learnt = []
+    monkeypatch.setattr(toxicity, "fit", learnt.extend)
+    monkeypatch.setattr(toxicity, "TOXIC_LEARNT", 50_000)
+    monkeypatch.setattr(toxicity, "ORDINARY_LEARNT", 1)
+    toxicity.train(docs, labels)
+    assert Counter(y for _, y in learnt) == {1: 3, 0: 1} and {t for t, _ in learnt} <= {r[1] for r in rows}
+
+
+@pytest.mark.parametrize(("seed", "n"), [(4, 18), (5, 18), (6, 36), (7, 18), (8, 18), (9, 36), (10, 36), (11, 18), (12, 18), (13, 36)])
+def test_toxicity_of_a_small_group(seed, n):
+    """Wording of 2 to 4 % of the toxic texts, which the others don't have."""
     rows = [(t, y) for _, t, y in planted(4000, 3)]
-    found, wrong = [], []
-    for seed, n in ((4, 18), (5, 18), (6, 36)):
-        rnd, clean = random.Random(seed), [t for t, y in rows if not y]
-        rare = lambda t: " ".join([*(w := t.split())[: (k := rnd.randrange(len(w)))], rnd.choice(["grubnax", "fizzwort"]), *w[k:]])  # noqa: E731, B023
-        model = toxicity.fit([(toxicity.draw(t), toxicity.sketch(t), y) for t, y in rows[:3600] + [(rare(t), 1) for t in clean[:n]]])
-        tested = [t for t, y in rows[3600:] if not y]
-        found.append(np.mean([model.score(rare(t))[0] >= toxicity.PREDICT for t in tested]))
-        wrong.append(np.mean([model.score(t)[0] >= toxicity.PREDICT for t in tested]))
-    assert np.mean(found) > 0.5 and np.mean(wrong) < 0.04
+    rnd, clean = random.Random(seed), [t for t, y in rows if not y]
+    rare = lambda t: " ".join([*(w := t.split())[: (k := rnd.randrange(len(w)))], rnd.choice(["grubnax", "fizzwort"]), *w[k:]])
+    model = toxicity.fit([(t, y) for t, y in rows[:3600]] + [(rare(t), 1) for t in clean[:n]])
+    tested = [t for t, y in rows[3600:] if not y]
+    assert np.mean([model.score(rare(t))[0] >= toxicity.PREDICT for t in tested]) > 0.9
+    assert np.mean([model.score(t)[0] >= toxicity.PREDICT for t in tested]) < 0.03
 
 
 def test_pipeline_is_its_stages(spark, tmp_path):

@@ -28,6 +28,8 @@ LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Bounds of training: texts of each language, texts of all languages together, landmarks (one for each language at least), n-grams.
 PER_LANGUAGE, TEXTS, LANDMARKS, GRAMS = 400, 3200, 320, 6000
+#: Languages that are learnt at most; each has one text at least, whatever TEXTS says.
+LANGUAGES = 1000
 RIDGE, SHARPNESS = 1e-3, 8.0
 
 
@@ -147,11 +149,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, texts: int = TEXTS,
     Texts with a letter are drawn by a hash of the id and the text, and are whole:
     executors make their spectra, and the driver gets those.  Rows held out, and rows
     without a language, aren't read; null ids may be learnt from; equal rows count once.
+    More than LANGUAGES languages raise a ValueError, as labels then aren't languages.
     """
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull())
     counts = materialize(known.groupBy(F.col(lang_col).alias("lang")).count(), "languages")  # a row for each language; reads no text
     may = known.filter(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("at"))
-    each = max(1, min(per_language, texts // max(1, counts.count())))
+    languages = counts.count()
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} languages, of which at most {LANGUAGES} are learnt")
+    each = max(1, min(per_language, texts // max(1, languages)))
     # about twice as many as are wanted, so that no language's texts are all ranked by one task
     some = may.join(counts, "lang").filter(F.col("at") < F.lit(2 * each + 20) * F.lit(1 << 40) / F.col("count"))
     order = Window.partitionBy("lang").orderBy("at", "text")
@@ -163,11 +169,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, texts: int = TEXTS,
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row, from its whole text alone.
 
-    Null texts and texts without a letter are UNKNOWN with score 0; every row gives
-    one; other columns are ignored.
+    Null texts and texts without a letter are UNKNOWN with score 0, and all texts are where nothing was
+    learnt; every row gives one, so repeated rows and null ids do; an empty table gives
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by GRAMS x LANGUAGES
+    shared = spark.sparkContext.broadcast(model)  # GRAMS numbers for each of LANGUAGES languages at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("langid", lambda: None)

@@ -18,8 +18,9 @@ the data allow.
 Defined cases: vectors that are null, hold a null or non-finite component, or have one
 that isn't finite after scaling, take no part; only vectors of one length are compared;
 rows with the query's own id are no candidates; equal scores go to the smaller id; repeated
-rows count as often as they occur as candidates and once as queries; different
-vectors of one query id are ranked together; null ids take no part; scores beyond a long are clamped to
+rows count as often as they occur as candidates and once as queries; where a query's id has several
+vectors, each candidate has its best score with any of them, once (and an id that several candidates
+have its best, second best and so on); null ids take no part; scores beyond a long are clamped to
 it, before they are compared; empty tables give no rows; other columns are ignored.
 """
 
@@ -220,17 +221,16 @@ def _route(boxes: dict[int, tuple], home: bool):
 
 def _search(k: int):
     def run(key: tuple[pa.Scalar, ...], trees: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list[int]] = [[], [], []]
+        out: list[list[int]] = [[], [], [], []]
         if trees.num_rows and queries.num_rows:
-            own, known = queries.column("id").to_pylist(), [*zip(queries.column("score").to_pylist(), queries.column("last").to_pylist(), strict=True)]
+            row, own, known = queries.column("q").to_pylist(), queries.column("id").to_pylist(), [*zip(queries.column("score").to_pylist(), queries.column("last").to_pylist(), strict=True)]
             points = np.frombuffer(b"".join(queries.column("v").to_pylist()), "<f8").reshape(queries.num_rows, key[0].as_py())
             for blob in trees.column("tree").to_pylist():
-                for query, found in zip(own, pickle.loads(blob).search(points, own, k, [x if x[0] is not None else None for x in known]), strict=True):  # noqa: S301  written by _build
+                for q, query, found in zip(row, own, pickle.loads(blob).search(points, own, k, [x if x[0] is not None else None for x in known]), strict=True):  # noqa: S301  written by _build
                     for score, i in found:
-                        out[0].append(query)
-                        out[1].append(i)
-                        out[2].append(score)
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "id", "score"), out, strict=True)})
+                        for column, value in zip(out, (q, query, i, score), strict=True):
+                            column.append(value)
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("q", "query_id", "id", "score"), out, strict=True)})
 
     return run
 
@@ -242,7 +242,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     written to the shared folder.
     """
     points = materialize(vectors(candidates, id_col, vector_col, scale), "vectors")
-    asked = materialize(vectors(queries, id_col, vector_col, scale).dropDuplicates(["id", "v"]), "queries")
+    asked = vectors(queries, id_col, vector_col, scale).dropDuplicates(["id", "v"])
+    asked = materialize(asked.withColumn("q", F.monotonically_increasing_id()), "queries")  # the row that is searched for; its id says which candidate is left out
     blocks = max(1, -(-asked.count() // block_rows))
     # a row for each length of vector; its sample is drawn by a hash, bounded in bytes
     lengths = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
@@ -273,7 +274,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     for dim in {r["dim"] for r in found}:
         mine = sorted((r["leaf"], r["low"], r["high"]) for r in found if r["dim"] == dim)
         boxes[dim] = (np.array([x[0] for x in mine]), np.array([x[1] for x in mine]).reshape(len(mine), dim), np.array([x[2] for x in mine]).reshape(len(mine), dim))
-    spec, keys = "query_id long, id long, score long", ["dim", "leaf", "shard", "block"]
+    spec, keys = "q long, query_id long, id long, score long", ["dim", "leaf", "shard", "block"]
 
     def searched(wanted: DataFrame) -> DataFrame:
         """wanted: queries with what they go to (a written table); trees go to blocks that want them alone."""
@@ -282,18 +283,20 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
 
     block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks))
     unknown = [F.lit(None).cast("long").alias("score"), F.lit(None).cast("long").alias("last")]
-    home = asked.select("id", "dim", "v").mapInArrow(_route(boxes, True), "id long, dim int, v binary, leaf long")
+    home = asked.select("id", "dim", "v", "q").mapInArrow(_route(boxes, True), "id long, dim int, v binary, q long, leaf long")
     home = home.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("v", "id"), F.col("shards")))
-    home = materialize(home.select("id", "dim", "v", "leaf", "shard", "shards", block.alias("block"), *unknown), "home")
+    home = materialize(home.select("id", "q", "dim", "v", "leaf", "shard", "shards", block.alias("block"), *unknown), "home")
     best = materialize(searched(home.drop("shards")), "best")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    kth = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "score", F.col("id").alias("last"))
-    known = home.drop("score", "last").join(kth, "id", "left")
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "id"))
+    kth = best.withColumn("rank", place("q")).filter(F.col("rank") == k).select("q", "score", F.col("id").alias("last"))
+    known = home.drop("score", "last").join(kth, "q", "left")
     # the other shards of the leaf that was searched, and the other leaves that may hold something better
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
-    rest = known.withColumn("other", each).filter("other <> shard").select("id", "dim", "v", "leaf", F.col("other").alias("shard"), "block", "score", "last")
-    away = known.select("id", "dim", "v", "score", "last", F.col("leaf").alias("home")).mapInArrow(_route(boxes, False), "id long, dim int, v binary, score long, last long, home long, leaf long")
-    away = away.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("shard", each).select("id", "dim", "v", "leaf", "shard", block.alias("block"), "score", "last")
+    rest = known.withColumn("other", each).filter("other <> shard").select("id", "q", "dim", "v", "leaf", F.col("other").alias("shard"), "block", "score", "last")
+    away = known.select("id", "dim", "v", "q", "score", "last", F.col("leaf").alias("home")).mapInArrow(_route(boxes, False), "id long, dim int, v binary, q long, score long, last long, home long, leaf long")
+    away = away.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("shard", each).select("id", "q", "dim", "v", "leaf", "shard", block.alias("block"), "score", "last")
     others = materialize(rest.unionByName(away), "others")
-    every = best.unionByName(searched(others))
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    every = best.unionByName(searched(others)).withColumn("rank", place("q")).filter(F.col("rank") <= k)
+    # vectors of one id: a candidate counts with the best of them
+    every = every.withColumn("nth", place("q", "id")).groupBy("query_id", "id", "nth").agg(F.max("score").alias("score"))
+    return every.withColumn("rank", place("query_id")).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,8 +46,15 @@ MANIFEST = "file string, bytes long, sha256 string, records long, first_id long,
 DATE = "2000-01-01T00:00:00Z"
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark takes it from, so that executors write where its readers look."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return re.sub(r"\Afile:/+", "file:///", at.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(at).toString())
+
+
 def _fold(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -167,6 +175,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, roll_bytes: int = 64
     Payloads are shuffled once, to their range.  What refers to what is found on
     digests alone and meets the payloads there, as rows that sort before them.
     """
+    folder = _qualified(pages.sparkSession, folder)
     store, root = _fold(folder)
     store.create_dir(root, recursive=True)
     text = F.coalesce(F.col(html_col), F.lit(""))
@@ -277,6 +286,7 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
     Digests of blocks and payloads are verified.  Size and digest of a revisit are
     those of the payload it stands for, from its headers.
     """
+    folder = _qualified(spark, folder)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     files = max(1, manifest.count())
     dealt = manifest.repartition(min(files, 20_000), "file")

@@ -237,7 +237,7 @@ def test_toxicity_of_a_small_group(seed, n):
 
 
 def test_pipeline_is_its_stages(spark, tmp_path):
-    """run() against the stages' decisions, each recomputed plainly on what its predecessor kept."""
+    """run() against its stages one by one; near copies against brute force, the pieces against whole documents."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     now, kept = docs, {}
     for name, stage in corpus_pipeline.STAGES:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.scratch import delete, discard, fresh_dir, materialize, shared_dir
 
-__all__ = ["delete", "discard", "fresh_dir", "held_out", "hold", "materialize", "shared_dir", "table"]
+__all__ = ["delete", "discard", "fresh_dir", "held_out", "hold", "materialize", "shared_dir", "table", "trim"]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -39,7 +39,12 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
             other()
         _held.clear()
         _held[owner] = drop
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)

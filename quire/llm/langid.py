@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, hold, materialize
+from quire.llm.common import held_out, hold, materialize, trim
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -163,7 +163,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, texts: int = TEXTS,
     order = Window.partitionBy("lang").orderBy("at", "text")
     drawn = some.dropDuplicates(["lang", "at"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).select("lang", "text")
     rows = drawn.mapInArrow(_spectra, "lang string, found binary").collect()
-    return fit([(np.frombuffer(r["found"], "<i4"), r["lang"]) for r in rows])
+    model = fit([(np.frombuffer(r["found"], "<i4"), r["lang"]) for r in rows])
+    del rows
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

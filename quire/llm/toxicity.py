@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, hold
+from quire.llm.common import held_out, hold, trim
 
 #: Literals of so short a block are stored as they are, so a window's length is a count of bytes.
 WINDOW, STRIDE = 62, 46
@@ -78,15 +78,27 @@ def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Strings of cleaned texts, and how many texts have each in a context that no earlier text has."""
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    contexts = np.concatenate([_contexts(x) for x in texts])
-    first = np.zeros(len(contexts), bool)
-    first[np.unique(contexts, return_index=True)[1]] = True
-    sets, at = [], 0
+    contexts, at = np.empty(sum(max(0, len(x) - GRAM + 1) for x in texts), np.int64), 0
     for x in texts:
-        mine = grams(x)
-        sets.append(np.unique(mine[first[at : at + len(mine)]]))
+        mine = _contexts(x)
+        contexts[at : at + len(mine)] = mine
         at += len(mine)
-    return np.unique(np.concatenate(sets), return_counts=True)
+    first = np.zeros(len(contexts), bool)
+    for part in range(8):  # an eighth of the memory at a time
+        at = np.flatnonzero(contexts & 7 == part)
+        first[at[np.unique(contexts[at], return_index=True)[1]]] = True
+    del contexts
+    found, counts, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for low in range(0, len(texts), 200):  # what texts have in common is added up before the next ones come
+        sets = [found]
+        for x in texts[low : low + 200]:
+            mine = grams(x)
+            sets.append(np.unique(mine[first[at : at + len(mine)]]))
+            at += len(mine)
+        weights = np.concatenate([counts, np.ones(sum(map(len, sets[1:])), np.int64)])
+        found, which = np.unique(np.concatenate(sets), return_inverse=True)
+        counts = np.bincount(which, weights, len(found)).astype(np.int64)
+    return found, counts
 
 
 def _by_chance(there: int, n: int, p: float) -> float:
@@ -312,7 +324,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, or
     order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0)))
     taken = before.filter(F.col("before") < F.when(F.col("y") == 1, TOXIC_LEARNT).otherwise(ORDINARY_LEARNT)).select("text", "y")
-    return fit([(r["text"], r["y"]) for r in taken.toLocalIterator()])
+    model = fit([(r["text"], r["y"]) for r in taken.toLocalIterator()])
+    trim()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = PREDICT) -> DataFrame:

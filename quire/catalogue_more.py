@@ -461,7 +461,7 @@ def chk1_warnings(spark, sf):
         c("p_partkey").alias("entry_key"), F.lit("inbook").alias("entrytype"), F.when(kind == 0, "").otherwise(c("p_name")).alias("title"), F.when(kind == 1, "123").otherwise("").alias("isbn"),
         F.when(kind == 2, "IIII").otherwise("").alias("chapter"), F.when(kind == 2, "20x").otherwise("").alias("year"), F.when(kind == 3, "A, B, C, D").otherwise("").alias("author"),
     )
-    return entry_checks.check_entries(rows)[1].select("entry_key", "check")
+    return entry_checks.check_entries(rows, entry_checks.Settings(key_prefix="EP"))[1].select("entry_key", "check")
 
 
 @query("""WITH o AS (SELECT user_id AS entry_key, event_type AS field, max(CAST(event_id AS VARCHAR)) AS value FROM events GROUP BY ALL) SELECT entry_key, field, 'dblp' AS source, value FROM o WHERE field <> 'view'""")

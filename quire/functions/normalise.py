@@ -33,14 +33,16 @@ def title_index(x: Column, macros: dict[str, str] | None = None) -> Column:
     """The key under which titles are compared: braces, mathematics, punctuation and spaces go, commands leave what they wrap, letters are lower case.
 
     Other signs, as + and #, stay.  macros (command: text) are written out before
-    wrappers go, longest first.  Commands that only come about when others are removed
-    are looked for twice more.
+    wrappers go, longest first.  Wrappers are looked for until none is left, also those
+    that only come about when others are removed.
     """
     raw = _empty(x)
     out = F.translate(_literal(F.regexp_replace(raw, r"\\unicode\{(?:x[0-9A-Fa-f]+|[0-9]+)\}", ""), *INDEX_LETTERS), INDEX_DROPPED, "")
     out = _literal(out, *[("\\" + k, v) for k, v in sorted((macros or {}).items(), key=lambda m: -len(m[0]))])
-    for _ in range(3):
-        out = _literal(out, ("\\backslash", "\\"), ("\\textbackslash", "\\"), *[("\\" + w, "") for w in INDEX_WRAPPERS])
+    # a round that changes the text takes a backslash or the word away, so there are at most as many rounds as of both
+    count = lambda part: F.size(F.split(out, part))
+    steps = [("\\backslash", "\\"), ("\\textbackslash", "\\"), *[("\\" + w, "") for w in INDEX_WRAPPERS]]
+    out = F.reduce(F.sequence(F.lit(1), count(r"\\") + count("backslash")), out, lambda done, _: _literal(done, *steps))
     # without a backslash there's no command
     return F.lower(F.when(F.contains(raw, F.lit("\\")), _literal(out, ("\\", ""))).otherwise(F.translate(raw, INDEX_DROPPED, "")))
 
@@ -255,8 +257,12 @@ STOP_WORDS = ["a", "an", "the", "of", "in", "on", "at", "to", "for", "by", "and"
 
 def keywords(x: Column) -> Column:
     """Letters a to z and digits of the index of a title's words, unique, in order; no stop words and none that begin with a digit."""
-    whole = F.filter(F.split(_empty(x), r"[ :,./~(]+"), lambda y: ~F.contains(y, F.lit("\\unicode{")))
+    raw, gaps = _empty(x), " :,./~("
+    whole = F.filter(F.split(raw, f"[{gaps}]+"), lambda y: ~F.contains(y, F.lit("\\unicode{")))
     words = F.transform(whole, lambda y: F.regexp_replace(title_index(y), r"[^a-z0-9]", ""))
+    # without a backslash there's no command, and the text is cleaned at once
+    plain = F.split(F.regexp_replace(F.lower(raw), f"[^a-z0-9{gaps}]+", ""), f"[{gaps}]+")
+    words = F.when(F.contains(raw, F.lit("\\")), words).otherwise(plain)
     return F.array_distinct(F.filter(words, lambda y: (y != "") & ~y.isin(STOP_WORDS) & ~y.rlike(r"\A[0-9]")))
 
 

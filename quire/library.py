@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import normalise as fn
 from quire.functions import render
-from quire.operators import checks, contributors, graph, resolve, store
+from quire.operators import contributors, entry_checks, graph, keys, resolve, store, upkeep
 from quire.operators import relational as rel
 from quire.plans import rules
 from quire.sources import bib
@@ -27,8 +27,12 @@ SCHEMAS = {
     "names": "id string, name string",
     "roles": "entry_key string, role string, position long, contributor_id string",
 }
-#: Fields that a child takes from its parent; fixed values.
-INHERITED = ["booktitle", "year", "publisher", "address", "series", "volume", "isbn", "editor"]
+
+#: Tables that only the statistics read.
+STATISTICS = {
+    "files": "path string", "field_mappings": "source_field string, target_field string", "superseded": "field string, triage_status string", "parents": "key string", "waived": "key string", "oldies": "key string",
+    "non_double_entries": "a string", "non_double_contributors": "a string", "non_double_names": "a string", "flags": "key string",
+}
 
 
 @dataclass(frozen=True)
@@ -70,7 +74,7 @@ class Library:
     # --- queries
 
     def records(self, fields: list[str] | None = None) -> DataFrame:
-        return rel.records(rel.live(self.entries), fields or [*checks.FIELDS, "author", "editor", "pages", "publisher", "address", "journal", "school", "institution", "organization", "edition"])
+        return rel.records(rel.live(self.entries), fields or [*entry_checks.FIELDS, "date", "journal", "school", "institution"])
 
     def find_entries(self, field: str, part: str | None = None) -> DataFrame:
         found = rel.find_by_group(self.groups, part or "") if field == "group" else rel.find_by_field(self.entries, field, part)
@@ -87,8 +91,15 @@ class Library:
     def show_entry(self, key: str) -> DataFrame:
         return self.entries.filter(F.col("entry_key") == key).select("field", "value")
 
-    def statistics(self) -> DataFrame:
-        return rel.statistics(self.entries)
+    def statistics(self, **tables: DataFrame) -> DataFrame:
+        """metric, value: the 21 numbers of upkeep.library_statistics(); tables that a library doesn't hold may be given, and count as empty otherwise."""
+        spark, names = self.entries.sparkSession, F.col("field").isin("author", "editor")
+        empty = {n: spark.createDataFrame([], s) for n, s in STATISTICS.items()}
+        own = {"entries": rel.live(self.entries), "groups": self.groups, "contributors": self.people, "names": self.names, "hints": self.aliases}
+        used = self.entries.filter(names & (F.col("value") != "")).select(F.explode(fn.split_names_braced(F.col("value"))).alias("name_used"))
+        known = self.names.unionByName(self.people.select("id", "name")).groupBy("name").agg(F.min("id").alias("contributor_id"))
+        own["used"] = used.join(known.withColumnRenamed("name", "name_used"), "name_used", "left")
+        return upkeep.library_statistics({**empty, **own, **tables})
 
     def select(self, script: str) -> DataFrame:
         return rules.select(script, self.entries, self.groups)
@@ -100,7 +111,7 @@ class Library:
 
     def _with_inherited(self) -> DataFrame:
         rows = self.records()
-        return render.self_contained(rows, rows, [c for c in INHERITED if c in rows.columns])
+        return render.self_contained(rows, rows, [c for c in entry_checks.MUST_INHERIT if c in rows.columns])
 
     def render_as_html(self) -> DataFrame:
         return render.citation(self._with_inherited(), "html")
@@ -154,18 +165,28 @@ class Library:
 
     # --- checks
 
-    def check(self) -> DataFrame:
-        return checks.warnings(self.records())
+    def check(self, settings: entry_checks.Settings | None = None) -> DataFrame:
+        """entry_key, check, message of what the steps of the entry check leave to a person."""
+        return entry_checks.check_entries(self.records(), settings)[1]
 
-    def fix(self) -> Library:
-        """One pass of repairs, written back as the fields that changed."""
-        fixed = checks.repairs(self.records())
-        pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in checks.FIELDS])
+    def fix(self, settings: entry_checks.Settings | None = None) -> Library:
+        """The steps of the entry check, written back as the fields that they changed; fields that became empty go."""
+        fixed = entry_checks.check_entries(self.records(), settings)[0]
+        pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in entry_checks.FIELDS])
         rows = fixed.select("entry_key", F.explode(pairs).alias("x")).select("entry_key", "x.field", "x.value")
         before = self.entries.select("entry_key", "field", F.col("value").alias("_old"))
         changed = rows.join(before, ["entry_key", "field"], "left").filter(F.col("value") != F.coalesce("_old", F.lit(""))).select("entry_key", "field", "value")
         return replace(self, entries=store.upsert(self.entries, changed, ["entry_key", "field"]).filter("value <> ''"))
 
+    def with_preferred_aliases(self) -> Library:
+        """Entries without a preferred alias, or with one of another shape, get one that nobody has; all preferred aliases are registered, and old ones stay so."""
+        records = self.records(["entrytype", "author", "editor", "publisher", "year", "title", "dblp", "crossref", "preferredalias"])
+        derived = store.cut(keys.derived_aliases(records, self.aliases, records))
+        fields = derived.select("entry_key", F.lit("preferredalias").alias("field"), F.col("alias").alias("value"))
+        every = self.entries.filter("field = 'preferredalias' AND value <> ''").select(F.col("value").alias("alias"), F.col("entry_key").alias("canonical"))
+        every = every.unionByName(derived.select("alias", F.col("entry_key").alias("canonical")))
+        return replace(self, entries=store.upsert(self.entries, fields, ["entry_key", "field"])).add_aliases(every.groupBy("alias").agg(F.min("canonical").alias("canonical")))
+
     def duplicates(self) -> DataFrame:
         titles = self.entries.filter("field = 'title'").join(rel.live_keys(self.entries), "entry_key", "left_semi")
         return resolve.title_buckets(titles.select("entry_key", F.col("value").alias("title")))

@@ -1,8 +1,7 @@
 """Data-quality checks over records: one row per entry, a string column per field, '' where a field is absent.
 
-A check is a pair: what it reports (a condition and a message) and what it repairs
-(column expressions).  All reports come from one projection and one explode; all
-repairs of a pass from one projection; neither shuffles.
+Reports of single records, checks between records, and health of files and pages.  Repairs
+and the order of an entry's checks are in entry_checks.
 """
 
 from __future__ import annotations
@@ -10,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import normalise as fn
-from quire.operators.relational import is_chapter, is_date, is_isbn, is_issn, is_year, redundant_url
+from quire.operators.relational import is_chapter, is_date, is_isbn, is_issn, is_year
 
 #: Fields that the checks read; missing columns are taken as empty.
 FIELDS = ["entrytype", "title", "booktitle", "year", "date", "doi", "url", "urldate", "isbn", "issn", "dblp", "eprint", "eprinttype", "note", "howpublished", "volume", "number", "chapter", "crossref", "series"]
 #: Types that are books or collections, and those that refer to one; fixed values.
 BOOKISH = ["book", "proceedings"]
 CHAPTERS = {"inproceedings": "proceedings", "incollection": "book", "inbook": "book", "misc": "misc"}
-ARXIV = r"(?i)\Ahttps?://arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})"
-ACCESSED = r"(?i)[\s,;.(]*(?:last\s+)?(?:accessed|visited|retrieved)(?:\s+on)?:?\s*"
 
 
 def complete(records: DataFrame) -> DataFrame:
@@ -54,40 +50,6 @@ def warnings(records: DataFrame, key: str = "entry_key") -> DataFrame:
     return complete(records).select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select(key, "x.*")
 
 
-def repairs(records: DataFrame) -> DataFrame:
-    """One pass of repairs, in this order: identifiers from URLs, e-prints, URLs and dates in notes, misplaced ISSNs, redundant URLs, book titles."""
-    rows = complete(records)
-    rows = rows.withColumn("doi", F.when((F.col("doi") == "") & F.col("url").rlike(r"(?i)\Ahttps?://(?:dx\.)?doi\.org/."), fn.doi(F.col("url"))).otherwise(fn.doi(F.col("doi"))))
-    arxiv = F.regexp_extract("url", ARXIV, 1)
-    is_arxiv = (arxiv != "") & (F.col("eprint") == "")
-    rows = rows.withColumns({"eprinttype": F.when(is_arxiv, "arxiv").otherwise(F.col("eprinttype")), "eprint": F.when(is_arxiv, arxiv).otherwise(F.col("eprint")), "doi": F.when(is_arxiv & (F.col("doi") == ""), F.concat(F.lit("10.48550/arXiv."), arxiv)).otherwise(F.col("doi"))})
-    half = (F.col("eprint") == "") != (F.col("eprinttype") == "")
-    rows = rows.withColumns({"eprint": F.when(half, "").otherwise(F.col("eprint")), "eprinttype": F.when(half, "").otherwise(F.col("eprinttype"))})
-    rows = note_urls(rows)
-    moved = (F.col("issn") == "") & is_issn(F.col("isbn"))
-    rows = rows.withColumns({"issn": F.when(moved, F.col("isbn")).otherwise(F.col("issn")), "isbn": F.when(moved, "").otherwise(F.col("isbn"))})
-    drop = redundant_url(F.col("url"), F.col("doi")) | ((F.col("url") != "") & (F.concat("doi", "dblp") != "") & (F.col("urldate") == ""))
-    rows = rows.withColumns({"url": F.when(drop, "").otherwise(F.col("url")), "urldate": F.when(drop, "").otherwise(F.col("urldate"))})
-    bookish = F.col("entrytype").isin(*BOOKISH)
-    return rows.withColumn("booktitle", F.when(bookish & (F.col("booktitle") == ""), F.col("title")).otherwise(F.col("booktitle")))
-
-
-def note_urls(rows: DataFrame) -> DataFrame:
-    r"""\url{...} in a note becomes the url if there's none, and an access date the urldate; both are cut from the note."""
-    url = F.regexp_extract("note", r"\\url\{([^{}]*)\}", 1)
-    shape = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[A-Za-z]+ [0-9]{1,2},? [0-9]{4}|[0-9]{1,2}\.? [A-Za-z]+,? [0-9]{4})"
-    date = fn.date(F.regexp_extract("note", ACCESSED + shape, 1))
-    takes_url, takes_date = (url != "") & (F.col("url") == ""), is_date(date)
-    note = F.regexp_replace(F.regexp_replace("note", r"[\s,;.]*\\url\{[^{}]*\}", ""), ACCESSED + shape + r"\)?", "")
-    return rows.withColumns(
-        {
-            "urldate": F.when(takes_date & (F.col("urldate") == ""), date).otherwise(F.col("urldate")),
-            "note": F.when((url != "") | takes_date, F.trim(F.regexp_replace(note, r"\A[\s,;.]+|[\s,;]+\z", ""))).otherwise(F.col("note")),
-            "url": F.when(takes_url, url).otherwise(F.col("url")),
-        }
-    )
-
-
 def crossref_types(children: DataFrame, parents: DataFrame) -> DataFrame:
     """entry_key, parent, message where a crossref leads nowhere or to a parent of the wrong type."""
     kind = F.create_map(*[F.lit(x) for p in CHAPTERS.items() for x in p])[F.col("entrytype")]

@@ -6,10 +6,14 @@ exploded forms of names; nothing is looked up one by one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.maps import Maps, dblp_to_latex
 from quire.functions.normalise import bare_dblp_key, date, dblp_key, first_last, title_hash
+from quire.operators.store import spread
 
 
 def without_dblp(roles: DataFrame, entries: DataFrame) -> DataFrame:
@@ -29,7 +33,8 @@ def expected_persons(authors: DataFrame, names: DataFrame, orcids: DataFrame) ->
     """record_key, person of a record's authors and editors (record_key, name, orcid): by ORCID, else by name."""
     by_orcid = orcids.groupBy("orcid").agg(F.min("person").alias("_o"))
     by_name = names.groupBy("name").agg(F.min("person").alias("_n"))
-    found = authors.join(by_orcid, "orcid", "left").join(by_name, "name", "left")
+    who = authors.withColumn("_orcid", spread("orcid", F.struct("record_key", "name"))).withColumn("_name", spread("name", F.struct("record_key", "orcid")))
+    found = who.join(by_orcid.withColumnRenamed("orcid", "_orcid"), "_orcid", "left").join(by_name.withColumnRenamed("name", "_name"), "_name", "left")
     return found.select("record_key", F.coalesce("_o", "_n").alias("person")).filter("person IS NOT NULL").distinct()
 
 
@@ -58,7 +63,8 @@ def unkeyed_persons(roles: DataFrame, contributors: DataFrame, links: DataFrame,
     """contributor_id, person, entries: contributors without a person, and the persons that records name with exactly their name, with how many entries say so."""
     unkeyed = contributors.filter(F.coalesce("dblp_key", F.lit("")) == "").select(F.col("id").alias("contributor_id"), "name")
     rows = roles.select("entry_key", "contributor_id").distinct().join(unkeyed, "contributor_id").join(links, "entry_key")
-    told = authors.join(orcids.groupBy("orcid").agg(F.min("person").alias("_o")), "orcid", "left").join(names.groupBy("name").agg(F.min("person").alias("_n")), "name", "left")
+    told = authors.filter("name <> ''").withColumn("_orcid", spread("orcid", F.struct("record_key", "name")))
+    told = told.join(orcids.groupBy(F.col("orcid").alias("_orcid")).agg(F.min("person").alias("_o")), "_orcid", "left").join(names.groupBy("name").agg(F.min("person").alias("_n")), "name", "left")
     told = told.select("record_key", "name", F.coalesce("_o", "_n").alias("person")).filter("person IS NOT NULL")
     return rows.join(told, ["record_key", "name"]).groupBy("contributor_id", "person").agg(F.count_distinct("entry_key").alias("entries"))
 
@@ -117,16 +123,17 @@ def absorbed_names(contributors: DataFrame, people: DataFrame, known: DataFrame)
 def absorbed_orcids(contributors: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What persons (person, name, orcid) tell about contributors (id, name, dblp_key, orcid): new ORCIDs (id, orcid), and conflicts (id, orcid, other) to merge or ask about.
 
-    A person is found by the contributor's key, else by its ORCID, by its name, or by its name in
-    the other order.  An ORCID that another contributor has makes the two a conflict.
+    A person is found by the contributor's key, else by its name, or by its name in
+    the other order; what its own ORCID says needs no look-up.  An ORCID that another contributor has makes the two a conflict.
     """
     person = persons.filter(F.coalesce("orcid", F.lit("")) != "").select("person", F.trim("name").alias("_name"), F.col("orcid").alias("_orcid"))
     one = lambda rows, at: rows.select("id", "orcid", F.lit(at).alias("at"), F.col("_orcid").alias("found"))
     who = contributors.select("id", F.trim("name").alias("_mine"), F.coalesce("dblp_key", F.lit("")).alias("person"), F.coalesce("orcid", F.lit("")).alias("orcid"))
     alone = person.groupBy("_name").agg(F.when(F.min("_orcid") == F.max("_orcid"), F.min("_orcid")).alias("_orcid")).filter("_orcid IS NOT NULL")
-    by_key = one(who.join(person.drop("_name"), "person"), 1)
-    by_name = one(who.join(alone, F.col("_mine") == F.col("_name")), 2)
-    by_swap = one(who.join(alone, first_last(F.col("_mine")) == F.col("_name")), 3)
+    by_key = one(who.filter("person <> ''").join(person.drop("_name"), "person"), 1)
+    named = who.filter("_mine <> ''")
+    by_name = one(named.join(alone, F.col("_mine") == F.col("_name")), 2)
+    by_swap = one(named.join(alone, first_last(F.col("_mine")) == F.col("_name")), 3)
     best = by_key.unionByName(by_name).unionByName(by_swap).groupBy("id", "orcid").agg(F.min_by("found", F.struct("at", "found")).alias("found"))
     fresh = best.filter("orcid = ''")
     owner = who.filter("orcid <> ''").groupBy(F.col("orcid").alias("found")).agg(F.min("id").alias("other"))
@@ -173,8 +180,8 @@ def record_fields(records: DataFrame, parents: DataFrame) -> DataFrame:
     With a parent among parents (record_key, entry_key) the crossref is the parent's
     entry, and inherited fields go.  A withdrawn record offers its date and the author that stands for that.
     """
-    known = parents.select(F.col("record_key").alias("crossref"), F.col("entry_key").alias("_parent"))
-    rows = records.join(known, "crossref", "left")
+    known = parents.select(F.col("record_key").alias("_key"), F.col("entry_key").alias("_parent"))
+    rows = records.withColumn("_key", spread("crossref", "entry_key")).join(known, "_key", "left")
     own = F.when(F.col("_parent").isNotNull(), F.map_filter("fields", lambda k, _: ~k.isin(INHERITED))).otherwise(F.col("fields"))
     gone = F.coalesce("withdrawn", F.lit("")) != ""
     more = F.array(
@@ -188,24 +195,37 @@ def record_fields(records: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.select("entry_key", F.explode(pairs).alias("x")).select("entry_key", F.col("x.key").alias("field"), F.col("x.value").alias("value"))
 
 
-#: Inline markup of the dump in TeX; fixed values.
-MARKUP = [("<i>", "\\emph{"), ("<sub>", "$_{"), ("<sup>", "$^{"), ("<tt>", "\\texttt{"), ("</i>", "}"), ("</sub>", "}$"), ("</sup>", "}$"), ("</tt>", "}")]
-
-
-def to_latex(x: Column) -> Column:
-    """A value of the dump as TeX: inline markup, and a bare & with its backslash."""
-    out = F.coalesce(x, F.lit(""))
-    for old, new in MARKUP:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.regexp_replace(out, r"(?<!\\)&", r"\\&")
+def to_latex(x: Column, maps: Maps | None = None) -> Column:
+    """A value of the dump as TeX: entities, characters beyond ASCII, inline tags, and a bare & with its backslash; see functions.maps."""
+    return dblp_to_latex(x, maps)
 
 
 def compare_encoding(x: Column) -> Column:
-    """TeX in one encoding: short accents, plain hyphens, and &, _, #, % as commands."""
+    """TeX in one encoding: short accents, one-letter commands without outer braces, plain hyphens, and &, _, #, % as commands."""
     out = F.regexp_replace(F.coalesce(x, F.lit("")), r"\{(\\['`^\"~=.])\{([A-Za-z])\}\}", "{$1$2}")
+    out = F.regexp_replace(out, r"\{(\\[A-Za-z]+)\{([A-Za-z])\}\}", "$1{$2}")
     out = F.replace(out, F.lit("{-}"), F.lit("-"))
     out = F.regexp_replace(out, r"\{\\c ([A-Za-z])\}", r"{\\c{$1}}")
     out = F.regexp_replace(out, r"(?<!\\)&", r"\\&")
     out = F.regexp_replace(F.regexp_replace(out, r"\{\\_\}|\\_", "_"), r"_(?!\{)", r"{\\_}")
     out = F.regexp_replace(F.regexp_replace(out, r"\{\\#\}|\\#", "#"), "#", r"{\\#}")
     return F.regexp_replace(F.regexp_replace(out, r"\{\\%\}|\\%", "%"), "%", r"{\\%}")
+
+
+#: What titles of two sources write differently, in the order in which it's made one; fixed values.
+TITLE_FORMS = [
+    ("\\^{}", "^"), ("\\^", "^"), ("~", " "), ("\\textcopyright", "\\copyright"), ("\\textgreater", ">"), ("\\textless", "<"), ("\\texteuro", "\\euro"), ("\\texttildelow", "{\\~{}}"), ("\\textasciitilde", "{\\~{}}"),
+    ("\\textasciiacute", "\\'{}"), ("\\texttimes", "\\(\\times\\)"), ("\\textdollar", "\\$"), ("\\textdegree", "{^\\circ}"), ("\\textsection", "\\S"), ("\\textsterling", "\\pounds"), ("\\texttheta", "\\theta"), ("\\textquestiondown", "?"),
+    ("\\not =", "\\neq"), ("\\not=", "\\neq"), ("\\varepsilon", "\\epsilon"), ("\\,", ""), ("\\:", ""),
+]
+
+
+def compare_title(x: Column) -> Column:
+    """A title in the form in which two sources are compared: carets, spaces, names of signs, and no thin spaces."""
+    return reduce(lambda v, p: F.replace(v, F.lit(p[0]), F.lit(p[1])), TITLE_FORMS, F.coalesce(x, F.lit("")))
+
+
+def compare_fallback(x: Column) -> Column:
+    """What is tried on both sides when titles still differ: parentheses and punctuation go into braces, and a lone I is in braces."""
+    out = reduce(lambda v, p: F.replace(v, F.lit(p[0]), F.lit(p[1])), [("({", "{("), ("})", ")}"), (" I ", " {I} "), ("}.{", ".")], F.coalesce(x, F.lit("")))
+    return F.regexp_replace(out, r"\}([:.;,]+)", "$1}")

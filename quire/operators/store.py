@@ -13,6 +13,12 @@ def cut(df: DataFrame) -> DataFrame:
     return materialize(df, "cut")
 
 
+def spread(key: Column | str, row: Column | str) -> Column:
+    """A join key under which empty and null keys have no partner: each gets a value of its own from row, so that they go to all tasks and not to one."""
+    key, row = (F.col(x) if isinstance(x, str) else x for x in (key, row))
+    return F.when(F.coalesce(key, F.lit("")) == "", F.concat(F.lit("\0"), F.xxhash64(row).cast("string"))).otherwise(key)
+
+
 def upsert(old: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """Changed rows replace old ones of the same key; changes have one row for each key."""
     return old.join(changes, key, "left_anti").select(*changes.columns).unionByName(changes)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quire.functions.normalise import doi as normal_doi
 from quire.functions.normalise import et_al, first_last, isbn_index, split_names_braced, title_hash
 from quire.operators.curation import garbled
+from quire.operators.graph import flatten
 from quire.operators.relational import is_isbn, live_keys
+from quire.operators.store import cut, spread
 
 
 def _value(x: Column) -> Column:
@@ -189,7 +191,7 @@ def isbn_from_doi(children: DataFrame, parents: DataFrame) -> tuple[DataFrame, D
     alone, has = _value(F.col("crossref")) == "", _value(F.col("isbn")) != ""
     up = children.filter(valid & ~alone).groupBy("crossref").agg(F.min(offered).alias("_up"))
     old = parents.select(F.col("entry_key").alias("crossref"), _value(F.col("isbn")).alias("_present"))
-    rows = children.join(up.join(old, "crossref"), "crossref", "left")
+    rows = children.withColumn("_key", spread("crossref", "entry_key")).join(up.join(old, "crossref").withColumnRenamed("crossref", "_key"), "_key", "left")
     moved = valid & ~alone & (F.col("_present") == "") & (offered == F.col("_up"))
     wrong = rows.filter(valid & ~alone & (F.col("_present") != "") & (isbn_index(F.col("_present")) != isbn_index(offered)))
     below = rows.withColumn("isbn", F.when(valid & alone, offered).otherwise(F.col("isbn"))).withColumn("doi", F.when(moved, "").otherwise(F.col("doi")))
@@ -273,8 +275,6 @@ def newer_first(rows: DataFrame, key: str, version: str) -> DataFrame:
 
 def drain(start: DataFrame, process, key: str) -> DataFrame:
     """Processes rows and then the rows that this added, until none is new: each key once.  process gives a round's new rows, of the same columns."""
-    from quire.operators.store import cut
-
     done = cut(start)
     front = done
     while not front.isEmpty():
@@ -284,23 +284,29 @@ def drain(start: DataFrame, process, key: str) -> DataFrame:
     return done
 
 
-def cycle_paths(edges: DataFrame, source: str, target: str, longest: int = 64) -> DataFrame:
-    """node, path of the cycles of single targets: a row for each cycle, from its smallest node on, as text; cycles longer than asked for aren't spelt out."""
-    from quire.operators.graph import flatten
-    from quire.operators.store import cut
+def cycle_paths(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """node, path of the cycles of single targets: a row for each cycle of any length, from its smallest node on, as text.
 
+    Of several targets of a node the smallest counts.  List ranking by pointer doubling,
+    in as many rounds as the logarithm of the nodes that don't end: doubled as often, what
+    they lead to are the nodes of cycles, each of which has met the smallest of its own; then the
+    cycles are cut there, and doubling again counts each node's steps to the end.
+    """
     step = edges.filter(F.col(source) != F.col(target)).groupBy(F.col(source).alias("at")).agg(F.min(target).alias("to"))
     step = cut(step.join(flatten(edges, source, target).select(F.col(source).alias("at")), "at", "left_anti"))
-    walk = cut(step.select(F.col("at").alias("node"), F.col("to").alias("now"), F.array("at").alias("path")))
-    found = None
-    for _ in range(longest):
-        closed = cut(walk.filter("now = node").select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path")))
-        found = closed if found is None else cut(found.unionByName(closed))
-        # a walk goes on only from nodes that are smaller than all that follow, so each cycle is found once
-        walk = cut(walk.filter("now > node").join(step.withColumnRenamed("at", "now"), "now").select("node", F.col("to").alias("_to"), F.concat("path", F.array("now")).alias("path")).withColumnRenamed("_to", "now"))
-        if walk.isEmpty():
-            break
-    return found.unionByName(edges.filter(F.col(source) == F.col(target)).select(F.col(source).alias("node"), F.col(source).cast("string").alias("path")))
+    rounds = step.count().bit_length()
+    now = step.withColumn("low", F.col("at"))  # low: the smallest of the nodes passed
+    for _ in range(rounds):
+        now = cut(now.join(now.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low")), "to").select("at", F.col("_to").alias("to"), F.least("low", "_low").alias("low")))
+    ring = step.join(now.select(F.col("to").alias("at")).distinct(), "at", "left_semi").join(now.select("at", "low"), "at")
+    last = F.col("to") == F.col("low")
+    rank = cut(ring.select("at", "low", F.when(~last, F.col("to")).alias("next"), F.when(last, 0).otherwise(1).cast("long").alias("left")))
+    for _ in range(rounds):
+        further = rank.select(F.col("at").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left"))
+        rank = cut(rank.join(further, "next", "left").select("at", "low", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")))
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("p"), "at"))), lambda x: x["at"].cast("string"))
+    found = rank.groupBy(F.col("low").alias("node")).agg(F.array_join(nodes, " ").alias("path"))
+    return found.unionByName(edges.filter(F.col(source) == F.col(target)).select(F.col(source).alias("node"), F.col(source).cast("string").alias("path")).distinct())
 
 
 def author_breakdown(pairs: DataFrame, known: DataFrame) -> DataFrame:

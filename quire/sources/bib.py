@@ -2,8 +2,9 @@
 
 A file is split into entries with one pass over its characters, in a Python scalar
 table function over whole files, because braces and quotes nest; everything after is
-DataFrame work.  Errors don't stop a file: the text up to the next line that begins
-with @ is skipped and reported as a row of field '_error'.
+DataFrame work.  Errors don't stop a file: they're rows of field '_error', and reading goes
+on from the next entry after the place where the error was met, so nothing that was read as part of
+a broken entry is read again.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ _NAME = re.compile(r"[^\s{}(),=#\"%]+")
 MACROS = dict(zip("jan feb mar apr may jun jul aug sep oct nov dec".split(), "January February March April May June July August September October November December".split(), strict=True))
 
 
+_BEGIN = re.compile(r"@\s*[A-Za-z]+\s*[{(]")
+
+
 class BibError(ValueError):
     pass
 
@@ -97,9 +101,12 @@ class _Reader:
                 yield name, self.value()
 
     def rows(self) -> Iterator[tuple[str, str, str, str, int]]:
-        pos = 0
+        pos, failed = 0, False
         while True:
             start = self.text.find("@", self.at)
+            if failed:  # an address in what's left of a broken entry isn't an entry
+                m = _BEGIN.search(self.text, self.at)
+                start, failed = m.start() if m else -1, False
             if start < 0:
                 return
             self.at = start + 1
@@ -127,7 +134,7 @@ class _Reader:
                 pos += 1
             except BibError as e:
                 yield "", "", "_error", str(e), pos
-                self.at = start + 1  # the next @, wherever it stands
+                failed = True
 
 
 def parse(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -1,13 +1,13 @@
 """Bibliographic dumps in XML, manifests and nested records.
 
-A compressed dump can't be split, so one task reads it, as a stream of which it holds
-one block and the record that isn't whole yet; what it yields is repartitioned.  Bodies
-are skipped where only keys are wanted.
+A dump is read by many tasks, compressed or not: ranges() finds places where reading can
+start (see restart), and a task yields the records that begin in its range, reading on
+until the last of them is whole.  It holds one block and the record that isn't whole yet.
+Bodies are skipped where only keys are wanted.
 """
 
 from __future__ import annotations
 
-import gzip
 import html
 import io
 import itertools
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.normalise import title_hash
+from quire.scratch import materialize
+from quire.sources import restart
 
 #: Elements that are records; fixed values of the format.
 RECORDS = ["article", "inproceedings", "proceedings", "book", "incollection", "inbook", "phdthesis", "mastersthesis", "www", "data", "misc"]
@@ -49,37 +51,46 @@ def records(text: str, keys_only: bool = False) -> Iterator[tuple]:
         at = end
 
 
-_END = re.compile(rf"</(?:{'|'.join(RECORDS)})>|<(?:{'|'.join(RECORDS)})\b[^>]*/>")
-
-
-def stream(source, keys_only: bool = False, block: int = 1 << 20) -> Iterator[tuple]:
-    """Rows of a binary stream of XML in ISO-8859-1, compressed or not."""
+def owned(blocks: Iterator[bytes], start: int = 0, stop: float = float("inf"), keys_only: bool = False) -> Iterator[tuple]:
+    """Rows of the records that begin before stop, in XML in ISO-8859-1 that comes in blocks, the first at the offset start."""
+    held, at, ended = "", start, False
+    while not ended:
+        raw = next(blocks, None)
+        ended = raw is None
+        held += (raw or b"").decode("iso-8859-1")
+        done = 0
+        while m := _OPEN.search(held, done):
+            if at + m.start() >= stop:
+                return
+            end, close = m.end(), f"</{m.group(1)}>"
+            if not m.group(2).endswith("/"):
+                found = held.find(close, m.end())
+                if found < 0 and not ended:
+                    break
+                end = len(held) if found < 0 else found + len(close)
+            yield from records(held[m.start() : end], keys_only)
+            done = end
+        # what may be part of a tag or of a record stays
+        done = m.start() if m else max(done, held.rfind("<") if held.rfind(">") < held.rfind("<") else len(held))
+        at, held = at + done, held[done:]
+        if at >= stop and not m:
+            return
+
+
+def _from(source, block: int = restart.BLOCK) -> Iterator[bytes]:
+    """The blocks of a seekable binary stream, compressed or not, from its start."""
+    source.seek(0)
     head = source.read(2)
-    whole = _Rest(head, source)
-    source, held = gzip.GzipFile(fileobj=whole) if head == b"\x1f\x8b" else whole, ""
-    while raw := source.read(block):
-        held += raw.decode("iso-8859-1")
-        ends = [m.end() for m in _END.finditer(held)]
-        if ends:
-            yield from records(held[: ends[-1]], keys_only)
-            held = held[ends[-1] :]
-    yield from records(held, keys_only)
-
-
-class _Rest(io.RawIOBase):
-    """A stream whose first bytes were read already."""
+    if head == b"\x1f\x8b":
+        yield from restart.read(source, restart.Point(0, -1, 0, b""))
+    else:
+        yield head
+        yield from iter(lambda: source.read(block), b"")
 
-    def __init__(self, head: bytes, source):
-        self.head, self.source = head, source
 
-    def readable(self) -> bool:
-        return True
-
-    def read(self, n: int = -1) -> bytes:
-        if self.head:
-            out, self.head = (self.head, b"") if n < 0 else (self.head[:n], self.head[n:])
-            return out + (self.source.read() if n < 0 else b"")
-        return self.source.read() if n < 0 else self.source.read(n)
+def stream(source, keys_only: bool = False, block: int = restart.BLOCK) -> Iterator[tuple]:
+    """Rows of a seekable binary stream of XML in ISO-8859-1, compressed or not."""
+    yield from owned(_from(source, block), keys_only=keys_only)
 
 
 def _batches(rows: Iterator[tuple], size: int = 5000) -> Iterator[pa.RecordBatch]:
@@ -99,18 +110,57 @@ def parse(contents: DataFrame, keys_only: bool = False) -> DataFrame:
     return contents.select("content").mapInArrow(run, SCHEMA)
 
 
-def read(spark: SparkSession, path: str, keys_only: bool = False, parts: int | None = None) -> DataFrame:
-    """All files of path, each streamed by one task, of any size; rows are dealt to parts partitions by record."""
+RANGES = "path string, at long, bit int, start long, stop long, window binary, following long"
+
+
+def _opened(name: str):
+    store, at = fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "file:///", name))
+    return store.open_input_file(at)
+
+
+def ranges(spark: SparkSession, path: str, every: int = 16 << 20) -> DataFrame:
+    """Places in the files of path where reading can start, about every so many bytes: RANGES, bit null where a file isn't compressed.
+
+    One task goes through each file; start and stop are offsets in what it puts out,
+    stop null at its end.  An empty file has no range.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "file:///", name))
-                with store.open_input_stream(at, compression=None) as source:
-                    yield from _batches(stream(source, keys_only))
+                with _opened(name) as source:
+                    size, head = source.size(), source.read(2)
+                    if head == b"\x1f\x8b":
+                        found = restart.points(source, every)
+                    else:
+                        found = (restart.Point(x, None, x, b"") for x in range(0, size, every))
+                    rows = [(name, p.at, p.bit, p.out, q and q.out, p.window, p.following) for p, q in itertools.pairwise([*found, None])]
+                kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in RANGES.split(", ")])
 
     files = spark.read.format("binaryFile").load(path).select("path")  # names alone: contents aren't loaded
-    return files.mapInArrow(run, SCHEMA).repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "record_key")
+    return files.mapInArrow(run, RANGES)
+
+
+def read(spark: SparkSession, path: str, keys_only: bool = False, every: int = 16 << 20) -> DataFrame:
+    """Rows of all files of path, compressed or not and of any size, each range of about every bytes by a task of its own.
+
+    The ranges are a table in the shared folder, so a lost task reads its own again and no other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at, bit, start, stop, window, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(name) as source:
+                    if bit is None:
+                        source.seek(at)
+                        blocks = iter(lambda s=source: s.read(restart.BLOCK), b"")
+                    else:
+                        blocks = restart.read(source, restart.Point(at, bit, start, window, following))
+                    yield from _batches(owned(blocks, start, float("inf") if stop is None else stop, keys_only))
+
+    found = materialize(ranges(spark, path, every), "ranges")
+    return found.repartitionByRange(max(1, found.count()), "path", "start").mapInArrow(run, SCHEMA)
 
 
 def manifest(rows: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quire import catalogue, catalogue_ext  # noqa: F401  adds its queries
+from quire import catalogue, catalogue_ext, catalogue_flows, catalogue_more  # noqa: F401  add their queries
 from quire.functions import render
-from quire.operators import checks, contributors
+from quire.operators import entry_checks, checks, contributors
 from quire.sources import bib, dblp
 from quire.streaming import changes
 
@@ -63,12 +63,12 @@ def record(spark, **fields):
 
 
 def test_repairs(spark):
-    fix = lambda **f: checks.repairs(record(spark, **f)).first()
+    fix = lambda **f: entry_checks.check_entries(record(spark, **f))[0].first()
     assert fix(url="https://doi.org/10.1/a")["doi"] == "10.1/a" and fix(url="https://doi.org/10.1/a")["url"] == ""
     r = fix(url="https://arxiv.org/abs/2001.01234", urldate="2020-01-01")
-    assert (r["eprint"], r["eprinttype"], r["doi"]) == ("2001.01234", "arxiv", "10.48550/arXiv.2001.01234")
+    assert (r["eprint"], r["eprinttype"], r["doi"]) == ("2001.01234", "arXiv", "10.48550/arXiv.2001.01234")
     assert fix(eprint="x")["eprint"] == "" and fix(isbn="1234-567X")["issn"] == "1234-567X"
-    r = fix(note="See \\url{http://a.b/c}, accessed on 13.4.2026")
+    r = fix(note="See \\url{http://a.b/c}, Accessed: 13.4.2026")
     assert (r["url"], r["urldate"], r["note"]) == ("http://a.b/c", "2026-04-13", "See")
     assert fix(entrytype="book", title="T")["booktitle"] == "T"
 

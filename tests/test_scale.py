@@ -39,3 +39,11 @@ def test_same_names_in_blocks(spark, small_blocks):
     assert sorted((r["id_a"], r["id_b"]) for r in found.collect()) == [p for p in itertools.combinations(range(24), 2) if p not in apart]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_different_publications_come_from_cells(spark):
+    """The pairs of flt18 are dealt over cells: its join has them among its keys."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["flt18_different_publications"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_i" in plan and "_j" in plan

@@ -234,7 +234,7 @@ def dml34_bulk_delete(spark, sf):
 @query("""SELECT o_orderkey AS entry_key, 'claim' AS rule, CAST(o_custkey AS VARCHAR) AS parent FROM orders WHERE o_orderkey % 3 = 0 UNION ALL
     SELECT o.o_orderkey, 'volume', CAST(m.k AS VARCHAR) FROM orders o JOIN (SELECT c_nationkey, arg_min(c_custkey, (CAST(abs(c_acctbal) AS INT), CAST(c_custkey AS VARCHAR))) AS k FROM customer GROUP BY c_nationkey) m ON m.c_nationkey = o.o_custkey % 25 WHERE o.o_orderkey % 3 <> 0""")
 def res13_parent_candidates(spark, sf):
-    parents = ad.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("parent"), F.col("c_nationkey").cast("string").alias("venue"), F.lit("1").alias("year"), F.round(F.abs("c_acctbal")).cast("int").cast("string").alias("volume"), F.lit("").alias("title"))
+    parents = ad.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("parent"), F.col("c_nationkey").cast("string").alias("venue"), F.lit("1").alias("year"), F.rint(F.abs("c_acctbal")).cast("int").cast("string").alias("volume"), F.lit("").alias("title"))
     children = ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("entry_key"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey").cast("string")).otherwise("").alias("crossref"), (F.col("o_custkey") % 25).cast("string").alias("venue"), F.lit("1").alias("year"))
     return curation.parent_candidates(children, parents)
 

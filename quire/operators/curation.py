@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.normalise import first_last, keywords, split_names_braced, title_index
-from quire.operators.relational import lowest_if_all, set_relation
+from quire.operators.relational import lowest_of, lowest_parts, set_relation
 
 #: Suffixes of names; fixed values.
 SUFFIXES = ["jr", "jr.", "sr", "sr.", "ii", "iii", "iv"]
@@ -89,8 +89,10 @@ def parent_candidates(children: DataFrame, parents: DataFrame) -> DataFrame:
     )
     own = children.join(parents.select(F.col("parent").alias("crossref")), "crossref", "left_semi").select("entry_key", F.lit("claim").alias("rule"), F.col("crossref").alias("parent"))
     rest = children.join(own.select("entry_key"), "entry_key", "left_anti").select("entry_key", "venue", "year")
-    same = rest.join(numbers, ["venue", "year"])
-    best = lowest_if_all(same, "entry_key", [("volume", F.col("_volume")), ("title", F.col("_named")), ("suffix", F.col("_suffix"))], "parent")
+    # parents of one venue and year are summed up before they meet its children
+    rules = [("volume", F.col("_volume")), ("title", F.col("_named")), ("suffix", F.col("_suffix"))]
+    same = rest.join(lowest_parts(numbers, ["venue", "year"], rules, "parent"), ["venue", "year"])
+    best = lowest_of(same, "entry_key", rules, "parent")
     return own.unionByName(best.select("entry_key", F.when(F.col("rule") == "", "ask").otherwise(F.col("rule")).alias("rule"), F.coalesce("parent", F.lit("")).alias("parent")))
 
 

@@ -298,9 +298,19 @@ def positions(rows: DataFrame, key: str, names: Column) -> DataFrame:
 
 def lowest_if_all(rows: DataFrame, group: str, rules: list[tuple[str, Column]], key: str) -> DataFrame:
     """group, rule, key: the lowest by the first rule that every candidate of the group has a number for, '' and null if none."""
-    cols = [F.min_by(F.struct(F.col(key).alias("k")), F.struct(value, F.col(key))).alias(f"_k{i}") for i, (_, value) in enumerate(rules)]
+    return lowest_of(lowest_parts(rows, [group], rules, key), group, rules, key)
+
+
+def lowest_parts(rows: DataFrame, part: list[str], rules: list[tuple[str, Column]], key: str) -> DataFrame:
+    """What lowest_of() needs of the candidates of a part of a group: one row for each part."""
+    lowest = [F.min(F.struct(value.alias("value"), F.col(key).alias("k"))).alias(f"_k{i}") for i, (_, value) in enumerate(rules)]
     every = [F.every(value.isNotNull()).alias(f"_a{i}") for i, (_, value) in enumerate(rules)]
-    best = rows.groupBy(group).agg(*cols, *every)
+    return rows.groupBy(*part).agg(*lowest, *every)
+
+
+def lowest_of(parts: DataFrame, group: str, rules: list[tuple[str, Column]], key: str) -> DataFrame:
+    """lowest_if_all() of groups that consist of parts."""
+    best = parts.groupBy(group).agg(*[F.min(f"_k{i}").alias(f"_k{i}") for i in range(len(rules))], *[F.every(f"_a{i}").alias(f"_a{i}") for i in range(len(rules))])
     name, found = F.lit(""), F.lit(None)
     for i in reversed(range(len(rules))):
         name = F.when(F.col(f"_a{i}"), rules[i][0]).otherwise(name)

@@ -3,7 +3,9 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
+from quire.operators import curation, enrich
 from quire.operators import relational as rel
 
 
@@ -47,3 +49,15 @@ def test_different_publications_come_from_cells(spark):
 
     plan = __spark_entry__.queries()["flt18_different_publications"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "_i" in plan and "_j" in plan
+
+
+def test_parents_are_summed_up_before_they_meet_children(spark):
+    """As many rows reach the children's join as there are venues and years; a child that occurs under two venues has the candidates of both."""
+    parents = spark.createDataFrame([(f"p{i}", "v", "1", str(90 - i), "") for i in range(40)] + [("q", "w", "1", "7", ""), ("r", "u", "1", "", "")], "parent string, venue string, year string, volume string, title string")
+    children = spark.createDataFrame([(i, "", "v", "1") for i in range(9)] + [(20, "", "v", "1"), (20, "", "w", "1"), (30, "", "v", "1"), (30, "", "u", "1"), (40, "p5", "v", "1")], "entry_key long, crossref string, venue string, year string")
+    found = curation.parent_candidates(children, parents)
+    want = {(i, "volume", "p39") for i in range(9)} | {(20, "volume", "q"), (30, "ask", ""), (40, "claim", "p5")}
+    assert {tuple(r) for r in found.collect()} == want
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    join = text.index("Join Inner, ((venue")
+    assert "Aggregate [venue" in text[join:]

@@ -108,8 +108,15 @@ def candidates(entries: DataFrame, links: DataFrame, different: DataFrame) -> Da
 
 
 def candidate_count(entries: DataFrame, links: DataFrame, different: DataFrame) -> DataFrame:
-    """One row, n: entries with a candidate."""
-    return candidates(entries, links, different).agg(F.count_distinct("entry_key").alias("n"))
+    """One row, n: entries with a candidate, of candidates(), whose pairs aren't made: an entry has one if its title has more records than are recorded as different from it."""
+    keyed = entries.filter("field = 'dblp' AND value <> ''").select("entry_key")
+    titles = entries.filter("field = 'title' AND entry_key IS NOT NULL").join(keyed, "entry_key", "left_anti").select("entry_key", title_hash(F.col("value")).alias("hash")).filter("hash <> ''").distinct()
+    # records without a key are candidates that nothing is known about
+    records = links.select("hash", dblp_key(F.col("record_key")).alias("record")).distinct()
+    every = records.groupBy("hash").agg(F.count("*").alias("records"))
+    known = different.select("entry_key", "record").distinct().join(titles, "entry_key").join(records, ["hash", "record"]).groupBy("entry_key", "hash").agg(F.count("*").alias("known"))
+    left = titles.join(every, "hash").join(known, ["entry_key", "hash"], "left").filter("records > coalesce(known, 0)")
+    return left.agg(F.count_distinct("entry_key").alias("n"))
 
 
 def absorbed_names(contributors: DataFrame, people: DataFrame, known: DataFrame) -> DataFrame:

@@ -61,3 +61,16 @@ def test_parents_are_summed_up_before_they_meet_children(spark):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     join = text.index("Join Inner, ((venue")
     assert "Aggregate [venue" in text[join:]
+
+
+def test_candidate_count_makes_no_pairs(spark):
+    """Equal to counting the pairs of candidates(), without a join of titles and records."""
+    titles = [(f"e{i}", "title", "Some title" if i < 12 else "Another") for i in range(14)] + [("e0", "dblp", "x"), ("e20", "title", "Alone"), ("e21", "title", "")]
+    entries = spark.createDataFrame(titles, "entry_key string, field string, value string")
+    links = spark.createDataFrame([("Some title", "DBLP:r1"), ("Some title", "r1"), ("Some title", "r2"), ("Another", "r3"), ("Another", None)], "title string, record_key string").select(enrich.title_hash(F.col("title")).alias("hash"), "record_key")
+    known = [("e1", "DBLP:r1"), ("e2", "DBLP:r1"), ("e2", "DBLP:r2"), ("e2", "DBLP:r2"), ("e12", "DBLP:r3"), ("e3", "DBLP:r9")]
+    different = spark.createDataFrame(known, "entry_key string, record string")
+    want = enrich.candidates(entries, links, different).agg(F.count_distinct("entry_key")).first()[0]
+    found = enrich.candidate_count(entries, links, different)
+    assert found.first()["n"] == want == 12
+    assert "record_key" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]

@@ -491,7 +491,7 @@ def inc2_vanished(spark, sf):
     SELECT user_id, CASE WHEN a = b THEN 'equal' WHEN user_id % 2 = 0 THEN 'lower-priority' ELSE 'auto-accept' END AS rule,
     CASE WHEN a = b OR user_id % 2 = 0 THEN CAST(a AS VARCHAR) ELSE CAST(b AS VARCHAR) END AS value, false AS needs_review FROM p""")
 def res2_resolver(spark, sf):
-    per = ad.table(spark, sf, "events").groupBy("user_id").agg(F.min(F.round("value").cast("int")).alias("a"), F.max(F.round("value").cast("int")).alias("b"))
+    per = ad.table(spark, sf, "events").groupBy("user_id").agg(F.min(F.rint("value").cast("int")).alias("a"), F.max(F.rint("value").cast("int")).alias("b"))
     pairs = per.select(
         "user_id", F.lit("number").alias("field"), F.col("a").cast("string").alias("current"), F.col("b").cast("string").alias("challenger"),
         F.when(F.col("user_id") % 2 == 0, 100).otherwise(0).alias("current_priority"), F.lit(0).alias("challenger_priority"), F.lit(False).alias("edited"), F.lit(False).alias("required"),

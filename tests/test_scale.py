@@ -74,3 +74,12 @@ def test_candidate_count_makes_no_pairs(spark):
     found = enrich.candidate_count(entries, links, different)
     assert found.first()["n"] == want == 12
     assert "record_key" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+
+
+def test_halves_are_rounded_to_even(spark, tmp_path):
+    """As the SQL's cast of a double does."""
+    import __spark_entry__
+
+    spark.createDataFrame([(1, 2.5), (1, 3.5), (3, 0.5), (3, 0.25), (2, 1.5)], "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = __spark_entry__.queries()["res2_resolver"](spark, str(tmp_path)).collect()
+    assert sorted((r["user_id"], r["rule"], r["value"]) for r in rows) == [(1, "auto-accept", "4"), (2, "equal", "2"), (3, "equal", "0")]

@@ -111,6 +111,8 @@ def parse(contents: DataFrame, keys_only: bool = False) -> DataFrame:
 
 
 RANGES = "path string, at long, bit int, start long, stop long, window binary, following long"
+#: Ranges into which a dump is taken apart, about, as long as they aren't longer than LONGEST: each is a task, opens its file, and has a window.
+MOST, LONGEST = 256, 64 << 20
 
 
 def _opened(name: str):
@@ -122,8 +124,11 @@ def ranges(spark: SparkSession, path: str, every: int = 16 << 20) -> DataFrame:
     """Places in the files of path where reading can start, about every so many bytes: RANGES, bit null where a file isn't compressed.
 
     One task goes through each file; start and stop are offsets in what it puts out,
-    stop null at its end.  An empty file has no range.
+    stop null at its end.  An empty file has no range.  In a large dump places are
+    further apart than asked, so that their number doesn't grow with it: see MOST.
     """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # names and sizes alone: contents aren't loaded
+    every = max(every, min(LONGEST, (files.agg(F.sum("length")).first()[0] or 0) // MOST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +143,7 @@ def ranges(spark: SparkSession, path: str, every: int = 16 << 20) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in RANGES.split(", ")])
 
-    files = spark.read.format("binaryFile").load(path).select("path")  # names alone: contents aren't loaded
-    return files.mapInArrow(run, RANGES)
+    return files.select("path").mapInArrow(run, RANGES)
 
 
 def read(spark: SparkSession, path: str, keys_only: bool = False, every: int = 16 << 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import curation, enrich
 from quire.operators import relational as rel
+from quire.sources import dblp
 
 
 @pytest.fixture
@@ -83,3 +84,14 @@ def test_halves_are_rounded_to_even(spark, tmp_path):
     spark.createDataFrame([(1, 2.5), (1, 3.5), (3, 0.5), (3, 0.25), (2, 1.5)], "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     rows = __spark_entry__.queries()["res2_resolver"](spark, str(tmp_path)).collect()
     assert sorted((r["user_id"], r["rule"], r["value"]) for r in rows) == [(1, "auto-accept", "4"), (2, "equal", "2"), (3, "equal", "0")]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_a_dump_has_a_bounded_number_of_ranges(spark, tmp_path, monkeypatch, packed):
+    """Ranges don't grow with the dump, and all records are read."""
+    monkeypatch.setattr(dblp, "MOST", 4)
+    names = spark.range(20000).select(F.concat(F.lit('<article key="a/'), F.col("id"), F.lit('"><title>'), F.md5(F.col("id").cast("string")), F.lit("</title></article>")).alias("value"))
+    names.coalesce(1).write.option("compression", "gzip" if packed else "none").text(f"{tmp_path}/dump")
+    assert 2 <= dblp.ranges(spark, f"{tmp_path}/dump", every=1000).count() <= 6
+    found = dblp.read(spark, f"{tmp_path}/dump", keys_only=True, every=1000)
+    assert found.count() == found.select("record_key").distinct().count() == 20000

@@ -220,8 +220,11 @@ def nested(rows: DataFrame) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str, buckets: int = 64) -> None:
-    """Partitioned by a hash of the key, so that a point look-up reads one of so many parts."""
-    nested(rows).withColumn("bucket", F.pmod(F.xxhash64("record_key"), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").json(path)
+    """Partitioned by a hash of the key, so that a point look-up reads one of so many parts.  Where there are fewer buckets than tasks should be, several tasks write one."""
+    each = -(-4 * rows.sparkSession.sparkContext.defaultParallelism // buckets)
+    rest = F.pmod(F.xxhash64("record_key", F.lit(1)), F.lit(each)).cast("int")
+    dealt = nested(rows).withColumn("bucket", F.pmod(F.xxhash64("record_key"), F.lit(buckets)).cast("int")).repartition(buckets * each, "bucket", rest)
+    dealt.write.partitionBy("bucket").json(path)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -95,3 +95,11 @@ def test_a_dump_has_a_bounded_number_of_ranges(spark, tmp_path, monkeypatch, pac
     assert 2 <= dblp.ranges(spark, f"{tmp_path}/dump", every=1000).count() <= 6
     found = dblp.read(spark, f"{tmp_path}/dump", keys_only=True, every=1000)
     assert found.count() == found.select("record_key").distinct().count() == 20000
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    names = spark.range(400).select(F.concat(F.lit("a/"), F.col("id")).alias("record_key"), *[F.lit(x).alias(x) for x in ("entrytype", "mdate", "publtype", "field", "value", "orcid")], F.lit(0).alias("pos"))
+    dblp.write_json(names, f"{tmp_path}/json", buckets=2)
+    assert dblp.read_json(spark, f"{tmp_path}/json").count() == 400
+    assert all(len(list(tmp_path.glob(f"json/bucket={b}/*.json"))) > 1 for b in range(2))
+    assert [r["record_key"] for r in dblp.look_up(spark, f"{tmp_path}/json", ["a/7"], buckets=2).collect()] == ["a/7"]

@@ -249,9 +249,9 @@ def title_links(rows: DataFrame) -> DataFrame:
 
 
 def write_title_links(links: DataFrame, path: str) -> None:
-    """Lines hash;record_key, in folders by the first two digits of the hash."""
+    """Lines hash;record_key, in folders by the first two digits of the hash.  A folder of many lines is written by several tasks, each a range of them."""
     lines = links.select(F.substring("hash", 1, 2).alias("part"), F.concat_ws(";", "hash", "record_key").alias("value"))
-    lines.repartition("part").sortWithinPartitions("part", "value").write.partitionBy("part").text(path)
+    lines.repartitionByRange("part", "value").sortWithinPartitions("part", "value").write.partitionBy("part").text(path)
 
 
 def read_title_links(spark: SparkSession, path: str, hashes: list[str] | None = None) -> DataFrame:

@@ -103,3 +103,15 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     assert dblp.read_json(spark, f"{tmp_path}/json").count() == 400
     assert all(len(list(tmp_path.glob(f"json/bucket={b}/*.json"))) > 1 for b in range(2))
     assert [r["record_key"] for r in dblp.look_up(spark, f"{tmp_path}/json", ["a/7"], buckets=2).collect()] == ["a/7"]
+
+
+def test_a_frequent_title_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.range(2000).select(F.md5(F.lit("one title")).alias("hash"), F.concat(F.lit("a/"), F.col("id")).alias("record_key"))
+        dblp.write_title_links(links, f"{tmp_path}/links")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(tmp_path.glob("links/*/*.txt"))) > 1
+    assert dblp.read_title_links(spark, f"{tmp_path}/links").exceptAll(links).isEmpty()
+    assert dblp.read_title_links(spark, f"{tmp_path}/links").count() == 2000

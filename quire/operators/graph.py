@@ -12,27 +12,29 @@ def flatten(edges: DataFrame, alias: str = "alias", canonical: str = "canonical"
     """alias, canonical: every alias directly to the end of its chain.
 
     Pointer jumping: each round replaces a target by its target's target, so chains
-    of length n take log2(n) rounds.  Aliases on a cycle, or that lead to one, have no end and are dropped.
-    An alias with several targets keeps the smallest.
+    of length n take log2(n) rounds.  Aliases on a cycle, or that lead to one, have no end and are dropped: when
+    a round brings no alias to its end, none of the rest has one, for of a longer chain that ends
+    a part would have been as long as the round reaches.  An alias with several targets keeps the smallest.
+    Joins are by merging: tables of aliases grow with the input, and stay off the driver.
     """
-    now = edges.filter(F.col(alias) != F.col(canonical)).groupBy(F.col(alias).alias("a")).agg(F.min(canonical).alias("c"))
-    now = cut(now)
-    count, rounds = now.count(), 0
-    while (1 << rounds) <= count:
-        step = now.select(F.col("a").alias("c"), F.col("c").alias("next"))
-        if now.join(step, "c", "left_semi").isEmpty():
+    now = cut(edges.filter(F.col(alias) != F.col(canonical)).groupBy(F.col(alias).alias("a")).agg(F.min(canonical).alias("c")))
+    known = now.select(F.col("a").alias("c"), F.lit(False).alias("done"))
+    step = cut(now.hint("merge").join(known, "c", "left").select("a", "c", F.coalesce("done", F.lit(True)).alias("done")))
+    ended, rest = step.filter("done"), step.filter("NOT done")
+    while not rest.isEmpty():
+        to = ended.unionByName(rest).select(F.col("a").alias("c"), F.col("c").alias("next"), "done")
+        step = cut(rest.select("a", "c").hint("merge").join(to, "c").select("a", F.col("next").alias("c"), "done"))
+        new, rest = step.filter("done"), step.filter("NOT done")
+        if new.isEmpty():
             break
-        now = cut(now.join(step, "c", "left").select("a", F.coalesce("next", "c").alias("c")))
-        rounds += 1
-    # what still leads to an alias after as many doublings as there are aliases is on a cycle
-    ends = now.select(F.col("a").alias("c"))
-    return now.join(ends, "c", "left_anti").select(F.col("a").alias(alias), F.col("c").alias(canonical))
+        ended = ended.unionByName(new)
+    return ended.select(F.col("a").alias(alias), F.col("c").alias(canonical))
 
 
 def on_cycles(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Nodes from which a chain of single targets never ends: those on a cycle or leading to one."""
     ended = flatten(edges, source, target).select(source)
-    return edges.filter(F.col(source) != F.col(target)).select(source).distinct().join(ended, source, "left_anti").unionByName(edges.filter(F.col(source) == F.col(target)).select(source)).distinct()
+    return edges.filter(F.col(source) != F.col(target)).select(source).distinct().hint("merge").join(ended, source, "left_anti").unionByName(edges.filter(F.col(source) == F.col(target)).select(source)).distinct()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import curation, enrich
+from quire.operators import curation, enrich, graph
 from quire.operators import relational as rel
 from quire.sources import dblp
 
@@ -115,3 +115,15 @@ def test_a_frequent_title_is_written_by_several_tasks(spark, tmp_path, monkeypat
     assert len(list(tmp_path.glob("links/*/*.txt"))) > 1
     assert dblp.read_title_links(spark, f"{tmp_path}/links").exceptAll(links).isEmpty()
     assert dblp.read_title_links(spark, f"{tmp_path}/links").count() == 2000
+
+
+def test_rounds_end_with_the_longest_chain(spark, monkeypatch):
+    """Cycles don't go on for as many doublings as there are aliases, and what leads to them is dropped; no table is broadcast."""
+    made, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(df) or plain(df))
+    chain = [(i, i + 1) for i in range(1, 12)] + [(12, 3000), (40, 11)]
+    cycles = [(i, i + 1 if i % 2 == 0 else i - 1) for i in range(100, 1100)] + [(50, 100), (51, 50), (60, 60)]
+    found = graph.flatten(spark.createDataFrame(chain + cycles, "alias long, canonical long"))
+    assert {tuple(r) for r in found.collect()} == {(a, 3000) for a, _ in chain}
+    assert len(made) <= 7
+    assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in made)

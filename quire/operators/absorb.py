@@ -47,6 +47,7 @@ def absorb(contributors: DataFrame, aliases: DataFrame, people: DataFrame, perso
     Empty keys, ORCIDs and names count as none, and take part in no join.  A merged
     contributor goes to the one of its group that has the person's key, else to the smallest id;
     ids that occur twice are one contributor, with the smallest key and ORCID.
+    Joins are by merging: contributors and persons grow with the input, and stay off the driver.
     """
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     known = cut(contributors.groupBy(F.col("id").cast("string").alias("id")).agg(F.min(filled("dblp_key")).alias("key"), F.min(filled("orcid")).alias("orcid")))
@@ -56,10 +57,10 @@ def absorb(contributors: DataFrame, aliases: DataFrame, people: DataFrame, perso
     mine = held.select("id", F.explode(forms(F.col("name"))).alias("form")).filter("form <> ''").distinct()
     theirs = cut(person_forms(people))
     every = people.select("person").unionByName(persons.select("person")).distinct()
-    by_key = known.filter("key IS NOT NULL").select("id", F.col("key").alias("person")).join(every, "person", "left_semi")
+    by_key = known.filter("key IS NOT NULL").select("id", F.col("key").alias("person")).hint("merge").join(every, "person", "left_semi")
     owner = orcids.groupBy("orcid").agg(F.min("person").alias("person"), F.max("person").alias("last")).filter("person = last")
-    by_orcid = known.filter("orcid IS NOT NULL").select("id", "orcid").join(owner, "orcid").select("id", "person")
-    by_name = mine.join(theirs, "form").select("id", "person").distinct()
+    by_orcid = known.filter("orcid IS NOT NULL").select("id", "orcid").hint("merge").join(owner, "orcid").select("id", "person")
+    by_name = mine.hint("merge").join(theirs, "form").select("id", "person").distinct()
     level = lambda df, n: df.select("id", "person", F.lit(n).alias("level"))
     links = cut(level(by_key, BY_KEY).unionByName(level(by_orcid, BY_ORCID)).unionByName(level(by_name, BY_NAME)))
     # nodes: contributors with a c before them, persons with a p
@@ -72,21 +73,21 @@ def absorb(contributors: DataFrame, aliases: DataFrame, people: DataFrame, perso
     # a group without a person has no link, and with two it would have two keys
     person = groups.filter(F.startswith("node", F.lit("p"))).select("root", F.substring("node", 2, 1 << 30).alias("person"))
     members = groups.filter(F.startswith("node", F.lit("c"))).select("root", F.substring("node", 2, 1 << 30).alias("id"))
-    found = cut(members.join(person, "root").join(known, "id").select("id", "person", "key", "orcid"))
+    found = cut(members.hint("merge").join(person, "root").hint("merge").join(known, "id").select("id", "person", "key", "orcid"))
     best = found.groupBy("person").agg(F.min_by("id", F.struct(F.col("key").isNull(), F.col("id"))).alias("new"), F.max("key").alias("held"), F.max("orcid").alias("mine"))
-    best = cut(best.join(orcids.withColumnRenamed("orcid", "theirs"), "person", "left"))
-    merges = found.join(best.select("person", "new"), "person").filter("id <> new").select(F.col("id").alias("old"), "new")
+    best = cut(best.hint("merge").join(orcids.withColumnRenamed("orcid", "theirs"), "person", "left"))
+    merges = found.hint("merge").join(best.select("person", "new"), "person").filter("id <> new").select(F.col("id").alias("old"), "new")
     keys = best.filter("held IS NULL").select(F.col("new").alias("id"), "person")
     # of the one that stays: what a merged one or the person has, if it has none itself
     own = known.filter("orcid IS NOT NULL").select(F.col("id").alias("new"))
-    set_ = best.filter("mine IS NOT NULL OR theirs IS NOT NULL").join(own, "new", "left_anti").select(F.col("new").alias("id"), F.coalesce("mine", "theirs").alias("orcid"))
+    set_ = best.filter("mine IS NOT NULL OR theirs IS NOT NULL").hint("merge").join(own, "new", "left_anti").select(F.col("new").alias("id"), F.coalesce("mine", "theirs").alias("orcid"))
     to_merge = merges.withColumnRenamed("old", "id")
-    given = people.select("person", F.trim("name").alias("name")).join(best.select("person", F.col("new").alias("id")), "person").select("id", "name")
-    given = given.unionByName(theirs.join(best.select("person", F.col("new").alias("id")), "person").select("id", F.col("form").alias("name")))
-    given = given.unionByName(held.join(to_merge, "id").select(F.col("new").alias("id"), "name"))
-    names = given.filter("name <> ''").distinct().join(held, ["id", "name"], "left_anti")
-    elsewhere = links.join(found.select("id", F.col("person").alias("mine")), "id", "left").filter("mine IS NULL OR mine <> person")
-    elsewhere = elsewhere.join(known, "id").join(orcids.withColumnRenamed("orcid", "theirs"), "person", "left")
+    given = people.select("person", F.trim("name").alias("name")).hint("merge").join(best.select("person", F.col("new").alias("id")), "person").select("id", "name")
+    given = given.unionByName(theirs.hint("merge").join(best.select("person", F.col("new").alias("id")), "person").select("id", F.col("form").alias("name")))
+    given = given.unionByName(held.hint("merge").join(to_merge, "id").select(F.col("new").alias("id"), "name"))
+    names = given.filter("name <> ''").distinct().hint("merge").join(held, ["id", "name"], "left_anti")
+    elsewhere = links.hint("merge").join(found.select("id", F.col("person").alias("mine")), "id", "left").filter("mine IS NULL OR mine <> person")
+    elsewhere = elsewhere.hint("merge").join(known, "id").hint("merge").join(orcids.withColumnRenamed("orcid", "theirs"), "person", "left")
     held_key = F.coalesce("mine", "key")
     splits = elsewhere.filter(held_key.isNotNull()).select("id", held_key.alias("person"), F.col("person").alias("other")).filter("person <> other").distinct()
     conflicts = elsewhere.filter("orcid <> theirs").select("id", "orcid", F.col("theirs").alias("other")).distinct()

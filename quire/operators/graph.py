@@ -38,19 +38,28 @@ def on_cycles(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """node, root: the smallest node of each component, by contraction along smallest neighbours."""
+    """node, root: the smallest node of each component.
+
+    By contraction along smallest neighbours, in the order of a hash: chains of ascending nodes
+    get shorter by a share in each round, not by one node.  Joins are by merging: nodes grow with
+    the input, and stay off the driver.
+    """
     rest, every = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()), None
+    order = lambda x: F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("n"))
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("next")))
+        step = cut(both.groupBy("a").agg(F.min(order("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", order("a"))["n"].alias("next")))
         if every is None:
             every = step.withColumnRenamed("next", "root")
         else:
-            every = every.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            every = every.hint("merge").join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         every = cut(every)
         x, y = step.select(F.col("node").alias("a"), F.col("next").alias("x")), step.select(F.col("node").alias("b"), F.col("next").alias("y"))
-        rest = cut(rest.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
-    return links.select(F.col(a).alias("node"), F.col(a).alias("root")).limit(0) if every is None else every
+        rest = cut(rest.hint("merge").join(x, "a").hint("merge").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
+    if every is None:
+        return links.select(F.col(a).alias("node"), F.col(a).alias("root")).limit(0)
+    least = every.groupBy("root").agg(F.min("node").alias("least"))
+    return cut(every.hint("merge").join(least, "root").select("node", F.col("least").alias("root")))
 
 
 def reachable(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:

@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import curation, enrich, graph
+from quire.operators import absorb, curation, enrich, graph, grouping
 from quire.operators import relational as rel
 from quire.sources import dblp
 
@@ -127,3 +127,44 @@ def test_rounds_end_with_the_longest_chain(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == {(a, 3000) for a, _ in chain}
     assert len(made) <= 7
     assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+
+
+@pytest.fixture
+def made(monkeypatch):
+    """Tables that rounds write."""
+    found, plain = [], graph.cut
+    for module in (graph, grouping, absorb):
+        monkeypatch.setattr(module, "cut", lambda df: found.append(df) or plain(df))
+    return found
+
+
+def broadcasts(frames):
+    return [df for df in frames if "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_a_star_takes_one_round(spark, made):
+    """Rounds don't grow with a hub's leaves, nor with what of a level is left whole, and no table is broadcast."""
+    star = [(0, i, 1) for i in range(1, 400)] + [(i, i + 1, 2) for i in range(500, 530)] + [(399, 500, 2)]
+    labels = [(0, "key", "a"), (399, "key", "b"), (7, "key", "a")]
+    links = spark.createDataFrame(star, "a long, b long, level int"), spark.createDataFrame(labels, "node long, kind string, value string")
+    found = grouping.constrained_components(*links)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, 0) for i in range(399)] + [(i, 399) for i in (399, *range(500, 531))]
+    assert len(made) <= 75
+    assert not broadcasts([*made, found])
+
+
+def test_components_of_an_ascending_chain(spark, made):
+    """Rounds don't grow by one with each node."""
+    found = graph.components(spark.range(60).select("id", (F.col("id") + 1).alias("next")), "id", "next")
+    assert {r["root"] for r in found.collect()} == {0} and found.count() == 61
+    assert len(made) <= 40
+    assert not broadcasts(made)
+
+
+def test_absorbing_broadcasts_nothing(spark, made):
+    known = spark.createDataFrame([("1", "Bee, Ann", "p2", ""), ("2", "Bee, Ann", "", ""), ("3", "X", "", "o1"), ("4", "Y", "", "o1")], "id string, name string, dblp_key string, orcid string")
+    people = spark.createDataFrame([("p1", "Bee, Ann"), ("p2", "Cee, Carl")], "person string, name string")
+    got = absorb.absorb(known, known.select("id", "name").limit(0), people, spark.createDataFrame([("p1", "o1"), ("p2", "")], "person string, orcid string"))
+    assert sorted(map(tuple, got.merges.collect())) == [("3", "2"), ("4", "2")]
+    assert [tuple(r) for r in got.splits.collect()] == [("1", "p2", "p1")]
+    assert not broadcasts([*made, got.merges, got.keys, got.orcids, got.names, got.splits, got.conflicts])

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lines that a task sums up to roles.
+LINES = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,8 +38,14 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entry_key, role, position, contributor_id: from lineitem, one contributor for each position."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(F.min("l_suppkey").alias("contributor_id"))
+    """entry_key, role, position, contributor_id: from lineitem, one contributor for each position.
+
+    Nearly every line is a role of its own, so lines are dealt by entry before they're summed up, over
+    as many tasks as follow from their number: a task's memory doesn't grow with the
+    input, and what is done by entry after that needs no further shuffle.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_suppkey")
+    rows = lines.repartition(lines.count() // LINES + 1, "l_orderkey").groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(F.min("l_suppkey").alias("contributor_id"))
     return rows.select(F.col("l_orderkey").alias("entry_key"), F.col("l_returnflag").alias("role"), F.col("l_linenumber").cast("long").alias("position"), "contributor_id")
 
 

@@ -168,3 +168,19 @@ def test_absorbing_broadcasts_nothing(spark, made):
     assert sorted(map(tuple, got.merges.collect())) == [("3", "2"), ("4", "2")]
     assert [tuple(r) for r in got.splits.collect()] == [("1", "p2", "p1")]
     assert not broadcasts([*made, got.merges, got.keys, got.orcids, got.names, got.splits, got.conflicts])
+
+
+def test_roles_are_summed_up_in_tasks_of_bounded_lines(spark, monkeypatch):
+    """Tasks follow from the number of lines, nothing is summed up before lines are dealt, and entries need no further shuffle of them."""
+    import __spark_entry__
+    from quire import adapters
+
+    monkeypatch.setattr(adapters, "LINES", 500)
+    path = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{path}/lineitem.parquet").count() // 500 + 1
+    found = __spark_entry__.queries()["join11_without_dblp"](spark, path).hint("merge")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert n > 4 and f"{n}), REPARTITION_BY_NUM" in plan
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 2
+    lines = plan[plan.index("REPARTITION_BY_NUM") :]
+    assert "HashAggregate" not in lines

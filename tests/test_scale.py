@@ -153,6 +153,17 @@ def test_a_star_takes_one_round(spark, made):
     assert not broadcasts([*made, found])
 
 
+def test_dense_bipartite_groups_take_few_rounds(spark, made):
+    """As grf7's: many nodes, each linked to the same few of unlike labels, go to one of these in the first round."""
+    links = spark.createDataFrame([(s, -1 - g, 1) for s in range(60) for g in range(6)], "a long, b long, level int")
+    labels = spark.createDataFrame([(-1 - g, "parity", str(g % 2)) for g in range(6)], "node long, kind string, value string")
+    found = {r["node"]: r["root"] for r in grouping.constrained_components(links, labels).collect()}
+    groups = [{n for n, r in found.items() if r == root} for root in set(found.values())]
+    assert sorted(map(len, groups)) == [1, 1, 1, 63] and all(len({n % 2 for n in g if n < 0}) == 1 for g in groups)
+    assert len(made) <= 40
+    assert not broadcasts(made)
+
+
 def test_components_of_an_ascending_chain(spark, made):
     """Rounds don't grow by one with each node."""
     found = graph.components(spark.range(60).select("id", (F.col("id") + 1).alias("next")), "id", "next")

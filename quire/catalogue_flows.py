@@ -8,7 +8,7 @@ from quire import adapters as ad
 from quire.catalogue import query
 from quire.functions import maps
 from quire.library import Library
-from quire.operators import absorb, contributors, grouping, keys, sync
+from quire.operators import absorb, contributors, grouping, keys, store, sync
 from quire.operators import log as tablelog
 from quire.scratch import fresh_dir
 from quire.sources import bib, dblp, tables
@@ -186,7 +186,7 @@ def dml9_split_roles(spark, sf):
     SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS torn FROM (SELECT s FROM k UNION ALL SELECT DISTINCT -1 - g FROM l)""")
 def grf7_constrained(spark, sf):
     """Groups of suppliers and part classes in which no two classes of unlike parity meet: how many nodes, and how many groups are torn."""
-    links = _t(spark, sf, "lineitem").select(c("l_suppkey").cast("long").alias("a"), (-1 - c("l_partkey") % 40).cast("long").alias("b"), F.lit(1).alias("level")).distinct()
+    links = store.cut(_t(spark, sf, "lineitem").select(c("l_suppkey").cast("long").alias("a"), (-1 - c("l_partkey") % 40).cast("long").alias("b")).distinct().withColumn("level", F.lit(1)))
     labels = links.select(c("b").alias("node"), F.lit("parity").alias("kind"), _text(F.abs("b") % 2).alias("value")).distinct()
     found = grouping.constrained_components(links, labels)
     groups = found.join(labels, "node", "left").groupBy("root").agg(F.count_distinct("node").alias("nodes"), F.count_distinct("value").alias("values"))

@@ -44,20 +44,27 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     get shorter by a share in each round, not by one node.  Joins are by merging: nodes grow with
     the input, and stay off the driver.
     """
-    rest, every = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()), None
+    rest = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
+    return contracted(rest)
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """components() of links a, b that are read from a table, without repeated rows and links of a node with itself."""
+    rest, steps = links.select("a", "b"), []
     order = lambda x: F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("n"))
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = cut(both.groupBy("a").agg(F.min(order("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", order("a"))["n"].alias("next")))
-        if every is None:
-            every = step.withColumnRenamed("next", "root")
-        else:
-            every = every.hint("merge").join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        every = cut(every)
+        steps.append(step)
         x, y = step.select(F.col("node").alias("a"), F.col("next").alias("x")), step.select(F.col("node").alias("b"), F.col("next").alias("y"))
         rest = cut(rest.hint("merge").join(x, "a").hint("merge").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
-    if every is None:
-        return links.select(F.col(a).alias("node"), F.col(a).alias("root")).limit(0)
+    if not steps:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    # from the last step, which is the smallest, back to the first, so that all nodes are joined once
+    every = steps.pop().withColumnRenamed("next", "root")
+    while steps:
+        step = steps.pop().withColumnRenamed("next", "via")
+        every = cut(step.hint("merge").join(every.withColumnRenamed("node", "via"), "via", "left").select("node", F.coalesce("root", "via").alias("root")))
     least = every.groupBy("root").agg(F.min("node").alias("least"))
     return cut(every.hint("merge").join(least, "root").select("node", F.col("least").alias("root")))
 

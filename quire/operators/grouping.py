@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.graph import components, flatten
+from quire.operators.graph import contracted, flatten
 from quire.operators.store import cut
 
 #: Levels are strengths of evidence, which are taken one after another.
@@ -42,7 +42,7 @@ def constrained_components(links: DataFrame, labels: DataFrame | None = None, di
     """
     links = cut(links.filter("a <> b").select(*_pair("a", "b"), F.col("level").cast("int")).groupBy("a", "b").agg(F.min("level").alias("level")))
     kind = links.schema["a"].dataType
-    whole = components(links, "a", "b").select("node", "root")
+    whole = contracted(links)
     if labels is None:
         labels = links.select(F.col("a").alias("node"), F.lit("").alias("kind"), F.lit("").alias("value")).limit(0)
     if different is None:
@@ -63,7 +63,7 @@ def constrained_components(links: DataFrame, labels: DataFrame | None = None, di
     state = rows(links.hint("merge").join(held.withColumnRenamed("node", "a"), "a", "left_semi"), "link", F.col("a"), F.col("b"), no, no, F.col("level"))
     state = state.unionByName(rows(labels.hint("merge").join(torn, "root", "left_semi"), "label", F.col("node"), none, F.col("kind"), F.col("value"), zero))
     state = state.unionByName(rows(pairs, "pair", F.col("a"), F.col("b"), no, no, zero))
-    state, moves = _allowed(state), None
+    state, moves = _allowed(cut(state)), None  # without repeated rows, as its parts are
     levels = [r[0] for r in links.select("level").distinct().limit(LEVELS + 1).collect()]
     if len(levels) > LEVELS:
         raise ValueError(f"more than {LEVELS} levels")
@@ -76,7 +76,7 @@ def constrained_components(links: DataFrame, labels: DataFrame | None = None, di
             moves = joined if moves is None else moves.unionByName(joined)
             to = lambda x: joined.select(F.col("leaf").alias(x), F.col("hub").alias(f"_{x}"))  # noqa: B023, E731
             moved = state.hint("merge").join(to("a"), "a", "left").hint("merge").join(to("b"), "b", "left").select("what", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "kind", "value", "level")
-            state = _allowed(moved)
+            state = _allowed(_once(moved))
     if moves is None:
         ends = held.select("node", F.col("node").alias("group"))
     else:
@@ -85,17 +85,21 @@ def constrained_components(links: DataFrame, labels: DataFrame | None = None, di
     return whole.hint("merge").join(torn, "root", "left_anti").select("node", "root").unionByName(ends.hint("merge").join(least, "group").select("node", "root"))
 
 
-def _allowed(state: DataFrame) -> DataFrame:
-    """The state without links within a group and between groups that are different."""
+def _once(state: DataFrame) -> DataFrame:
+    """The state without links within a group and repeated rows, links and pairs from the smaller group to the larger."""
     ordered = F.when(F.col("what") == "label", F.struct("a", "b")).otherwise(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     rows = state.withColumn("p", ordered).select("what", "p.a", "p.b", "kind", "value", "level")
     links = rows.filter("what = 'link' AND a <> b").groupBy("what", "a", "b", "kind", "value").agg(F.min("level").alias("level"))
-    rest = cut(links.unionByName(rows.filter("what <> 'link'").distinct()))
-    links, labels = rest.filter("what = 'link'"), rest.filter("what = 'label'").select("a", "kind", "value")
+    return cut(links.unionByName(rows.filter("what <> 'link'").distinct()))
+
+
+def _allowed(state: DataFrame) -> DataFrame:
+    """The state, as _once() leaves it, without links between groups that are different."""
+    links, labels = state.filter("what = 'link'"), state.filter("what = 'label'").select("a", "kind", "value")
     mine, theirs = labels.toDF("a", "k", "x"), labels.toDF("b", "k", "y")
     apart = links.select("a", "b").hint("merge").join(mine, "a").hint("merge").join(theirs, ["b", "k"]).filter("x <> y").select("a", "b")
-    apart = apart.unionByName(rest.filter("what = 'pair'").select("a", "b")).distinct()
-    return cut(links.hint("merge").join(apart, ["a", "b"], "left_anti").select(*rest.columns).unionByName(rest.filter("what <> 'link'")))
+    apart = apart.unionByName(state.filter("what = 'pair'").select("a", "b")).distinct()
+    return cut(links.hint("merge").join(apart, ["a", "b"], "left_anti").select(*state.columns).unionByName(state.filter("what <> 'link'")))
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -121,7 +125,7 @@ def _stars(links: DataFrame, turn: int) -> DataFrame:
 
 def _whole(state: DataFrame, links: DataFrame) -> DataFrame:
     """leaf, hub of the components of links in which nothing is different."""
-    parts = components(links, "a", "b").select("node", "root")
+    parts = contracted(links)
     labels = state.filter("what = 'label'").select(F.col("a").alias("node"), "kind", "value").hint("merge").join(parts, "node")
     torn = labels.groupBy("root", "kind").agg(F.min("value").alias("x"), F.max("value").alias("y")).filter("x <> y").select("root")
     at = lambda x: parts.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))

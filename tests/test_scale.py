@@ -172,6 +172,30 @@ def test_components_of_an_ascending_chain(spark, made):
     assert not broadcasts(made)
 
 
+def test_components_join_all_nodes_once(spark, made):
+    """Tables that have all nodes are the first round's and the two that end it, however many rounds there are."""
+    found = graph.components(spark.range(60).select("id", (F.col("id") + 1).alias("next")), "id", "next")
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(61)}
+    assert sum(df.count() == 61 for df in made) <= 3
+
+
+def test_links_of_a_query_are_read_once(spark, made, monkeypatch):
+    """grf7 reads lines for the table of its links, and no round, label or result reads them again; the links of the first state are written twice: as they're put together, and without those between unlike nodes."""
+    import __spark_entry__
+    from quire.operators import store
+
+    plain = store.cut
+    monkeypatch.setattr(store, "cut", lambda df: made.append(df) or plain(df))
+    path = "/root/testdata/sf0.001"
+    found = __spark_entry__.queries()["grf7_constrained"](spark, path)
+    reads = [any("lineitem" in f for f in df.inputFiles()) for df in [*made, found]]
+    assert sum(reads) == 1
+    want = spark.read.parquet(f"{path}/lineitem.parquet").select("l_suppkey").distinct().count() + 40
+    assert [tuple(r) for r in found.collect()] == [(want, 0)]
+    n = made[0].count()
+    assert sum(df.columns == ["what", "a", "b", "kind", "value", "level"] and df.filter("what = 'link'").count() == n for df in made) <= 2
+
+
 def test_absorbing_broadcasts_nothing(spark, made):
     known = spark.createDataFrame([("1", "Bee, Ann", "p2", ""), ("2", "Bee, Ann", "", ""), ("3", "X", "", "o1"), ("4", "Y", "", "o1")], "id string, name string, dblp_key string, orcid string")
     people = spark.createDataFrame([("p1", "Bee, Ann"), ("p2", "Cee, Carl")], "person string, name string")

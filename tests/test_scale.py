@@ -44,6 +44,23 @@ def test_same_names_in_blocks(spark, small_blocks):
     assert "LeftAnti" not in plan
 
 
+def test_blocks_are_ranges_of_keys(spark, small_blocks):
+    """So that only keys of one block have to be compared: all of a block's come before those of the next, and a is the smaller of each pair."""
+    rows = spark.createDataFrame([(f"k{i * 37 % 101}", "x") for i in range(101)] + [("k5", "y")], "key string, value string")
+    dealt = rel._dealt(rows, "value", "key").filter("value = 'x'").groupBy("_own").agg(F.min("key").alias("least"), F.max("key").alias("most")).orderBy("_own").collect()
+    assert len(dealt) > 4
+    assert all(a["most"] < b["least"] for a, b in zip(dealt, dealt[1:]))
+    found = rel.pairs(rows, "value", "key").collect()
+    assert len(found) == len({(r["a_key"], r["b_key"]) for r in found}) == 101 * 50
+    assert all(r["a_key"] < r["b_key"] for r in found)
+
+
+def test_copies_of_a_row_do_not_grow_with_its_group(spark, small_blocks):
+    rows = spark.range(400).select(F.col("id").alias("key"), F.lit("x").alias("value"))
+    assert {r["_blocks"] for r in rel._dealt(rows, "value", "key").collect()} == {16}
+    assert rel.pairs(rows, "value", "key").count() == 400 * 399 // 2
+
+
 def test_different_publications_come_from_cells(spark):
     """The pairs of flt18 are dealt over cells: its join has them among its keys."""
     import __spark_entry__

@@ -33,6 +33,15 @@ def test_duplicate_pairs_in_blocks(spark, small_blocks):
     assert sorted((r["key_a"], r["key_b"], r["value"]) for r in found.collect()) == sorted((a, b, "d") for a, b in itertools.combinations(keys, 2))
 
 
+def test_duplicate_pairs_are_not_compared_again(spark):
+    """Blocks are ranges, so pairs come with the smaller key first and no row is compared for that; a block's keys come as one array."""
+    rows = [(f"k{i}", f, v) for i in range(20) for f, v in (("dblp", "d"), ("entrytype", "book"))]
+    plan = rel.duplicate_pairs(spark.createDataFrame(rows, "entry_key string, field string, value string"), "dblp")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_keys" in plan
+    made = plan[: plan.index("Generate explode(_keys")]
+    assert "least(" not in made and "greatest(" not in made
+
+
 def test_same_names_in_blocks(spark, small_blocks):
     """Pairs known to be different are left out in either order, whatever blocks they're in, and no pair is shuffled for that."""
     people = spark.createDataFrame([(i, "x") for i in range(24)] + [(50, "y")], "id long, name string")

@@ -70,6 +70,20 @@ def test_copies_of_a_row_do_not_grow_with_its_group(spark, small_blocks):
     assert rel.pairs(rows, "value", "key").count() == 400 * 399 // 2
 
 
+def test_a_row_finds_known_pairs_before_it_is_copied(spark, small_blocks, monkeypatch):
+    """Also a contributor who is known to be different from most of the name, over several lists; copies for blocks aren't shuffled for that."""
+    monkeypatch.setattr(rel, "SPAN", 2)
+    people = spark.createDataFrame([(i, "x") for i in range(50)] + [(7, "x"), (60, "y")], "id long, name string")
+    known = [(3, i) for i in range(50) if i % 9] + [(49, 0), (20, 21), (2, 60)]
+    found = rel.same_names(people, spark.createDataFrame(known, "id_a long, id_b long"))
+    apart = {tuple(sorted(k)) for k in known}
+    ids = sorted([*range(50), 7])
+    assert sorted((r["id_a"], r["id_b"]) for r in found.collect()) == sorted(p for p in itertools.combinations(ids, 2) if p[0] != p[1] and p not in apart)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lists = plan.index("Join LeftOuter", plan.index("RepartitionByExpression"))
+    assert plan.index("AS _j") < lists or plan.index("[_j") < lists
+
+
 def test_different_publications_come_from_cells(spark):
     """The pairs of flt18 are dealt over cells: its join has them among its keys."""
     import __spark_entry__
